@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from celestrum.llm import decontaminate, packing, quality, url_rules
+from celestrum.llm import decontaminate, packing, quality, topk, url_rules
 
 QUERIES = {
     "op1_url_filter": url_rules.query,
     "op3_decontamination": decontaminate.query,
     "op5_packing": packing.query,
     "op7_quality": quality.query,
+    "op8_topk": topk.query,
 }
 
 ORACLE_SQL = {
     "op1_url_filter": url_rules.ORACLE,
     "op3_decontamination": decontaminate.ORACLE,
+    "op8_topk": topk.ORACLE,
 }
