@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from celestrum.llm import decontaminate, packing, quality, topk, url_rules
+from celestrum.llm import decontaminate, packing, quality, sharding, topk, url_rules
 
 QUERIES = {
     "op1_url_filter": url_rules.query,
     "op3_decontamination": decontaminate.query,
     "op5_packing": packing.query,
+    "op6_sharding": sharding.query,
     "op7_quality": quality.query,
     "op8_topk": topk.query,
 }
