@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from celestrum.llm import decontaminate, packing, quality, sharding, topk, url_rules
+from celestrum.llm import decontaminate, ngram, packing, quality, sharding, topk, url_rules
 
 QUERIES = {
     "op1_url_filter": url_rules.query,
+    "op2_ngram": ngram.query,
     "op3_decontamination": decontaminate.query,
     "op5_packing": packing.query,
     "op6_sharding": sharding.query,
@@ -15,6 +16,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_url_filter": url_rules.ORACLE,
+    "op2_ngram": ngram.query,
     "op3_decontamination": decontaminate.ORACLE,
     "op8_topk": topk.ORACLE,
 }
