@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from celestrum.llm import decontaminate, html_text, ngram, packing, quality, sharding, topk, url_rules
+from celestrum.llm import decontaminate, html_text, near_dups, ngram, packing, quality, sharding, topk, url_rules
 
 QUERIES = {
     "op1_url_filter": url_rules.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_sharding": sharding.query,
     "op7_quality": quality.query,
     "op8_topk": topk.query,
+    "op9_minhash": near_dups.query,
     "op10_html": html_text.query,
 }
 
@@ -20,4 +21,5 @@ ORACLE_SQL = {
     "op2_ngram": ngram.query,
     "op3_decontamination": decontaminate.ORACLE,
     "op8_topk": topk.ORACLE,
+    "op9_minhash": near_dups.ORACLE,
 }
