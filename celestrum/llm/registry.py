@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from celestrum.llm import decontaminate, html_text, near_dups, ngram, packing, quality, sharding, topk, url_rules
+from celestrum.llm import decontaminate, html_text, near_dups, ngram, packing, quality, repeats, sharding, topk, url_rules
 
 QUERIES = {
     "op1_url_filter": url_rules.query,
     "op2_ngram": ngram.query,
     "op3_decontamination": decontaminate.query,
+    "op4_suffix_array": repeats.query,
     "op5_packing": packing.query,
     "op6_sharding": sharding.query,
     "op7_quality": quality.query,
