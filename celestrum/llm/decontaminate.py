@@ -112,106 +112,111 @@ def _names(block: Block, windows: np.ndarray) -> set:
     return out
 
 
-def _mark(batches: Iterator[pa.RecordBatch], block: Block, ids: list[str], spans: bool) -> Iterator[pa.RecordBatch]:
-    """spans: of rows with hits only, their spans (first word, end) and items; else of all rows the digest and the text with hits cut out."""
+def _runs(hit: np.ndarray) -> np.ndarray:
+    """First and end of each run of true, in turn."""
+    edges = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+    return np.stack([np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)], axis=1).ravel()
+
+
+def _find(batches: Iterator[pa.RecordBatch], block: Block, ids: list[str]) -> Iterator[pa.RecordBatch]:
+    """Of rows with hits their spans (first word and end, in turn) and items."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index("text"))
-        for texts in bw.slices(column):
+        for texts in bw.slices(batch.column(batch.schema.get_field_index("text"))):
             w = bw.words(texts, bw.ALNUM)
-            first, size, window = hits_of(w, block)
-            row = w.row[first]
-            edges = np.zeros(len(w.hashes) + 1, dtype=np.int64)
-            np.add.at(edges, first, 1)
-            np.add.at(edges, first + size, -1)
-            hit = np.cumsum(edges[:-1]) > 0
-            n_words = np.diff(w.of_row)
-            order = np.argsort(row, kind="stable")
-            bounds = np.searchsorted(row[order], np.arange(len(texts) + 1))
-            items = {k: sorted(_names(block, window[order[bounds[k] : bounds[k + 1]]])) for k in np.unique(row).tolist()}
+            hit, items = _hit(w, block)
+            rows = sorted(items)
             own = batch.slice(texts.first, len(texts))
-            keys = {c: own.column(own.schema.get_field_index(c)) for c in ids}
-            if spans:
-                keep = sorted(items)
-                at = pa.array(keep, type=pa.int64())
-                runs = []
-                for k in keep:
-                    h = hit[w.of_row[k] : w.of_row[k + 1]].astype(np.int8)
-                    d = np.diff(np.concatenate([[0], h, [0]]))
-                    runs.append(np.stack([np.flatnonzero(d == 1), np.flatnonzero(d == -1)], axis=1).ravel())
-                yield pa.RecordBatch.from_pydict({c: v.take(at) for c, v in keys.items()} | {"spans": pa.array(runs, type=pa.list_(pa.int64())), "items": pa.array([items[k] for k in keep], type=pa.list_(pa.string()))})
-                continue
+            keys = {c: own.column(own.schema.get_field_index(c)).take(pa.array(rows, type=pa.int64())) for c in ids}
+            spans = pa.array([_runs(hit[w.of_row[k] : w.of_row[k + 1]]) for k in rows], type=pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_pydict(keys | {"spans": spans, "items": pa.array([items[k] for k in rows], type=pa.list_(pa.string()))})
+
+
+def _hit(w: bw.Words, block: Block) -> tuple[np.ndarray, dict[int, list[str]]]:
+    """Whether each word is hit, and the sorted names of items by row."""
+    first, size, window = hits_of(w, block)
+    row = w.row[first]
+    edges = np.zeros(len(w.hashes) + 1, dtype=np.int64)
+    np.add.at(edges, first, 1)
+    np.add.at(edges, first + size, -1)
+    order = np.argsort(row, kind="stable")
+    rows, begin = np.unique(row[order], return_index=True)
+    parts = np.split(window[order], begin[1:]) if len(rows) else []
+    return np.cumsum(edges[:-1]) > 0, {k: sorted(_names(block, part)) for k, part in zip(rows.tolist(), parts, strict=True)}
+
+
+def _mark(batches: Iterator[pa.RecordBatch], block: Block | None, columns: list[str], cut: bool) -> Iterator[pa.RecordBatch]:
+    """All rows with n_words, n_hit and items; block: what to look for, or None if the spans are in columns _spans and _items. cut: hit words go from the text."""
+    for batch in batches:
+        for texts in bw.slices(batch.column(batch.schema.get_field_index("text"))):
+            w = bw.words(texts, bw.ALNUM)
+            own = batch.slice(texts.first, len(texts))
+            arrays = dict(zip(own.schema.names, own.columns, strict=True))
+            if block is None:
+                hit, items = np.zeros(len(w.hashes), dtype=bool), {}
+                for k, (spans, names) in enumerate(zip(arrays["_spans"].to_pylist(), arrays["_items"].to_pylist(), strict=True)):
+                    if spans:
+                        items[k] = names
+                        for i in range(0, len(spans), 2):
+                            hit[w.of_row[k] + spans[i] : w.of_row[k] + spans[i + 1]] = True
+            else:
+                hit, items = _hit(w, block)
             total = np.concatenate([[0], np.cumsum(hit)])
-            yield pa.RecordBatch.from_pydict(
-                keys
-                | {
-                    "n_words": pa.array(n_words, type=pa.int64()),
-                    "n_hit": pa.array(total[w.of_row[1:]] - total[w.of_row[:-1]], type=pa.int64()),
-                    "items": pa.array([items.get(k, []) for k in range(len(texts))], type=pa.list_(pa.string())),
-                }
-            )
-
-
-def _blocks(spark, benchmark: DataFrame) -> Iterator[Block]:
+            made = {
+                "n_words": pa.array(np.diff(w.of_row), type=pa.int64()),
+                "n_hit": pa.array(total[w.of_row[1:]] - total[w.of_row[:-1]], type=pa.int64()),
+                "items": pa.array([items.get(k, []) for k in range(len(texts))], type=pa.list_(pa.string())),
+            }
+            if cut and items:
+                out = arrays["text"].to_pylist()
+                for k in items:
+                    runs = w.of_row[k] + _runs(hit[w.of_row[k] : w.of_row[k + 1]])
+                    kept, at = [], texts.bounds[k]
+                    for i, j in runs.reshape(-1, 2).tolist():
+                        kept.append(texts.data[at : w.starts[i]])
+                        at = w.ends[j - 1]
+                    out[k] = b"".join([*(x.tobytes() for x in kept), texts.data[at : texts.bounds[k + 1]].tobytes()]).decode(errors="ignore")
+                arrays["text"] = pa.array(out, type=pa.string())
+            yield pa.RecordBatch.from_pydict({c: arrays[c] for c in columns} | made)
+
+
+def _blocks(spark, benchmark: DataFrame, block_bytes: int) -> Iterator[Block]:
     """The items in blocks of a checked size; items with null ids or texts have no part."""
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = 1 + size // (BLOCK_BYTES // 2)
+    n = 1 + size // (max(1, block_bytes // 2))
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         rows = part.collect()
         yield index_items([r[0] for r in rows], [r[1] for r in rows])
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, cut: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs' columns and n_words, n_hit, items (sorted names of the items that have a window in the text).
 
-    docs: text and others; benchmark: item_id, text. Null texts have no words.
-    Repeated rows stay; columns named n_words, n_hit or items are replaced. An
-    empty benchmark hits nothing.
+    docs: text and others; benchmark: item_id, text. With cut, hit words go from
+    text. Null texts have no words. Repeated rows stay; columns named n_words,
+    n_hit or items are replaced. An empty benchmark hits nothing.
     """
     spark = docs.sparkSession
     docs = docs.drop("n_words", "n_hit", "items")
-    ids = [c for c in docs.columns]
-    blocks = _blocks(spark, benchmark)
+    columns = docs.columns
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_words bigint, n_hit bigint, items array<string>"
+    blocks = _blocks(spark, benchmark, block_bytes)
     sc = spark.sparkContext
     first = next(blocks)
     second = next(blocks, None)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     if second is None:
-        shared = sc.broadcast(first)
-        return docs.mapInArrow(lambda it: _mark(it, shared.value, ids, False), f"{fields}, n_words bigint, n_hit bigint, items array<string>")
-
-    def passes():
-        for block in (first, second, *blocks):
-            shared = sc.broadcast(block)
-            text = docs.select(F.xxhash64("text").alias("_a"), F.crc32("text").alias("_b"), "text")
-            yield text.mapInArrow(lambda it, shared=shared: _mark(it, shared.value, ["_a", "_b"], True), "_a bigint, _b bigint, spans array<bigint>, items array<string>").dropDuplicates(["_a", "_b", "spans"])
-
+        one = sc.broadcast(first)
+        return docs.mapInArrow(lambda it: _mark(it, one.value, columns, cut), fields)
+    tagged = docs.withColumns({"_a": F.xxhash64("text"), "_b": F.crc32(F.col("text").cast("binary"))})
     hits = None
-    for one in passes():
-        hits = one if hits is None else hits.unionByName(one)
-    joined = hits.groupBy("_a", "_b").agg(F.collect_set("spans").alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    empty = Block(np.zeros(0, dtype=bw.U64), {})
-    counted = docs.mapInArrow(lambda it: _mark(it, empty, ids, False), f"{fields}, n_words bigint, n_hit bigint, items array<string>").drop("n_hit", "items")
-    covered = joined.mapInArrow(_union_spans, "_a bigint, _b bigint, n_hit bigint, items array<string>")
-    return (
-        counted.withColumns({"_a": F.xxhash64("text"), "_b": F.crc32("text")})
-        .join(covered, ["_a", "_b"], "left")
-        .withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)), "items": F.coalesce("items", F.array().cast("array<string>"))})
-        .select(*ids, "n_words", "n_hit", "items")
-    )
-
-
-def _union_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n_hit = []
-        for lists in batch.column(2).to_pylist():
-            covered, upto = 0, 0
-            for a, b in sorted((s[i], s[i + 1]) for s in lists for i in range(0, len(s), 2)):
-                covered += max(0, b - max(a, upto))
-                upto = max(upto, b)
-            n_hit.append(covered)
-        yield pa.RecordBatch.from_pydict({"_a": batch.column(0), "_b": batch.column(1), "n_hit": pa.array(n_hit, type=pa.int64()), "items": batch.column(3)})
+    for block in (first, second, *blocks):
+        one = sc.broadcast(block)
+        # Equal texts have equal hits: one row of each is enough, and only rows with hits are gathered.
+        found = tagged.select("_a", "_b", "text").mapInArrow(lambda it, one=one: _find(it, one.value, ["_a", "_b"]), "_a bigint, _b bigint, spans array<bigint>, items array<string>").dropDuplicates(["_a", "_b"])
+        hits = found if hits is None else hits.unionByName(found)
+    joined = hits.groupBy("_a", "_b").agg(F.flatten(F.collect_list("spans")).alias("_spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_items"))
+    return tagged.join(joined, ["_a", "_b"], "left").drop("_a", "_b").mapInArrow(lambda it: _mark(it, None, columns, cut), fields)
 
 
 def is_contaminated():
