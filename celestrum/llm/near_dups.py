@@ -2,12 +2,12 @@
 
 A text's set is its distinct word shingles; its signature the COORDINATES least
 hashes of the set under as many hash functions. Two sets of similarity s agree
-in a coordinate with probability s, so pairs that agree in fewer than AGREE
-coordinates aren't looked at further; at a similarity of 0.85 a pair agrees in
-fewer than 40 of 64 about once in a million.
+in a coordinate with probability s, so pairs that agree in fewer than `agree`
+coordinates aren't looked at further: as many as a pair just similar enough
+falls short of once in a million (39 of 64 at a similarity of 0.85).
 
 Texts are posted under their (coordinate, value) pairs. Texts that agree in
-AGREE places agree in one of each text's COORDINATES - AGREE + 1 rarest pairs
+`agree` places agree in one of each text's COORDINATES - agree + 1 rarest pairs
 (prefix filter), so only those are posted, and of them only pairs that more
 than one set has. Each list is merged on its own: members' agreements are
 counted, and members already linked to each other through others are skipped.
@@ -21,6 +21,7 @@ shared folder, to which lists refer; no list holds a text.
 from __future__ import annotations
 
 import hashlib
+import math
 import mmap
 import os
 import uuid
@@ -36,8 +37,8 @@ from celestrum.llm import shared
 from celestrum.llm.components import components
 
 COORDINATES = 64
-AGREE = 40
-PREFIX = COORDINATES - AGREE + 1
+#: Chance that a pair just similar enough isn't looked at.
+MISS = 1e-6
 CHUNK = 4096
 #: Lists up to this length give pairs, which are confirmed once for all lists; longer ones are confirmed in place.
 SHORT = 12
@@ -46,6 +47,16 @@ _A = bw.mix(np.arange(1000, 1000 + COORDINATES, dtype=bw.U64)) | bw.U64(1)
 _B = bw.mix(np.arange(2000, 2000 + COORDINATES, dtype=bw.U64)) | bw.U64(1)
 
 
+def agreement(percent: int) -> int:
+    """Most coordinates of which a pair of that similarity agrees in fewer with a chance of at most MISS."""
+    p, total = percent / 100, 0.0
+    for m in range(COORDINATES):
+        total += math.comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)
+        if total > MISS:
+            return m
+    return COORDINATES
+
+
 def sets_of(texts: bw.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each row one after the other, and the rows' bounds."""
     w = bw.words(texts, bw.SPACED)
@@ -85,7 +96,7 @@ def signatures(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 SET_FIELDS = "doc_id bigint, n_shingles bigint, key binary, file bigint, at bigint"
 
 
-def _write_sets(batches: Iterator[pa.RecordBatch], folder: str, size: int) -> Iterator[pa.RecordBatch]:
+def _write_sets(batches: Iterator[pa.RecordBatch], folder: str, size: int, carry: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     """A file for this attempt of the task: a signature and its set, again and again. Equal sets of a task are stored once."""
     file = uuid.uuid4().int >> 66
     os.makedirs(folder, exist_ok=True)
@@ -111,8 +122,9 @@ def _write_sets(batches: Iterator[pa.RecordBatch], folder: str, size: int) -> It
                             end += 4 * COORDINATES + len(data)
                         at[r] = known[key]
                 f.flush()
+                own = batch.slice(texts.first, len(texts))
                 yield pa.RecordBatch.from_pydict(
-                    {"doc_id": batch.column(0).slice(texts.first, len(texts)), "n_shingles": pa.array(n, type=pa.int64()), "key": pa.array(keys, type=pa.binary()), "file": pa.array(np.full(len(n), file), type=pa.int64()), "at": pa.array(at, type=pa.int64())}
+                    {c: own.column(2 + k) for k, c in enumerate(carry)} | {"doc_id": own.column(0), "n_shingles": pa.array(n, type=pa.int64()), "key": pa.array(keys, type=pa.binary()), "file": pa.array(np.full(len(n), file), type=pa.int64()), "at": pa.array(at, type=pa.int64())}
                 )
 
 
@@ -159,7 +171,7 @@ def _tokens(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Recor
 PAIRS = "a bigint, b bigint, sure boolean, a_file bigint, a_at bigint, a_n bigint, b_file bigint, b_at bigint, b_n bigint"
 
 
-def _merge_lists(batches: Iterator[pa.RecordBatch], folder: str, percent: int) -> Iterator[pa.RecordBatch]:
+def _merge_lists(batches: Iterator[pa.RecordBatch], folder: str, percent: int, agree: int, longest: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by token, x, y; a list is the rows that agree in them. Columns: token, x, y, rep, chunk, n, file, at."""
     sets = Sets(folder)
     held: list[np.ndarray] = []
@@ -173,7 +185,7 @@ def _merge_lists(batches: Iterator[pa.RecordBatch], folder: str, percent: int) -
             return
         signed = np.array([sets.signature(f, a) for f, a in zip(file.tolist(), at.tolist(), strict=True)])
         group = np.arange(size)
-        short = x == y == 0 and size <= SHORT
+        short = x == y == 0 and size <= longest
 
         def pair(i: int, j: int, sure: bool) -> tuple:
             i, j = (i, j) if rep[i] < rep[j] else (j, i)
@@ -187,8 +199,7 @@ def _merge_lists(batches: Iterator[pa.RecordBatch], folder: str, percent: int) -
             if not len(rest):
                 continue
             rest = rest[100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i])]
-            agree = (signed[rest] == signed[i]).sum(axis=1)
-            rest = rest[agree >= AGREE]
+            rest = rest[(signed[rest] == signed[i]).sum(axis=1) >= agree]
             if short:
                 out.extend(pair(i, j, False) for j in rest.tolist())
                 continue
@@ -235,8 +246,8 @@ def _confirm(batches: Iterator[pa.RecordBatch], folder: str, percent: int) -> It
         yield pa.RecordBatch.from_pydict({"a": pa.array([k[0] for k in keep], type=pa.int64()), "b": pa.array([k[1] for k in keep], type=pa.int64())})
 
 
-def find_near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text).
+def find_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, carry: tuple[str, ...] = (), chunk: int = CHUNK, short: int = SHORT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, and the columns of carry, for each row of docs (doc_id, text, ...).
 
     Texts are linked if 100 * intersection >= percent * union of their sets. Words
     are what ASCII white space leaves, A-Z lower-cased; a text of fewer words than
@@ -244,12 +255,15 @@ def find_near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -
     without words have no shingles and no links. component_id is the least doc_id
     that is reached over links; kept is doc_id = component_id. Rows with a null
     doc_id link nothing, have no component and are kept. Rows given twice are
-    there twice. Other columns are left out.
+    there twice. Columns that aren't carried are left out.
     """
     spark = docs.sparkSession
+    agree = agreement(percent)
+    prefix = COORDINATES - agree + 1
     folder = shared.mounted(shared.folder(spark, "sets"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = shared.written(rows.mapInArrow(lambda it: _write_sets(it, folder, shingle), SET_FIELDS), "found")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    extra = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
+    found = shared.written(rows.mapInArrow(lambda it: _write_sets(it, folder, shingle, carry), extra + SET_FIELDS), "found")
     reps = (
         found.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("key")
@@ -262,13 +276,12 @@ def find_near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -
     often = posted.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
     shared_tokens = posted.join(often, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("own"))
     # Pairs that no other set has are the rarest; they fill the front of the prefix, where nothing can meet them.
-    rest = F.lit(PREFIX - COORDINATES) + F.size("own")
-    lists = shared_tokens.where(rest > 0).select("rep", F.explode(F.slice("own", F.lit(1), rest)).alias("t")).select("rep", "t.token", F.ceil(F.col("t.often") / CHUNK).cast("int").alias("q"))
-    chunk = F.pmod(F.xxhash64("rep"), F.col("q")).cast("int")
-    lists = lists.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
+    rest = F.lit(prefix - COORDINATES) + F.size("own")
+    lists = shared_tokens.where(rest > 0).select("rep", F.explode(F.slice("own", F.lit(1), rest)).alias("t")).select("rep", "t.token", F.ceil(F.col("t.often") / chunk).cast("int").alias("q"))
+    lists = lists.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("q")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
     lists = lists.select("token", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "rep", "chunk")
     lists = lists.join(reps.select(F.col("node").alias("rep"), "n", "file", "at"), "rep").select("token", "x", "y", "rep", "chunk", "n", "file", "at")
-    merged = lists.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(lambda it: _merge_lists(it, folder, percent), PAIRS)
+    merged = lists.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(lambda it: _merge_lists(it, folder, percent, agree, short), PAIRS)
     merged = shared.written(merged, "merged")
     unsure = merged.where("NOT sure").select("a", "b", "a_file", "a_at", "a_n", "b_file", "b_at", "b_n").dropDuplicates(["a", "b"])
     links = merged.where("sure").select("a", "b").unionByName(unsure.mapInArrow(lambda it: _confirm(it, folder, percent), "a bigint, b bigint"))
@@ -276,12 +289,12 @@ def find_near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -
     nodes = reps.select("key", "node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = nodes.groupBy("root").agg(F.min("rep").alias("component_id"))
     placed = nodes.join(least, "root").select("key", "component_id")
-    out = found.join(placed, "key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    out = found.join(placed, "key", "left").select(*carry, "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return find_near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return find_near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), shingle=3, percent=85)
 
 
 ORACLE = r"""
