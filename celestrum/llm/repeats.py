@@ -8,12 +8,12 @@ hold it. Over all texts:
 1. Anchors and digests of their contexts are counted by the anchor's hash.
    A context that occurs twice settles all its windows; an anchor with
    different contexts has windows that may be equal in part of them.
-2. Contexts of such anchors are gathered by anchor and sorted as suffixes
-   down to WINDOW bytes, by prefix doubling. Where a suffix agrees with its
-   neighbour in suffix order in WINDOW bytes, the window occurs before or
-   after: among equal ones in order of position, the previous smaller position
-   is the neighbour before, so the longest previous factor is at least WINDOW
-   for all but the first.
+2. Contexts of such anchors are gathered by anchor. The suffixes that start at
+   the anchors are sorted, with the common prefixes of neighbours (a sparse
+   suffix array), and likewise backwards. Windows agree if no smaller common
+   prefix lies between them in either order; among agreeing windows in order of
+   position the previous smaller position is the neighbour before, so all but
+   the first have a longest previous factor of at least WINDOW.
 3. Texts are read again and their windows looked up.
 
 Results of 1 and 2 are sorted hash arrays in the shared folder, memory-mapped by
@@ -41,9 +41,9 @@ GRAM = 24
 BUCKET_TEXT = 24 << 20
 HELD = 400_000
 HELD_BYTES = 12 << 20
-#: Bytes of contexts that are suffix-sorted together.
-BLOCK_BYTES = 1 << 20
-CROWD = 4000
+#: Contexts that are sorted together, if their anchors have so many.
+BLOCK = 20_000
+CROWD = 20_000
 _MAX = bw.U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -71,7 +71,7 @@ class Anchors:
         right = np.minimum(bounds[row + 1] - at, window)
         whole = left + right >= window
         self.at, self.row, self.left, self.right = at[whole], row[whole], left[whole], right[whole]
-        self.hash = h[self.at]
+        self.hash = bw.mix(h[self.at])  # least hashes are small; buckets go by leading bits
         span = bw.span_hashes(self.sums, self.down, self.at - self.left, self.at + self.right)
         self.digest = bw.mix(span + (self.left * 65536 + self.right).astype(bw.U64) * bw.U64(0x9E3779B97F4A7C15))
 
@@ -242,26 +242,51 @@ def _send(batches: Iterator[pa.RecordBatch], path: str, buckets: int, window: in
         yield windows()
 
 
-def suffix_classes(data: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """Rank in suffix order, down to `depth` bytes, of the suffixes at `starts` (each with that many bytes to come); equal ones share a rank.
+def _sorted_rows(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows of bytes by group and bytes, and with how many bytes each agrees with the one before (-1: another group)."""
+    keyed = np.concatenate([group.astype(">u4").view(np.uint8).reshape(-1, 4), rows], axis=1)
+    width, flat = keyed.shape[1], keyed.tobytes()
+    order = np.array(sorted(range(len(rows)), key=lambda k: flat[k * width : (k + 1) * width]), dtype=np.int64)
+    differ = rows[order[1:]] != rows[order[:-1]]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+    common[group[order[1:]] != group[order[:-1]]] = -1
+    return order, np.concatenate([[-1], common])
 
-    Prefix doubling: the order of suffixes down to 2 h bytes is that of the pairs
-    of their ranks down to h, at the suffix and h further on.
+
+def sort_contexts(group: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.ndarray, before: np.ndarray, after: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each context and each number of bytes before the anchor at which a window may start: whether another context of the
+    anchor has the same window, and whether this one is the first of them.
+
+    group: number of the anchor; first: rank of the context's first place;
+    after: the bytes from the anchor on, before: those before it, from it backwards,
+    each row filled up beyond right and left.
+
+    after sorted is the suffix array of the anchors' suffixes, with the bytes in
+    common with the suffix before as its LCP array; before sorted is that of the
+    reversed texts. Windows that start l bytes before the anchor agree if l bytes
+    are common backwards and window - l forwards, that is, if no smaller LCP
+    lies between them in either order. Equal ones in order of their first places:
+    all but the first have a longest previous factor of at least the window.
     """
-    n = len(data)
-    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
-    word = np.zeros(n, dtype=bw.U64)
-    for k in range(8):
-        word = (word << bw.U64(8)) | padded[k : n + k].astype(bw.U64)
-    have, rank = 8, np.unique(word, return_inverse=True)[1]
-    while 2 * have <= depth:
-        key = rank.astype(np.int64) << 32
-        key[: n - have] |= rank[have:]
-        have, rank = 2 * have, np.unique(key, return_inverse=True)[1]
-    if have < depth:
-        key = (rank[starts].astype(np.int64) << 32) | rank[starts + depth - have]
-        return np.unique(key, return_inverse=True)[1]
-    return rank[starts]
+    n, width = before.shape[0], before.shape[1] + 1
+    order_a, common_a = _sorted_rows(group, after)
+    order_b, common_b = _sorted_rows(group, before)
+    repeated, earliest = np.zeros((n, width), dtype=bool), np.zeros((n, width), dtype=bool)
+    class_a, class_b = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    for l in range(width):  # noqa: E741
+        some = np.flatnonzero((left >= l) & (right >= window - l))
+        if not len(some):
+            continue
+        class_a[order_a] = np.cumsum(common_a < window - l)
+        class_b[order_b] = np.cumsum(common_b < l)
+        kind = class_a[some] * (n + 1) + class_b[some]
+        order = np.lexsort((first[some], kind)) if n > 1 << 20 else np.argsort(kind * (n + 1) + first[some], kind="stable")
+        some, kind, rank = some[order], kind[order], first[some[order]]
+        same = np.concatenate([[False], kind[1:] == kind[:-1]])
+        head = np.flatnonzero(~same)[np.cumsum(~same) - 1]
+        repeated[some, l] = same | np.concatenate([same[1:], [False]])
+        earliest[some, l] = rank == rank[head]
+    return repeated, earliest
 
 
 def longest_previous_factors(data: bytes) -> list[int]:
@@ -301,38 +326,35 @@ def _sort(table: pa.Table, path: str, buckets: int, window: int) -> pa.Table:
     ends = np.cumsum(length)
     a, pick = _least_first(a, ("anchor", "digest"))
     length, start, size = length[pick], (ends - length)[pick], size[pick]
-    digests, n_windows = a["digest"], length - window + 1
+    digests, left, right = a["digest"], size >> 16, size & 65535
     width = window - GRAM + 1
+    order = np.lexsort((a["place"], a["doc"]))
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.cumsum(np.concatenate([[True], (a["doc"][order][1:] != a["doc"][order][:-1]) | (a["place"][order][1:] != a["place"][order][:-1])]))
+    group = np.cumsum(np.concatenate([[True], a["anchor"][1:] != a["anchor"][:-1]])) - 1
     repeated = np.zeros((len(digests), width), dtype=bool)
     earliest = np.zeros((len(digests), width), dtype=bool)
-    cuts = np.flatnonzero(np.concatenate([[True], a["anchor"][1:] != a["anchor"][:-1]]))
-    upto = np.append(cuts[1:], len(digests))
-    done = np.concatenate([[0], np.cumsum(length)])
     k = 0
-    while k < len(cuts):
-        j = k
-        while j + 1 < len(cuts) and done[upto[j + 1]] - done[cuts[k]] <= BLOCK_BYTES:
-            j += 1
-        own = np.arange(cuts[k], upto[j])
-        k = j + 1
-        total = np.cumsum(length[own])
-        base = total - length[own]
-        block = data[np.repeat(start[own] - base, length[own]) + np.arange(total[-1])]
-        owner = np.repeat(np.arange(len(own)), n_windows[own])
-        offset = np.arange(len(owner)) - np.repeat(np.cumsum(n_windows[own]) - n_windows[own], n_windows[own])
-        rank = suffix_classes(block, base[owner] + offset, window)
-        # In suffix order, equal windows by position: that of the text's first such context, then in the text.
-        place = a["place"][own][owner] - (size[own][owner] >> 16) + offset
-        order = np.lexsort((place, a["doc"][own][owner], rank))
-        same = np.concatenate([[False], rank[order][1:] == rank[order][:-1]])
-        # The same window of the same text, seen from two contexts, is one occurrence.
-        doc, place = a["doc"][own][owner[order]], place[order]
-        tie = same & np.concatenate([[False], (place[1:] == place[:-1]) & (doc[1:] == doc[:-1])])
-        kind = np.cumsum(~same) - 1
-        occurs = np.bincount(kind, weights=~tie)
-        head = np.flatnonzero(~same)[kind]
-        repeated[own[owner[order]], offset[order]] = occurs[kind] > 1
-        earliest[own[owner[order]], offset[order]] = (place == place[head]) & (doc == doc[head])
+    while k < len(digests):
+        # Whole anchors, as many as make a block; no anchor has more than the crowd's limit of contexts.
+        j = int(np.searchsorted(group, group[min(len(group) - 1, k + BLOCK)])) if k + BLOCK < len(group) else len(group)
+        j = j if j > k else int(np.searchsorted(group, group[k], side="right"))
+        own = np.arange(k, j)
+        k = j
+        after = np.zeros((len(own), window), dtype=np.uint8)
+        before = np.zeros((len(own), width - 1), dtype=np.uint8)
+        middle = start[own] + left[own]
+        row, place = np.nonzero(np.arange(window)[None, :] < right[own][:, None])
+        after[row, place] = data[middle[row] + place]
+        row, place = np.nonzero(np.arange(width - 1)[None, :] < left[own][:, None])
+        before[row, place] = data[middle[row] - 1 - place]
+        _, first = np.unique(rank[own], return_inverse=True)
+        again, ahead = sort_contexts(group[own] - group[own[0]], first, left[own], right[own], before, after, window)
+        # From bytes before the anchor to the window's place in the context.
+        at = left[own][:, None] - np.arange(width)[None, :]
+        row, l = np.nonzero(at >= 0)  # noqa: E741
+        repeated[own[row], at[row, l]] = again[row, l]
+        earliest[own[row], at[row, l]] = ahead[row, l]
     order = np.argsort(digests, kind="stable")
     _store(f"{path}/sorted-{b}", {"digest": digests[order], "repeated": np.packbits(repeated[order], axis=1).ravel(), "earliest": np.packbits(earliest[order], axis=1).ravel()})
     return pa.table({"n": pa.array([len(digests)], type=pa.int64())})
