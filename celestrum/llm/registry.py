@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from celestrum.llm import decontaminate, html_text, near_dups, ngram, packing, quality, repeats, sharding, topk, url_rules
 
 QUERIES = {
@@ -15,11 +16,11 @@ QUERIES = {
     "op8_topk": topk.query,
     "op9_minhash": near_dups.query,
     "op10_html": html_text.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
     "op1_url_filter": url_rules.ORACLE,
-    "op2_ngram": ngram.query,
     "op3_decontamination": decontaminate.ORACLE,
     "op8_topk": topk.ORACLE,
     "op9_minhash": near_dups.ORACLE,
