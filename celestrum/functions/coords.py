@@ -181,7 +181,7 @@ def dot(a, b) -> Column:
 
 
 def cross(a, b, parity: bool = False) -> tuple[Column, Column, Column]:
-    """parity: with the second component's sign turned, as the reference has it."""
+    """parity: with the second component's sign turned, a convention some tools have."""
     (ax, ay, az), (bx, by, bz) = map(_vector, (a, b))
     y = az * bx - ax * bz
     return ay * bz - az * by, -y if parity else y, ax * by - ay * bx

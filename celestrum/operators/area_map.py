@@ -223,11 +223,13 @@ def pixelize(spark, bound, level: int, start: int = 4, weight: float = 1.0) -> D
     # Offsets in the cell and weights of the probe points: centre, then the middle ring, the sides and the corners.
     ring = [(0.5, 0.5, 4)] + [(x, y, 3) for x, y in ((0.25, 0.25), (0.75, 0.25), (0.25, 0.75), (0.75, 0.75))] + [(x, y, 3) for x, y in ((0.5, 0.25), (0.5, 0.75), (0.25, 0.5), (0.75, 0.5))] + [(x, y, 2) for x, y in ((0.5, 0.0), (0.5, 1.0), (0.0, 0.5), (1.0, 0.5))] + [(x, y, 1) for x, y in ((0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (1.0, 1.0))]
     whole = float(sum(w for *_, w in ring))
+    probes = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(w / whole).alias("w")) for dx, dy, w in ring])
     for at in range(start, level + 1):
-        score = F.lit(0.0)
-        for dx, dy, w in ring:
-            v = survey_to_xyz(cells.edge_lambda(1 << at, F.col("y") + dy), cells.edge_eta(1 << at, F.col("x") + dx))
-            score = score + F.when(bound.contains(v), w / whole).otherwise(0.0)
+        def inside(p, at=at):
+            v = survey_to_xyz(cells.edge_lambda(1 << at, F.col("y") + p["dy"]), cells.edge_eta(1 << at, F.col("x") + p["dx"]))
+            return F.when(bound.contains(v), p["w"]).otherwise(0.0)
+
+        score = F.aggregate(probes, F.lit(0.0), lambda sums, p: sums + inside(p))  # noqa: B023
         now = now.withColumn("score", score)
         keep = F.col("score") > 1 - 1e-9 if at < level else F.col("score") >= 0.5
         kept = now.where(keep).select("level", "x", "y")

@@ -655,3 +655,93 @@ def _(spark, d):
     b = sky_map(spark, "m").select("x", "y", F.lit(1.0).alias("unmasked"), F.col("weight").alias("intensity"), F.lit(1).alias("n_points"))
     c = field_map.correlate(a, field_map.over_density(b, "scalar", 8), 8, 2.0, 3.0)
     return c.select(r(F.col("pixel_wtheta") / F.col("pixel_weight")).alias("wtheta"), "n_pairs")
+
+
+@query("l5_l6_hilbert_cells")
+def _(spark, d):
+    from celestrum.functions import hcells
+
+    c = customer(spark, d).select("k", hcells.leaf_id("ra", coords.declination()).alias("leaf"))
+    return c.select("k", hcells.token(hcells.parent("leaf", 12)).alias("token"), hcells.level_of(hcells.parent("leaf", 12)).alias("level"))
+
+
+@query("l15_hilbert_union")
+def _(spark, d):
+    from celestrum.functions import hcells
+
+    c = orders(spark, d).select(hcells.leaf_id("ra", coords.declination()).alias("leaf"))
+    return hcells.normalize(c.select(hcells.parent("leaf", 3).alias("cell"))).select(hcells.token("cell").alias("token"))
+
+
+@query("l10_l14_covering_search", f"SELECT k FROM {ORDERS} WHERE ux * cos(radians(105e0)) + uy * sin(radians(105e0)) >= cos(radians(7e0)) - 1e-15")
+def _(spark, d):
+    from celestrum.functions import hcells
+
+    # Longitude 200 degrees on the equator; the covering is the coarse filter, the circle decides.
+    ids = hcells.covering((math.cos(math.radians(200)), math.sin(math.radians(200)), 0.0), 7.0, 5)
+    cover = spark.createDataFrame([(int(c),) for c in ids], "cell long")
+    c = orders(spark, d).withColumn("leaf", hcells.leaf_id("ra", coords.declination()))
+    return hcells.locate(c, cover, levels=[5]).where(bounds.Circle(200, 0, 7).contains()).select("k")
+
+
+@query("d6_covering", f"SELECT DISTINCT x // 2 AS x, y // 2 AS y FROM {sky_map_sql('m')}")
+def _(spark, d):
+    return area_map.covering(sky_map(spark, "m"), 8000).select("x", "y")
+
+
+@query("c12_pixel_scores", f"""SELECT x, y, (SELECT count(*) FROM (VALUES (0.5e0, 0.5e0), (0.25e0, 0.25e0), (0.75e0, 0.25e0), (0.25e0, 0.75e0), (0.75e0, 0.75e0)) p(dx, dy) WHERE degrees(asin(1e0 - (y + dy) * {2 / 52!r}e0)) BETWEEN -10e0 AND 35e0) AS held FROM {sky_map_sql('n')}""")
+def _(spark, d):
+    held = F.lit(0)
+    band = bounds.LatitudeBand(-10, 35, "survey")
+    for dx, dy in ((0.5, 0.5), (0.25, 0.25), (0.75, 0.25), (0.25, 0.75), (0.75, 0.75)):
+        v = coords.survey_to_xyz(cells.edge_lambda(4, F.col("y") + dy), cells.edge_eta(4, F.col("x") + dx))
+        held = held + F.when(band.contains(v), 1).otherwise(0)
+    return sky_map(spark, "n").select("x", "y", held.cast("long").alias("held"))
+
+
+@query("c13_c14_quadrants", f"""SELECT q, count(*) AS n, sum(CASE WHEN map_weight IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS inside FROM (
+  SELECT l.map_weight, CASE WHEN l.k % 4 = 0 THEN 1 WHEN l.k % 4 = 1 THEN 2 WHEN l.k % 4 = 2 THEN 4 ELSE 8 END AS q FROM {_LOC} l) GROUP BY q""")
+def _(spark, d):
+    both = sky_map(spark, "m").unionByName(sky_map(spark, "n"))
+    found = area_map.find_location(orders(spark, d), both, 3)
+    q = F.when(F.col("k") % 4 == 0, 1).when(F.col("k") % 4 == 1, 2).when(F.col("k") % 4 == 2, 4).otherwise(8)
+    return found.groupBy(q.alias("q")).agg(F.count("*").alias("n"), F.count("map_weight").alias("inside"))
+
+
+_SYS = f"(SELECT x, y, avg(redshift) AS v, count(*) AS n FROM (SELECT *, {x_sql(8)} AS x, {y_sql(8)} AS y FROM {PART}) GROUP BY ALL)"
+
+
+@query("x1_fill_systematics", f"""SELECT m.x, m.y, {rs("coalesce(s.v, p.v)")} AS v FROM {sky_map_sql('m')} m LEFT JOIN {_SYS} s ON m.x = s.x AND m.y = s.y
+  LEFT JOIN (SELECT x // 2 AS x, y // 2 AS y, sum(v * n) / sum(n) AS v FROM {_SYS} GROUP BY ALL HAVING sum(n) >= 2) p ON m.x // 2 = p.x AND m.y // 2 = p.y WHERE coalesce(s.v, p.v) IS NOT NULL""")
+def _(spark, d):
+    own = cells.with_cell(part(spark, d), 8).groupBy("x", "y").agg(F.sum("redshift").alias("s"), F.count("*").alias("n"))
+    up = own.groupBy(cells.parent("x", 1).alias("px"), cells.parent("y", 1).alias("py")).agg((F.sum("s") / F.sum("n")).alias("pv"), F.sum("n").alias("pn")).where("pn >= 2")
+    out = sky_map(spark, "m").select("x", "y").join(own, ["x", "y"], "left").withColumns({"px": cells.parent("x", 1), "py": cells.parent("y", 1)}).join(up, ["px", "py"], "left")
+    return out.withColumn("v", F.coalesce(F.col("s") / F.col("n"), "pv")).where("v IS NOT NULL").select("x", "y", r(F.col("v")).alias("v"))
+
+
+@query("x2_assign_systematics", f"SELECT g.k, {rs('s.v')} AS v FROM (SELECT *, {x_sql(8)} AS x, {y_sql(8)} AS y FROM {CUSTOMER}) g JOIN {_SYS} s ON g.x = s.x AND g.y = s.y")
+def _(spark, d):
+    own = cells.with_cell(part(spark, d), 8).groupBy("x", "y").agg(F.avg("redshift").alias("v"))
+    return cells.with_cell(customer(spark, d), 8).join(own, ["x", "y"]).select("k", r(F.col("v")).alias("v"))
+
+
+@query("p8_pixelize_circles")
+def _(spark, d):
+    out = None
+    for theta, phi in ((20.0, 0.0), (22.0, 2.0), (0.0, 0.0)):
+        one = area_map.pixelize(spark, bounds.Circle(theta, phi, 3.0, "survey"), 6, start=5)
+        out = one if out is None else out.unionByName(one)
+    fine = area_map.expand(out, 6).select("x", "y").distinct()
+    return fine.agg(F.count("*").alias("n"), r(F.count("*") * cells.cell_area(64)).alias("area"))
+
+
+_RB = "CASE WHEN r < 20e0 THEN 0 WHEN r < 50e0 THEN 1 WHEN r < 100e0 THEN 2 END"
+
+
+@query("p6_radial_correlation", "SELECT bin, dd, dr, round(dd / (dr * 1e0), 6) + 0e0 AS ratio FROM (SELECT bin, sum(CASE WHEN kind = 'dd' THEN 1 ELSE 0 END)::BIGINT AS dd, sum(CASE WHEN kind = 'dr' THEN 1 ELSE 0 END)::BIGINT AS dr FROM (" + " UNION ALL ".join(f"SELECT '{kind}' AS kind, {_RB} AS bin FROM (SELECT radians(degrees(atan2({_NORM}, {DOT}))) * a.ad AS r FROM (SELECT *, {_AD} AS ad FROM {PART}) a, {other} b) WHERE r >= 5e0 AND r < 100e0" for kind, other in (("dd", CUSTOMER), ("dr", SUPPLIER))) + ") GROUP BY bin) WHERE dr > 0")
+def _(spark, d):
+    probes, edges = part(spark, d).select("k", "redshift", *XYZ), [5.0, 20.0, 50.0, 100.0]
+    dd = points.projected_pairs(probes, customer(spark, d).select(F.col("k").alias("ck"), *XYZ), Cosmology(), "redshift", edges).withColumnRenamed("n_pairs", "dd")
+    dr = points.projected_pairs(probes, supplier(spark, d).select(F.col("k").alias("ck"), *XYZ), Cosmology(), "redshift", edges).withColumnRenamed("n_pairs", "dr")
+    return dr.join(dd, "bin", "left").withColumn("dd", F.coalesce("dd", F.lit(0))).select("bin", "dd", "dr", r(F.col("dd") / F.col("dr")).alias("ratio"))
