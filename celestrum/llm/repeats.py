@@ -39,10 +39,11 @@ from celestrum.llm.ngram import Folder, _bucket, _store
 WINDOW = 200
 GRAM = 24
 BUCKET_TEXT = 24 << 20
-HELD = 400_000
-HELD_BYTES = 12 << 20
+SLICE_BYTES = 1 << 20
+HELD = 300_000
+HELD_BYTES = 8 << 20
 #: Contexts that are sorted together, if their anchors have so many.
-BLOCK = 20_000
+BLOCK = 8_000
 CROWD = 20_000
 _MAX = bw.U64(0xFFFFFFFFFFFFFFFF)
 
@@ -105,7 +106,7 @@ def _unpacked(table: pa.Table) -> tuple[int, dict[str, np.ndarray]]:
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bw.Texts, np.ndarray]]:
     for batch in batches:
         ids = batch.column(batch.schema.get_field_index("_id")).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-        for texts in bw.slices(batch.column(batch.schema.get_field_index("text"))):
+        for texts in bw.slices(batch.column(batch.schema.get_field_index("text")), SLICE_BYTES):
             yield batch, texts, ids[texts.first : texts.first + len(texts)]
 
 
