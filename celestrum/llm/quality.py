@@ -25,7 +25,7 @@ DIM = 8
 EPOCHS = 6
 RATE = 4.0
 #: The classifier is fitted on at most so many labelled rows, and so many bytes of their texts.
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 3000
 SAMPLE_BYTES = 64 << 20
 #: Buckets of the features that aren't hashed.
 _CONSTANT, _REPEATED, _NEW = 0, 1, 2
@@ -62,7 +62,7 @@ def fit(texts: list, labels: list[int], seed: int = 7) -> np.ndarray:
         for k in range(len(part)):
             found = np.concatenate([[_CONSTANT], *(f[a[k] : b[k]] for f, a, b in kinds)])
             bucket, count = np.unique(found, return_counts=True)
-            docs.append((bucket, (count / len(found)).astype(np.float32)))
+            docs.append((bucket.astype(np.int32), (count / len(found)).astype(np.float32)))
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / DIM, 1 / DIM, (size, DIM)).astype(np.float32)
     out = np.zeros((DIM, 2), dtype=np.float32)
