@@ -25,11 +25,12 @@ def drop_low_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by 0.8 similar sets of five-word shingles, the one with the least doc_id stays; of rows with equal doc_id and text, one."""
-    tagged = docs.withColumn("_tag", F.xxhash64("text"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    tagged = docs.withColumns({"_id": name, "_tag": F.xxhash64("text")})
     found = near_dups.find_near_duplicates(tagged, shingle=5, percent=80, carry=("_tag",))
-    kept = found.where("kept").select(F.col("doc_id").alias("_kept"), F.col("_tag").alias("_of")).distinct()
-    stay = tagged.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_tag") == F.col("_of")), "left_semi")
-    return stay.dropDuplicates(["doc_id", "_tag"]).select(*COLUMNS)
+    kept = found.where("kept").select(name.alias("_id"), "_tag").distinct()
+    # The join and the dropping of repeated rows go by the same columns, so texts are dealt out once.
+    return tagged.join(kept, ["_id", "_tag"], "left_semi").dropDuplicates(["_id", "_tag"]).select(*COLUMNS)
 
 
 def cut_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
