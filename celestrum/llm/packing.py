@@ -8,11 +8,12 @@ nearly equal, and into one more as long as one is over capacity. No row
 leaves its task, so there is no shuffle; a sequence's id is made of the
 task's number and a running one.
 
-Tokenizing: at an ASCII space the byte-level tokenizer always begins a new
-piece, unless two spaces meet; likewise between an ASCII letter and ASCII
-punctuation and after a line break before something visible. Texts are cut
-there, each distinct piece is tokenized once and its ids are kept in a bounded
-cache. Texts with two spaces in a row, or with a special token's text, are
+Tokenizing: the byte-level tokenizer begins a new piece where white space
+begins, and at the last of several white-space characters in a row if something
+visible follows (an ASCII space there goes with what follows, others are pieces
+of their own); likewise between an ASCII letter and ASCII punctuation. Texts are
+cut there, at spaces and line breaks, each distinct piece is tokenized once and
+its ids are kept in a bounded cache. Texts with a special token's text are
 tokenized whole.
 """
 
@@ -38,7 +39,42 @@ CACHE_PIECES = 400_000
 _ids = np.arange(256)
 _LETTER = ((_ids >= 65) & (_ids <= 90)) | ((_ids >= 97) & (_ids <= 122))
 _PUNCT = (_ids > 32) & (_ids < 127) & ~_LETTER & ~((_ids >= 48) & (_ids <= 57))
-_VISIBLE = ((_ids > 32) & (_ids < 127)) | (_ids >= 128)
+_BLANK = (_ids == 32) | ((_ids >= 9) & (_ids <= 13))
+#: White space beyond ASCII.
+_BLANKS = [chr(k).encode() for k in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def _blank(data: np.ndarray) -> np.ndarray:
+    """True for the bytes of white space."""
+    out = _BLANK[data]
+    for lead in {b[0] for b in _BLANKS}:
+        at = np.flatnonzero(data == lead)
+        for b in _BLANKS if len(at) else ():
+            if b[0] == lead:
+                found = at[at + len(b) <= len(data)]
+                for k in range(1, len(b)):
+                    found = found[data[found + k] == b[k]]
+                for k in range(len(b)):
+                    out[found + k] = True
+    return out
+
+
+def _cuts(texts: bw.Texts) -> np.ndarray:
+    """True where texts may be cut without changing their ids; their beginnings are among these."""
+    data, n = texts.data, len(texts.data)
+    begins = texts.bounds[:-1][texts.bounds[:-1] < n]
+    blank = _blank(data)
+    after_blank = np.concatenate([[False], blank[:-1]])
+    after_blank[begins] = False
+    visible_next = np.concatenate([~blank[1:], [False]])
+    visible_next[begins[begins > 0] - 1] = False
+    space, line = data == 32, data == 10
+    cut = (space & (~after_blank | visible_next)) | (_LETTER[np.concatenate([[32], data[:-1]])] & _PUNCT[data])
+    # The last of several blanks is a piece of its own if it's a line break.
+    cut |= line & after_blank & visible_next
+    cut[1:] |= (line & visible_next)[:-1]
+    cut[begins] = True
+    return cut
 
 
 class Encoder:
@@ -79,20 +115,14 @@ class Encoder:
         data, n = texts.data, len(texts.data)
         if not n:
             return np.zeros(0, dtype=np.uint32), np.zeros(len(texts) + 1, dtype=np.int64)
-        space = data == 32
-        twice = np.flatnonzero(space[1:] & space[:-1])
-        odd = set((np.searchsorted(texts.bounds, twice, side="right") - 1).tolist())
+        odd = set()
         raw = data.tobytes()
         for token in self.special:
             at = raw.find(token)
             while at >= 0:
                 odd.add(int(np.searchsorted(texts.bounds, at, side="right") - 1))
                 at = raw.find(token, at + 1)
-        before = np.concatenate([[32], data[:-1]])
-        cut = space | (_LETTER[before] & _PUNCT[data]) | ((before == 10) & _VISIBLE[data])
-        cut[0] = True
-        cut[texts.bounds[:-1][texts.bounds[:-1] < n]] = True
-        starts = np.flatnonzero(cut)
+        starts = np.flatnonzero(_cuts(texts))
         ends = np.append(starts[1:], n)
         sums, down = bw.prefix_hashes(data)
         hashes = bw.span_hashes(sums, down, starts, ends)

@@ -92,6 +92,20 @@ def test_encoder_equals_the_tokenizer(texts):
             assert ids[bounds[k] : bounds[k + 1]].tolist() == want
 
 
+def test_encoder_at_white_space():
+    enc = packing.Encoder(packing.default_tokenizer())
+    rng = random.Random(12)
+    parts = ["\n", "\n", " ", " ", "\t", "\r", "\x0b", "\x1c", "\x85", "\u00a0", "\u2028", "\u3000", "a", "b's", ".", "1", "\u00e9", "\u2019", "\u65e5"]
+    texts = ["a\n\nb", "a\n\n\n\nb", "a\n", "", "\n\n", "\nb", "a \n b", "a  \n  b", "  a", "a\n \n"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(4000)]
+    texts += ["".join(rng.choice(["\n", " ", "a", "}"]) for _ in range(30)) for _ in range(1000)]
+    for part in bw.slices(pa.array(texts), limit=3000):
+        ids, bounds = enc.encode(part)
+        for k in range(len(part)):
+            t = texts[part.first + k]
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 def test_packing_is_a_round_trip(spark, texts, docs):
     packed = packing.pack(docs, packing.default_tokenizer())
     rows = packed.collect()
