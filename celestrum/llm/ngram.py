@@ -1,13 +1,16 @@
-"""Language-model scoring: an interpolated modified Kneser-Ney bigram model.
+"""Language-model scoring: an interpolated modified Kneser-Ney model of any order.
 
-Counting is two shuffles of packed arrays. First the words: each task counts
+Counting goes by shuffles of packed arrays. First the words: each task counts
 its words by 64-bit hash and sends sorted arrays by the hash's leading bits;
 each bucket is merged and stored as a sorted array, in which a word's place is
-its number. Then the pairs, as 64-bit keys of two word numbers, by the first
-word: each bucket is stored as sorted keys with counts, and its first words
-with what their probabilities need. Last, how many different words come before
-each word (the continuation counts) is summed by ranges of word numbers.
-
+its number. Then the n-grams of the highest order, as columns of word numbers,
+by their context (all words but the last): each bucket is stored as sorted
+contexts with their next words and counts, and its n-grams less their first word
+are sent on, with the number of different words before them, as the counts of
+the order below. So it goes down to single words, whose continuation counts
+are summed by ranges of word numbers. Texts begin with order - 1 begin signs.
+
+Contexts of one or two words are known exactly, longer ones by 64-bit hashes.
 Files are in the shared folder and are memory-mapped by the workers that score;
 a file takes its name only when it is whole, so a task that runs twice leaves
 the same files. Buckets are sized by the bytes of the training texts.
@@ -29,6 +32,8 @@ from pyspark.sql import functions as F
 from celestrum.llm import bytewords as bw
 from celestrum.llm import shared
 
+#: The query's order: words of the longest n-grams.
+ORDER = 3
 #: Bytes of training text for each bucket.
 BUCKET_TEXT = 32 << 20
 #: Word numbers in one range of continuation counts.
@@ -143,6 +148,92 @@ def _merged(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
     return table.column("bucket")[0].as_py(), *_summed(keys, counts)
 
 
+def _sealed(columns: list[np.ndarray]) -> bytes:
+    """Columns of 32 bits, the first ascending, compressed by planes of bytes."""
+    columns = [np.diff(columns[0], prepend=columns[0].dtype.type(0)), *columns[1:]]
+    planes = b"".join(np.ascontiguousarray(c, dtype="<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns)
+    return len(columns[0]).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _opened(sealed: bytes, width: int) -> list[np.ndarray]:
+    n = int.from_bytes(sealed[:8], "little")
+    planes = np.frombuffer(pa.decompress(sealed[8:], decompressed_size=4 * width * n, codec="zstd", asbytes=True), dtype=np.uint8).reshape(width, 4, n)
+    columns = [np.ascontiguousarray(p.T).view("<u4").ravel() for p in planes]
+    columns[0] = np.cumsum(columns[0], dtype=np.uint32)
+    return columns
+
+
+def _context(columns: list[np.ndarray]) -> np.ndarray:
+    """A number of each context: exact up to two words, a hash beyond."""
+    out = columns[0].astype(bw.U64)
+    for k, c in enumerate(columns[1:]):
+        out = bw.mix(out) * bw.U64(0x9E3779B97F4A7C15) + c.astype(bw.U64) if k else out << bw.U64(32) | c.astype(bw.U64)
+    return out
+
+
+def _summed_grams(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sorted different n-grams with their counts."""
+    if not len(counts):
+        return columns, counts
+    packs = [columns[k].astype(bw.U64) << bw.U64(32) | columns[k + 1].astype(bw.U64) if k + 1 < len(columns) else columns[k] for k in range(0, len(columns), 2)]
+    order = np.lexsort(packs[::-1]) if len(packs) > 1 else np.argsort(packs[0], kind="stable")
+    packs = [p[order] for p in packs]
+    first = np.flatnonzero(np.concatenate([[True], np.any([p[1:] != p[:-1] for p in packs], axis=0)]))
+    return [c[order[first]] for c in columns], np.add.reduceat(counts[order], first, dtype=np.int64)
+
+
+GRAMS = "bucket int, keys binary, counts binary, stats array<bigint>"
+
+
+def _packed_grams(columns: list[np.ndarray], counts: np.ndarray, bucket: np.ndarray, stats: list[int]) -> pa.RecordBatch:
+    """A row for each bucket; the first has the stats."""
+    order = np.argsort(bucket, kind="stable")
+    which, first = np.unique(bucket[order], return_index=True)
+    parts = np.split(order, first[1:])
+    return pa.RecordBatch.from_pydict(
+        {
+            "bucket": pa.array(which, type=pa.int32()),
+            "keys": pa.array([_sealed([c[p] for c in columns]) for p in parts], type=pa.binary()),
+            "counts": pa.array([pa.compress(counts[p].astype(np.uint32).tobytes(), codec="zstd", asbytes=True) for p in parts], type=pa.binary()),
+            "stats": pa.array([stats] + [[0] * len(stats)] * (len(parts) - 1), type=pa.list_(pa.int64())),
+        }
+    )
+
+
+def _merged_grams(table: pa.Table, width: int) -> tuple[int, list[np.ndarray], np.ndarray, np.ndarray]:
+    parts = [_opened(k, width) for k in table.column("keys").to_pylist()]
+    counts = [np.frombuffer(pa.decompress(c, decompressed_size=4 * len(p[0]), codec="zstd", asbytes=True), dtype=np.uint32) for c, p in zip(table.column("counts").to_pylist(), parts, strict=True)]
+    columns, counts = _summed_grams([np.concatenate([p[k] for p in parts]) for k in range(width)], np.concatenate(counts))
+    return table.column("bucket")[0].as_py(), columns, counts, np.sum(table.column("stats").to_pylist(), axis=0, dtype=np.int64)
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch], grams_of, bucket_of, stats: int) -> Iterator[pa.RecordBatch]:
+    """Counts of grams_of(texts) over a task, sent whenever HELD different ones are held."""
+    held, n_fresh = [], 0
+
+    def merged():
+        return _summed_grams([np.concatenate([c[k] for c, _ in held]) for k in range(len(held[0][0]))], np.concatenate([c for _, c in held]))
+
+    for batch in batches:
+        for texts in bw.slices(batch.column(batch.schema.get_field_index("text"))):
+            grams = grams_of(texts)
+            held.append(_summed_grams(grams, np.ones(len(grams[0]), dtype=np.int64)))
+            n_fresh += len(held[-1][1])
+            if n_fresh > HELD // 2:
+                held, n_fresh = [merged()], 0
+                if len(held[0][1]) > HELD:
+                    yield _packed_grams(*held[0], bucket_of(held[0][0]), [0] * stats)
+                    held = []
+    if held:
+        columns, counts = merged()
+        if len(counts):
+            yield _packed_grams(columns, counts, bucket_of(columns), [0] * stats)
+
+
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    return counts.astype(np.min_scalar_type(int(counts.max()))) if len(counts) else counts.astype(np.uint8)
+
+
 def _of_counts(counts: np.ndarray) -> list[int]:
     """How many counts are 1, 2, 3, 4."""
     return [int(np.count_nonzero(counts == k)) for k in (1, 2, 3, 4)]
@@ -167,8 +258,10 @@ class Model:
     #: Number of the first word of each bucket, and of all words.
     first: np.ndarray
     tokens: int
-    pair_discounts: np.ndarray
-    word_discounts: np.ndarray
+    order: int
+    gram_buckets: int
+    #: By the number of words, from 1 on.
+    discounts: list[np.ndarray]
     #: Sum of continuation counts, and the weight that goes to the uniform distribution.
     pairs: int
     rest: float
@@ -177,7 +270,8 @@ class Model:
 class Reader:
     def __init__(self, model: Model) -> None:
         self.m = model
-        self.words, self.pair_files, self.ranges = (Folder(f"{model.path}/{k}") for k in ("words", "pairs", "before"))
+        self.words, self.ranges = (Folder(f"{model.path}/{k}") for k in ("words", "before"))
+        self.grams = {k: Folder(f"{model.path}/grams{k}") for k in range(2, model.order + 1)}
 
     def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and training counts of sorted, different words; number -1 and count 0 for unknown ones."""
@@ -201,21 +295,39 @@ class Reader:
                 out[at] = file["counts"][numbers[at] - p * RANGE]
         return out
 
-    def pairs(self, keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of sorted keys and their first words: counts, the first words' totals and the weights they leave."""
-        count, total, left = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys)), np.ones(len(keys))
-        bucket = _bucket(bw.mix(first), self.m.buckets)
-        d = self.m.pair_discounts
-        for b in np.unique(bucket).tolist():
-            at, file = np.flatnonzero(bucket == b), self.pair_files[b]
+    def followers(self, k: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of contexts of k - 1 words and next words: counts, the contexts' totals and the weights they leave."""
+        count, total, left = np.zeros(len(word), dtype=np.int64), np.zeros(len(word)), np.ones(len(word))
+        bucket = _bucket(bw.mix(context), self.m.gram_buckets)
+        d = self.m.discounts[k]
+        order = np.argsort(bucket, kind="stable")
+        which, first = np.unique(bucket[order], return_index=True)
+        for b, at in zip(which.tolist(), np.split(order, first[1:]), strict=True) if len(order) else ():
+            file = self.grams[k][b]
             if file is None:
                 continue
-            k = bw.found_in(keys[at], file["keys"])
-            count[at[k >= 0]] = file["counts"][k[k >= 0]]
-            k = bw.found_in(first[at], file["first"])
-            at, k = at[k >= 0], k[k >= 0]
-            total[at] = file["total"][k]
-            left[at] = (d[1] * file["one"][k] + d[2] * file["two"][k] + d[3] * file["more"][k]) / total[at]
+            c = bw.found_in(context[at], file["context"])
+            at, c = at[c >= 0], c[c >= 0]
+            if not len(at):
+                continue
+            begin, end = file["first"][c].astype(np.int64), file["first"][c + 1].astype(np.int64)
+            # Contexts with one next word have no sums of their own.
+            only = file["counts"][begin].astype(np.int64)
+            sums, one, two, more = only.copy(), only == 1, only == 2, only > 2
+            one, two, more = one.astype(np.int64), two.astype(np.int64), more.astype(np.int64)
+            m = bw.found_in(c, file["several"])
+            some, m = np.flatnonzero(m >= 0), m[m >= 0]
+            sums[some], one[some], two[some] = file["total"][m], file["one"][m], file["two"][m]
+            more[some] = (end - begin)[some] - one[some] - two[some]
+            total[at] = sums
+            left[at] = (d[1] * one + d[2] * two + d[3] * more) / sums
+            low, high, last = begin, end, len(file["words"]) - 1
+            while (low < high).any():
+                middle = (low + high) >> 1
+                less = (low < high) & (file["words"][np.minimum(middle, last)] < word[at])
+                low, high = np.where(less, middle + 1, low), np.where(less, high, np.minimum(middle, high))
+            hit = (low < end) & (file["words"][np.minimum(low, last)] == word[at])
+            count[at[hit]] = file["counts"][low[hit]]
         return count, total, left
 
     def score(self, texts: bw.Texts) -> dict[str, np.ndarray]:
@@ -229,39 +341,43 @@ class Reader:
         before = self.before(number)
         low = np.full(len(words), 1 / (size + 1))
         if m.pairs:
-            low = np.maximum(before - m.word_discounts[np.minimum(before, 3)], 0) / m.pairs + m.rest / (size + 1)
+            low = np.maximum(before - m.discounts[1][np.minimum(before, 3)], 0) / m.pairs + m.rest / (size + 1)
         ids = number[index]
-        previous = np.concatenate([[BEGIN_ID], ids[:-1]])
-        previous[bounds[:-1]] = BEGIN_ID
-        key = (previous.astype(bw.U64) << bw.U64(32)) | ids.astype(bw.U64) & bw.U64(0xFFFFFFFF)
-        key[(ids < 0) | (previous < 0)] = bw.U64(0xFFFFFFFFFFFFFFFF)  # no pair has this key
-        # Unknown first words leave all to the lower order.
-        both = np.stack([previous.astype(bw.U64), key])
-        order = np.lexsort((both[1], both[0]))
-        new = np.concatenate([[True], (both[:, order[1:]] != both[:, order[:-1]]).any(axis=0)])
-        of = np.empty(len(order), dtype=np.int64)
-        of[order] = np.cumsum(new) - 1
-        pick = order[new]
-        pair, total, left = self.pairs(key[pick], both[0][pick])
-        pair, total, left = pair[of], total[of], left[of]
         p = low[index]
-        high = np.maximum(pair - m.pair_discounts[np.minimum(pair, 3)], 0)
-        p = np.where(total > 0, high / np.maximum(total, 1) + left * p, p)
+        for k in range(2, m.order + 1):
+            history = _history(ids, bounds, k)
+            # Contexts with unknown words leave all to the lower order.
+            whole = np.flatnonzero((np.array(history) >= 0).all(axis=0))
+            context, word = _context([h[whole] for h in history]), ids[whole]
+            order = np.lexsort((word, context))
+            new = np.concatenate([[True], (context[order[1:]] != context[order[:-1]]) | (word[order[1:]] != word[order[:-1]])])[: len(order)]
+            of = np.empty(len(order), dtype=np.int64)
+            of[order] = np.cumsum(new) - 1
+            pick = order[new]
+            count_k, total, left = (v[of] for v in self.followers(k, context[pick], word[pick]))
+            high = np.maximum(count_k - m.discounts[k][np.minimum(count_k, 3)], 0)
+            p[whole] = np.where(total > 0, high / np.maximum(total, 1) + left * p[whole], p[whole])
         sums = lambda v: np.add.reduceat(v, bounds[:-1])  # noqa: E731  every row has a token, its end
         return {"n_tokens": np.diff(bounds), "n_known": sums(known[index].astype(np.int64)), "base_score": sums(base[index]), "score": sums(np.log10(p))}
 
 
-def _pair_keys(reader: Reader, texts: bw.Texts) -> np.ndarray:
+def _history(ids: np.ndarray, bounds: np.ndarray, order: int) -> list[np.ndarray]:
+    """The order - 1 words before each, from the farthest on; begin signs before the row."""
+    place = np.arange(len(ids)) - np.repeat(bounds[:-1], np.diff(bounds))
+    return [np.where(place >= j, np.concatenate([np.full(min(j, len(ids)), BEGIN_ID), ids[:-j]]), BEGIN_ID) for j in range(order - 1, 0, -1)]
+
+
+def _grams(reader: Reader, texts: bw.Texts, order: int) -> list[np.ndarray]:
     tokens, bounds = _tokens(texts)
     words, index = np.unique(tokens, return_inverse=True)
     ids = reader.numbers(words)[0][index]
-    previous = np.concatenate([[BEGIN_ID], ids[:-1]])
-    previous[bounds[:-1]] = BEGIN_ID
-    return (previous.astype(bw.U64) << bw.U64(32)) | ids.astype(bw.U64)
+    return [c.astype(np.uint32) for c in (*_history(ids, bounds, order), ids)]
 
 
-def train(texts: DataFrame) -> Model:
-    """Count the texts (column text; null ones are empty) and store the model in the shared folder."""
+def train(texts: DataFrame, order: int = 2) -> Model:
+    """Count the texts (column text; null ones are empty) and store the model, of 2 words or more, in the shared folder."""
+    if order < 2:
+        raise ValueError(f"order {order}; it is 2 or more")
     spark = texts.sparkSession
     texts = texts.select("text")
     path = shared.mounted(shared.folder(spark, "ngram"))
@@ -280,37 +396,54 @@ def train(texts: DataFrame) -> Model:
     if n.sum() >= 1 << 32:
         raise ValueError(f"{n.sum()} different words; their numbers have 32 bits")
     first = np.concatenate([[0], np.cumsum(n)])
-    model = Model(path, buckets, first, int(sizes["total"].sum()), _discounts([0] * 4), _discounts([0] * 4), 0, 1.0)
+    model = Model(path, buckets, first, int(sizes["total"].sum()), order, max(8, -(-size * (order - 1) // BUCKET_TEXT)), [_discounts([0] * 4)] * (order + 1), 0, 1.0)
 
-    def count_pairs(it):
-        reader = Reader(model)
-        return _count(it, lambda t: _pair_keys(reader, t), lambda k: _bucket(bw.mix(k >> bw.U64(32)), buckets))
+    n_stats = 4 * (order + 1) + 2
+    bucket_of = lambda columns: _bucket(bw.mix(_context(columns[:-1])), model.gram_buckets) if len(columns) > 1 else (columns[0] // RANGE).astype(np.int64)
 
-    def store_pairs(table: pa.Table) -> pa.Table:
-        b, keys, counts = _merged(table)
-        one = keys >> bw.U64(32)
-        begins = np.flatnonzero(np.concatenate([[True], one[1:] != one[:-1]]))
-        sums = lambda v: np.add.reduceat(v.astype(np.int64), begins)
-        _store(f"{path}/pairs-{b}", {"keys": keys, "counts": counts.astype(np.uint32), "first": one[begins], "total": sums(counts), "one": sums(counts == 1).astype(np.uint32), "two": sums(counts == 2).astype(np.uint32), "more": sums(counts > 2).astype(np.uint32)})
-        second, before = np.unique(keys & bw.U64(0xFFFFFFFF), return_counts=True)
-        packed = _packed(second, before, (second // bw.U64(RANGE)).astype(np.int64))
-        stats = [_of_counts(counts)] + [[0] * 4] * (packed.num_rows - 1)
-        return pa.Table.from_batches([packed]).append_column("stats", pa.array(stats, type=pa.list_(pa.int64())))
-
-    pairs = texts.mapInArrow(count_pairs, PACKED).groupBy("bucket").applyInArrow(store_pairs, PACKED + ", stats array<bigint>")
-    pairs = shared.written(pairs, "before")
+    def count_grams(it):
+        reader = Reader(model)
+        return _count_grams(it, lambda t: _grams(reader, t, order), bucket_of, n_stats)
+
+    def store_grams(table: pa.Table, k: int) -> pa.Table:
+        b, columns, counts, stats = _merged_grams(table, k)
+        stats[4 * k : 4 * k + 4] += _of_counts(counts)
+        suffixes, before = _summed_grams(columns[1:], np.ones(len(counts), dtype=np.int64))
+        out = _packed_grams(suffixes, before, bucket_of(suffixes), stats.tolist())
+        context, word = _context(columns[:-1]), columns[-1]
+        if k > 3:  # hashes have another order
+            by = np.lexsort((word, context))
+            context, word, counts = context[by], word[by], counts[by]
+        begins = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        several = np.flatnonzero(np.diff(np.append(begins, len(counts))) > 1)
+        sums = lambda v: np.add.reduceat(v.astype(np.int64), begins)[several]
+        _store(
+            f"{path}/grams{k}-{b}",
+            {"context": context[begins], "first": np.append(begins, len(counts)).astype(np.uint32), "words": word, "counts": _narrow(counts), "several": several.astype(np.uint32), "total": sums(counts), "one": _narrow(sums(counts == 1)), "two": _narrow(sums(counts == 2))},
+        )
+        return pa.Table.from_batches([out])
+
+    def storing(k: int):
+        return lambda table: store_grams(table, k)
 
     def store_before(table: pa.Table) -> pa.Table:
-        part, keys, counts = _merged(table)
+        part, (keys,), counts, stats = _merged_grams(table, 1)
         dense = np.zeros(min(RANGE, int(first[-1]) - part * RANGE), dtype=np.uint32)
-        dense[(keys - bw.U64(part * RANGE)).astype(np.int64)] = counts
+        dense[keys.astype(np.int64) - part * RANGE] = counts
         _store(f"{path}/before-{part}", {"counts": dense})
-        return pa.table({"stats": pa.array([[int(dense.sum()), *_of_counts(dense), int(np.count_nonzero(dense > 2))]], type=pa.list_(pa.int64()))})
-
-    stats = lambda df, width: np.array([r[0] for r in df.select(*[F.sum(F.col("stats")[k]).alias(f"s{k}") for k in range(width)]).toPandas().fillna(0).astype("int64").T.to_numpy()])
-    model.pair_discounts = _discounts(stats(pairs, 4).tolist())
-    total, n1, n2, n3, n4, more = stats(pairs.select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(store_before, "stats array<bigint>"), 6).tolist()
-    d = model.word_discounts = _discounts([n1, n2, n3, n4])
+        stats[4:8] += _of_counts(dense)
+        stats[-2:] += [int(dense.sum()), int(np.count_nonzero(dense > 2))]
+        return pa.table({"stats": pa.array([stats.tolist()], type=pa.list_(pa.int64()))})
+
+    grams = texts.mapInArrow(count_grams, GRAMS)
+    for k in range(order, 1, -1):
+        grams = grams.groupBy("bucket").applyInArrow(storing(k), GRAMS)
+    stats = [r["stats"] for r in grams.groupBy("bucket").applyInArrow(store_before, "stats array<bigint>").collect()]  # a row for each range
+    stats = np.sum(stats, axis=0, dtype=np.int64).tolist() if stats else [0] * n_stats
+    model.discounts = [_discounts(stats[4 * k : 4 * k + 4]) for k in range(order + 1)]
+    n1, n2 = stats[4:6]
+    total, more = stats[-2:]
+    d = model.discounts[1]
     model.pairs = total
     model.rest = float(d[1] * n1 + d[2] * n2 + d[3] * more) / total if total else 1.0
     return model
@@ -348,5 +481,5 @@ def held_out():
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model = train(docs.where(~held_out()))
+    model = train(docs.where(~held_out()), ORDER)
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

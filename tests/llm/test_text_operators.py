@@ -242,6 +242,52 @@ def test_ngram_scores(spark, texts, docs):
     assert sum(p(b"<s>", b) for b in everything) == pytest.approx(1.0)
 
 
+def kneser_ney_of(texts, order):
+    """Probability of a word after order - 1 words, by the textbook, from order - 1 begin signs on."""
+    tables = {order: Counter()}
+    for t in texts:
+        w = [b"<s>"] * (order - 1) + [*tokens(t), b"</s>"]
+        tables[order].update(tuple(w[k : k + order]) for k in range(len(w) - order + 1))
+    for k in range(order - 1, 0, -1):
+        tables[k] = Counter(g[1:] for g in tables[k + 1])
+    discount, after = {}, {k: defaultdict(list) for k in tables}
+    for k, table in tables.items():
+        n = [sum(v == c for v in table.values()) for c in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if min(n) else 0
+        discount[k] = [0, *(min(c + 1, max(0, c + 1 - (c + 2) * y * n[c + 1] / n[c])) for c in range(3))] if min(n) else [0, 0.5, 1.0, 1.5]
+        for g, c in table.items():
+            after[k][g[:-1]].append(c)
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 1 / (len(tables[1]) + 1)
+        low, own = p(gram[1:]), after[k].get(gram[:-1])
+        if not own:
+            return low
+        c, d = tables[k][gram], discount[k]
+        return max(0, c - d[min(3, c)]) / sum(own) + sum(d[min(3, v)] for v in own) / sum(own) * low
+
+    return p, [g[0] for g in tables[1]]
+
+
+@pytest.mark.parametrize("order", [2, 3, 4, 5])
+def test_ngram_scores_of_orders(spark, texts, docs, order, monkeypatch):
+    monkeypatch.setattr(ngram, "HELD", 500)
+    train = [t for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 7 != 2]
+    p, words = kneser_ney_of(train, order)
+    got = {r["doc_id"]: r["score"] for r in ngram.score(docs, ngram.train(docs.where(~ngram.held_out()), order)).collect()}
+    for k, t in enumerate(texts):
+        w = [b"<s>"] * (order - 1) + [*tokens(t), b"</s>"]
+        assert got[k] == pytest.approx(sum(math.log10(p(tuple(w[j : j + order]))) for j in range(len(w) - order + 1)))
+    context = tuple([b"<s>"] * (order - 2) + [tokens(train[0])[0]])
+    assert sum(p((*context, b)) for b in [*words, b"never seen"]) == pytest.approx(1.0)
+
+
+def test_ngram_query_uses_longer_contexts():
+    assert ngram.ORDER >= 3
+
+
 def test_ngram_of_nothing(spark, docs):
     model = ngram.train(docs.limit(0))
     assert {r["n_known"] for r in ngram.score(docs, model).collect()} == {0}
