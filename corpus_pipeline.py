@@ -34,9 +34,10 @@ def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 200 bytes that occur earlier (by doc_id and place) go from the text; documents that nothing is left of go."""
-    cut = repeats.remove_repeats(docs.select(*COLUMNS), keep_first=True, details=False)
-    return _sized(cut.where((F.trim("text") != "") | (F.col("n_chars") == 0) | F.col("text").isNull()))
+    """Strings of 200 bytes that occur earlier (by doc_id and place) go from the text; documents that something was cut from and nothing but spaces is left of go."""
+    sized = docs.select(*COLUMNS, F.octet_length("text").alias("_bytes"))
+    cut = repeats.remove_repeats(sized, keep_first=True, details=False)
+    return _sized(cut.where((F.trim("text") != "") | (F.octet_length("text") == F.col("_bytes")) | F.col("text").isNull()))
 
 
 def decontaminate_benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,3 +35,11 @@ def test_stages(spark):
     assert all(h == 0 for _, h, _ in brute_hits([r["text"] for r in clean.values()], items))
     assert {r["doc_id"] for r in packed} == set(clean)
     assert corpus_pipeline.run(spark, SF).count() == len(packed)
+
+
+def test_cutting_drops_only_what_was_cut(spark):
+    long = "".join(f"{k} " for k in range(200))
+    rows = [(1, "", 0), (2, "", None), (3, "   ", 3), (4, None, None), (5, long, len(long)), (6, long, len(long)), (7, "x", None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", n) for k, t, n in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeats(spark, docs, SF).collect()}
+    assert got == {1: "", 2: "", 3: "   ", 4: None, 5: long, 7: "x"}
