@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -77,13 +78,13 @@ class Anchors:
         self.digest = bw.mix(span + (self.left * 65536 + self.right).astype(bw.U64) * bw.U64(0x9E3779B97F4A7C15))
 
 
-FIELDS = (("anchor", bw.U64), ("digest", bw.U64), ("count", np.uint32), ("doc", np.int64), ("place", np.int64))
+FIELDS = (("anchor", bw.U64), ("digest", bw.U64), ("count", np.uint32), ("doc", np.int64), ("tag", bw.U64), ("place", np.int64))
 PACKED = "bucket int, " + ", ".join(f"{n} binary" for n, _ in FIELDS)
 
 
 def _least_first(a: dict[str, np.ndarray], by: tuple[str, ...]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Rows with equal keys become one: counts are summed, of (doc, place) the least stays. Sorted by the keys."""
-    order = np.lexsort((a["place"], a["doc"], *(a[k] for k in reversed(by))))
+    """Rows with equal keys become one: counts are summed, of (doc, tag, place) the least stays. Sorted by the keys."""
+    order = np.lexsort((a["place"], a["tag"], a["doc"], *(a[k] for k in reversed(by))))
     a = {k: v[order] for k, v in a.items()}
     if not len(order):
         return a, order
@@ -103,15 +104,27 @@ def _unpacked(table: pa.Table) -> tuple[int, dict[str, np.ndarray]]:
     return table.column("bucket")[0].as_py(), {k: np.frombuffer(b"".join(table.column(k).to_pylist()), dtype=t) for k, t in FIELDS}
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bw.Texts, np.ndarray]]:
+@dataclass
+class Docs:
+    """What tells documents apart: the id (least for a null one), and a digest of the text and of whether the id is null."""
+
+    id: np.ndarray
+    tag: np.ndarray
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bw.Texts, Docs]]:
     for batch in batches:
-        ids = batch.column(batch.schema.get_field_index("_id")).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+        column = batch.column(batch.schema.get_field_index("_id"))
+        ids, null = column.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False)
         for texts in bw.slices(batch.column(batch.schema.get_field_index("text")), SLICE_BYTES):
-            yield batch, texts, ids[texts.first : texts.first + len(texts)]
+            rows = slice(texts.first, texts.first + len(texts))
+            sums, down = bw.prefix_hashes(texts.data)
+            tag = bw.span_hashes(sums, down, texts.bounds[:-1], texts.bounds[1:])
+            yield batch, texts, Docs(ids[rows], np.where(null[rows], ~tag, tag))
 
 
-def _occurrences(a: Anchors, texts: bw.Texts, ids: np.ndarray) -> dict[str, np.ndarray]:
-    return {"anchor": a.hash, "digest": a.digest, "count": np.ones(len(a.at), dtype=np.uint32), "doc": ids[a.row], "place": a.at - texts.bounds[a.row]}
+def _occurrences(a: Anchors, texts: bw.Texts, docs: Docs) -> dict[str, np.ndarray]:
+    return {"anchor": a.hash, "digest": a.digest, "count": np.ones(len(a.at), dtype=np.uint32), "doc": docs.id[a.row], "tag": docs.tag[a.row], "place": a.at - texts.bounds[a.row]}
 
 
 def _join(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
@@ -120,8 +133,8 @@ def _join(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch], buckets: int, window: int) -> Iterator[pa.RecordBatch]:
     held, n = [], 0
-    for _, texts, ids in _batches(batches):
-        held.append(_occurrences(Anchors(texts, window), texts, ids))
+    for _, texts, docs in _batches(batches):
+        held.append(_occurrences(Anchors(texts, window), texts, docs))
         n += len(held[-1]["anchor"])
         if n > HELD:
             a, _ = _least_first(_join(held), ("anchor", "digest"))
@@ -143,20 +156,20 @@ def _settle(table: pa.Table, path: str, crowd: int) -> pa.Table:
     order = np.argsort(a["digest"][keep], kind="stable")
     kept = {k: v[keep][order] for k, v in a.items()}
     _store(f"{path}/anchors-{b}", {"anchor": a["anchor"][begins[different > 1]], "crowded": (different[different > 1] > crowd).astype(np.uint8)})
-    _store(f"{path}/contexts-{b}", {"digest": kept["digest"], "twin": (kept["count"] > 1).astype(np.uint8), "doc": kept["doc"], "place": kept["place"]})
+    _store(f"{path}/contexts-{b}", {"digest": kept["digest"], "twin": (kept["count"] > 1).astype(np.uint8), "doc": kept["doc"], "tag": kept["tag"], "place": kept["place"]})
     return pa.table({"n": pa.array([int(np.count_nonzero(different > 1))], type=pa.int64())})
 
 
 class Lookup:
-    """What the folder has about anchors: several (1, crowded: 2), context twin, first (doc, place) of its context."""
+    """What the folder has about anchors: several (1, crowded: 2), context twin, first (doc, tag, place) of its context."""
 
     def __init__(self, path: str, buckets: int) -> None:
         self.buckets = buckets
         self.anchors, self.contexts, self.sorted, self.windows = (Folder(f"{path}/{k}") for k in ("anchors", "contexts", "sorted", "windows"))
 
-    def __call__(self, a: Anchors) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def __call__(self, a: Anchors) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         several, twin = np.zeros(len(a.at), dtype=np.uint8), np.zeros(len(a.at), dtype=bool)
-        doc, place = np.zeros(len(a.at), dtype=np.int64), np.full(len(a.at), -1, dtype=np.int64)
+        doc, tag, place = np.zeros(len(a.at), dtype=np.int64), np.zeros(len(a.at), dtype=bw.U64), np.full(len(a.at), -1, dtype=np.int64)
         bucket = _bucket(a.hash, self.buckets)
         for b in np.unique(bucket).tolist():
             file = self.anchors[b]
@@ -168,8 +181,8 @@ class Lookup:
             file = self.contexts[b]
             k = bw.found_in(a.digest[at], file["digest"])
             at, k = at[k >= 0], k[k >= 0]
-            twin[at], doc[at], place[at] = file["twin"][k] > 0, file["doc"][k], file["place"][k]
-        return several, twin, doc, place
+            twin[at], doc[at], tag[at], place[at] = file["twin"][k] > 0, file["doc"][k], file["tag"][k], file["place"][k]
+        return several, twin, doc, tag, place
 
 
 def _windows(a: Anchors, some: np.ndarray, n: int, window: int) -> np.ndarray:
@@ -212,14 +225,14 @@ def _send(batches: Iterator[pa.RecordBatch], path: str, buckets: int, window: in
         nothing = pa.array([b""] * base.num_rows, type=pa.binary())
         return pa.Table.from_batches([base]).append_column("sizes", nothing).append_column("bytes", nothing).combine_chunks().to_batches()[0]
 
-    for _, texts, ids in _batches(batches):
+    for _, texts, docs in _batches(batches):
         a = Anchors(texts, window)
-        several, _, doc, place = look(a)
+        several, _, doc, tag, place = look(a)
         some = np.flatnonzero(several == 1)
         if len(some):
             _, one = np.unique(a.digest[some], return_index=True)
             some = some[one]
-            held.append({"anchor": a.hash[some], "digest": a.digest[some], "count": np.ones(len(some), dtype=np.uint32), "doc": doc[some], "place": place[some]})
+            held.append({"anchor": a.hash[some], "digest": a.digest[some], "count": np.ones(len(some), dtype=np.uint32), "doc": doc[some], "tag": tag[some], "place": place[some]})
             sizes.append(a.left[some] * 65536 + a.right[some])
             start, size = a.at[some] - a.left[some], a.left[some] + a.right[some]
             total = np.cumsum(size)
@@ -229,7 +242,7 @@ def _send(batches: Iterator[pa.RecordBatch], path: str, buckets: int, window: in
         if len(start):
             row = np.searchsorted(texts.bounds, start, side="right") - 1
             h = bw.span_hashes(a.sums, a.down, start, start + window)
-            hashed.append({"anchor": h, "digest": h, "count": np.ones(len(h), dtype=np.uint32), "doc": ids[row], "place": start - texts.bounds[row]})
+            hashed.append({"anchor": h, "digest": h, "count": np.ones(len(h), dtype=np.uint32), "doc": docs.id[row], "tag": docs.tag[row], "place": start - texts.bounds[row]})
             n_hashed += len(h)
             if n_hashed > HELD:
                 yield windows()
@@ -319,7 +332,7 @@ def _sort(table: pa.Table, path: str, buckets: int, window: int) -> pa.Table:
     if b >= buckets:  # windows of crowded anchors
         a, _ = _least_first(a, ("anchor",))
         keep = a["count"] > 1
-        _store(f"{path}/windows-{b - buckets}", {"window": a["anchor"][keep], "doc": a["doc"][keep], "place": a["place"][keep]})
+        _store(f"{path}/windows-{b - buckets}", {"window": a["anchor"][keep], "doc": a["doc"][keep], "tag": a["tag"][keep], "place": a["place"][keep]})
         return pa.table({"n": pa.array([int(keep.sum())], type=pa.int64())})
     size = np.frombuffer(b"".join(table.column("sizes").to_pylist()), dtype=np.uint32).astype(np.int64)
     data = np.frombuffer(b"".join(table.column("bytes").to_pylist()), dtype=np.uint8)
@@ -329,9 +342,9 @@ def _sort(table: pa.Table, path: str, buckets: int, window: int) -> pa.Table:
     length, start, size = length[pick], (ends - length)[pick], size[pick]
     digests, left, right = a["digest"], size >> 16, size & 65535
     width = window - GRAM + 1
-    order = np.lexsort((a["place"], a["doc"]))
+    order = np.lexsort((a["place"], a["tag"], a["doc"]))
     rank = np.empty(len(order), dtype=np.int64)
-    rank[order] = np.cumsum(np.concatenate([[True], (a["doc"][order][1:] != a["doc"][order][:-1]) | (a["place"][order][1:] != a["place"][order][:-1])]))
+    rank[order] = np.cumsum(np.concatenate([[True], np.any([a[k][order][1:] != a[k][order][:-1] for k in ("doc", "tag", "place")], axis=0)]))
     group = np.cumsum(np.concatenate([[True], a["anchor"][1:] != a["anchor"][:-1]])) - 1
     repeated = np.zeros((len(digests), width), dtype=bool)
     earliest = np.zeros((len(digests), width), dtype=bool)
@@ -361,12 +374,12 @@ def _sort(table: pa.Table, path: str, buckets: int, window: int) -> pa.Table:
     return pa.table({"n": pa.array([len(digests)], type=pa.int64())})
 
 
-def _removed(look: Lookup, texts: bw.Texts, ids: np.ndarray, window: int, keep_first: bool) -> np.ndarray:
+def _removed(look: Lookup, texts: bw.Texts, docs: Docs, window: int, keep_first: bool) -> np.ndarray:
     """True for each byte that a repeated window covers (with keep_first: one that isn't the first of its kind)."""
     a = Anchors(texts, window)
-    several, twin, doc, place = look(a)
+    several, twin, doc, tag, place = look(a)
     edges = np.zeros(len(texts.data) + 1, dtype=np.int32)
-    here = (doc == ids[a.row]) & (place == a.at - texts.bounds[a.row])  # this is the first place of its context
+    here = (doc == docs.id[a.row]) & (tag == docs.tag[a.row]) & (place == a.at - texts.bounds[a.row])  # this is the first place of its context
     width = window - GRAM + 1
     packed_width = -(-width // 8)
     bucket = _bucket(a.hash, look.buckets)
@@ -399,7 +412,7 @@ def _removed(look: Lookup, texts: bw.Texts, ids: np.ndarray, window: int, keep_f
             w = bw.found_in(h[at], file["window"])
             at, w = at[w >= 0], w[w >= 0]
             if keep_first:
-                later = ~((file["doc"][w] == ids[row[at]]) & (file["place"][w] == start[at] - texts.bounds[row[at]]))
+                later = ~((file["doc"][w] == docs.id[row[at]]) & (file["tag"][w] == docs.tag[row[at]]) & (file["place"][w] == start[at] - texts.bounds[row[at]]))
                 at = at[later]
             starts.append(start[at])
     if starts:
@@ -414,8 +427,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_first: bool = Fal
 
     Each byte that is covered by a string of `window` bytes that starts at another
     place too, in any row or the same, is removed; strings are those of the input.
-    With keep_first the first of equal strings, by id and then by place, stays; rows
-    with the same id and text are then one document. Null texts are empty (and
+    With keep_first the first of equal strings, by id (null ones first), then by a digest
+    of the text and then by place, stays; rows with the same id (or none) and text are then
+    one document. Null texts are empty (and
     stay null); texts shorter than the window are left as they are. Characters of
     which a part is removed go from `text`, while kept_sha256 is of the bytes kept.
     Columns named like a detail are replaced.
@@ -437,8 +451,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_first: bool = Fal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Lookup(path, buckets)
-        for batch, part, ids in _batches(batches):
-            gone = _removed(look, part, ids, window, keep_first)
+        for batch, part, own_docs in _batches(batches):
+            gone = _removed(look, part, own_docs, window, keep_first)
             own = batch.slice(part.first, len(part))
             arrays = dict(zip(own.schema.names, own.columns, strict=True))
             given, out = arrays["text"], []

@@ -188,6 +188,21 @@ def test_repeated_rows_are_repeats(spark):
     assert repeats.remove_repeats(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [repeats.CROWD, 1])
+def test_first_of_texts_without_different_ids(spark, crowd):
+    same = " ".join(f"w{k}" for k in range(90))
+    tails = ["", " a", " and b of more than a few bytes " * 9, " c" * 60]
+    for key in (None, 5):
+        rows = spark.createDataFrame([(key, same + t) for t in tails] + [(None, "short"), (7, same)], "doc_id long, text string").repartition(3)
+        got = repeats.remove_repeats(rows, keep_first=True, crowd=crowd).collect()
+        # Of the shared string one copy stays.
+        assert sum(same in r["text"] for r in got) == 1 and len(got) == 6
+        assert next(r["text"] for r in got if r["doc_id"] == 7) == ""
+    least = -(1 << 63)
+    rows = spark.createDataFrame([(None, same), (least, same), (least, same)], "doc_id long, text string")
+    assert sorted((r["doc_id"] is None, r["text"]) for r in repeats.remove_repeats(rows, keep_first=True, crowd=crowd).collect()) in ([(False, ""), (False, ""), (True, same)], [(False, same), (False, same), (True, "")])
+
+
 def test_longest_previous_factors():
     rng = random.Random(2)
     for _ in range(30):
