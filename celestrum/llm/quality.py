@@ -101,9 +101,11 @@ def _score(batches: Iterator[pa.RecordBatch], model: np.ndarray, columns: list[s
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> np.ndarray:
     """The model from a sample of labels (doc_id, quality) and their texts in docs (doc_id, text).
 
-    The sample is the labelled ids with the least hashes. Labels other than 0
+    The sample is the labelled ids with the least hashes; texts that don't fit
+    into what is left of the bytes are left out of it. Labels other than 0
     and 1, null ids, and ids with both labels are left out; of an id's texts
-    the least counts; null texts are empty.
+    the least counts; null texts are empty. Labelled texts of which none fits
+    are an error.
     """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
@@ -116,9 +118,18 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
     sized = rows.withColumn("_bytes", F.coalesce(F.octet_length("text"), F.lit(0)))
-    # At most sample_rows rows, so a running sum over them in one task is small.
-    running = sized.select("doc_id", F.expr("sum(_bytes) OVER (ORDER BY xxhash64(doc_id), doc_id)").alias("_upto")).where(F.col("_upto") <= sample_bytes)
-    taken = sized.join(F.broadcast(running.select("doc_id")), "doc_id").select("doc_id", "text", "_label").toPandas().sort_values("doc_id")
+    # At most sample_rows ids and sizes come to the driver.
+    sizes = sized.select("doc_id", "_bytes").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    ids, left = [], sample_bytes
+    for r in sizes:
+        if r["_bytes"] <= left:
+            ids.append((r["doc_id"],))
+            left -= r["_bytes"]
+    if sizes and not ids:
+        raise ValueError(f"none of {len(sizes)} labelled texts has at most {sample_bytes} bytes")
+    if len(ids) < len(sizes):
+        sized = sized.join(F.broadcast(docs.sparkSession.createDataFrame(ids, sized.select("doc_id").schema)), "doc_id")
+    taken = sized.select("doc_id", "text", "_label").toPandas().sort_values("doc_id")
     return fit([None if pd.isna(t) else t for t in taken["text"]], taken["_label"].astype(int).tolist())
 
 

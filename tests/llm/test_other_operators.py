@@ -172,6 +172,21 @@ def test_quality_of_odd_tables(spark, docs):
     assert quality.score(docs.limit(0), model).count() == 0 and not quality.learn(docs, labels.limit(0)).any()
 
 
+def test_quality_sample_goes_on_after_a_long_text(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(quality, "fit", lambda texts, labels: taken.append(sorted(zip(texts, labels, strict=True))))
+    order = [r[0] for r in spark.range(6).orderBy(F.xxhash64("id")).collect()]
+    text = {k: "x" * (1000 if n in (0, 3) else 10 + n) for n, k in enumerate(order)}
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(6)], "doc_id long, quality int")
+    quality.learn(docs, labels, sample_bytes=100)
+    assert taken == [sorted((text[k], k % 2) for n, k in enumerate(order) if n not in (0, 3))]
+    quality.learn(docs, labels)
+    assert len(taken[1]) == 6
+    with pytest.raises(ValueError, match="labelled"):
+        quality.learn(docs, labels, sample_bytes=5)
+
+
 # Top-k
 
 
