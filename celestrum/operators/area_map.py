@@ -194,12 +194,14 @@ def soften(a: DataFrame, level: int, average: bool = True) -> DataFrame:
 
 def covering(a: DataFrame, most: int) -> DataFrame:
     """Cells of one level that hold the map, at the finest level at which they are at most `most` (the coarsest if none is)."""
-    counts = [coverage(a, level).agg(F.count("*").alias("n")).withColumn("level", F.lit(level)) for level in range(cells.MIN_LEVEL, cells.MIN_LEVEL + 6)]
-    table = counts[0]
-    for c in counts[1:]:
-        table = table.unionByName(c)
-    fit = table.where(F.col("n") <= most).agg(F.max("level")).first()[0]
-    return coverage(a, fit if fit is not None else cells.MIN_LEVEL)
+    out = coverage(a, cells.MIN_LEVEL)
+    for level in range(cells.MIN_LEVEL, cells.MAX_LEVEL + 1):
+        # A finer level has at least as many cells, and at most four times as many.
+        finer = coverage(a, level)
+        if finer.count() > most:
+            break
+        out = finer
+    return out
 
 
 def status(some: DataFrame, area: DataFrame) -> DataFrame:

@@ -196,3 +196,11 @@ def test_stream_adds_to_cells(spark, tmp_path):
         q.stop()
     want = cells.with_cell(rows, 4).groupBy("x", "y").count()
     assert {(r["x"], r["y"], r["n_points"]) for r in spark.table("cell_totals").collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_covering_tries_all_levels(spark):
+    one = spark.createDataFrame([(12, 70000, 20000, 1.0)], "level int, x long, y long, weight double")
+    assert [r["level"] for r in area_map.covering(one, 1).collect()] == [12]
+    assert {r["level"] for r in area_map.covering(one, 20).collect()} == {14} and area_map.covering(one, 20).count() == 16
+    assert {r["level"] for r in area_map.covering(one, 1000).collect()} == {15}
+    assert {r["level"] for r in area_map.covering(one, 0).collect()} == {2}
