@@ -214,13 +214,42 @@ def status(some: DataFrame, area: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("unmasked") > 1 - 1e-9, 1).when(F.col("unmasked") > 0, -1).otherwise(0))
 
 
+def _around(bound) -> tuple[float, float, float, float]:
+    """The bound's extent, or that of a circle around it where the shape itself has none."""
+    from celestrum.functions import bounds
+
+    if isinstance(bound, bounds.LatLonBox):
+        wide = (bound.lon_max - bound.lon_min) % 360.0
+        return bounds.Circle(bound.lon_min + wide / 2, (bound.lat_min + bound.lat_max) / 2, min(180.0, (bound.lat_max - bound.lat_min + wide) / 2), bound.system).extent
+    return bound.extent
+
+
+def _level_of_area(area: float) -> int:
+    """The coarsest level whose cells have less than a hundredth of the area."""
+    level = cells.MIN_LEVEL
+    while level < cells.MAX_LEVEL and area <= 100.0 * cells.cell_area(1 << level):
+        level += 1
+    return level
+
+
 def pixelize(spark, bound, level: int, start: int = 4, weight: float = 1.0) -> DataFrame:
-    """The region as a map of cells down to `level`: cells whose 17 probe points are all inside are kept, those partly inside are divided; at the last level those with most of their score inside stay."""
+    """The region as a map of cells down to `level`: cells whose 17 probe points are all inside are kept, those partly inside are divided; at the last level those with most of their score inside stay.
+
+    It begins at `start`, or at a finer level (`level` at most) where cells have a hundredth of the bound's area, so that none of a
+    small region lies between probe points. Only cells that its extent touches are looked at then; of a bound without an extent
+    (polygons, bands, combinations) parts much smaller than a cell of level `start` + 2 can still be missed: give a finer start.
+    """
     from celestrum.functions.coords import survey_to_xyz
 
+    lam_min, lam_max, eta_min, eta_max = _around(bound)
+    by_area = min(level, _level_of_area(bound.area))
+    small = by_area > start and (lam_min, lam_max, eta_min, eta_max) != (-90.0, 90.0, -180.0, 180.0)
+    start = by_area if small else start
     nx, ny = cells.NX0 << start, cells.NY0 << start
-    lam_min, lam_max, eta_min, eta_max = bound.extent
     now = spark.range(ny).select(F.col("id").alias("y")).where((cells.edge_lambda(1 << start, F.col("y") + 1) <= lam_max) & (cells.edge_lambda(1 << start, F.col("y")) >= lam_min)).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nx - 1).cast("long")))).withColumn("level", F.lit(start))
+    if small and eta_max - eta_min != 360.0:
+        half = 180.0 / nx + 1e-9
+        now = now.where(F.pmod(cells.edge_eta(1 << start, F.col("x") + 0.5) - eta_min + half, F.lit(360.0)) <= (eta_max - eta_min) % 360.0 + 2 * half)
     out = None
     # Offsets in the cell and weights of the probe points: centre, then the middle ring, the sides and the corners.
     ring = [(0.5, 0.5, 4)] + [(x, y, 3) for x, y in ((0.25, 0.25), (0.75, 0.25), (0.25, 0.75), (0.75, 0.75))] + [(x, y, 3) for x, y in ((0.5, 0.25), (0.5, 0.75), (0.25, 0.5), (0.75, 0.5))] + [(x, y, 2) for x, y in ((0.5, 0.0), (0.5, 1.0), (0.0, 0.5), (1.0, 0.5))] + [(x, y, 1) for x, y in ((0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (1.0, 1.0))]

@@ -204,3 +204,10 @@ def test_covering_tries_all_levels(spark):
     assert {r["level"] for r in area_map.covering(one, 20).collect()} == {14} and area_map.covering(one, 20).count() == 16
     assert {r["level"] for r in area_map.covering(one, 1000).collect()} == {15}
     assert {r["level"] for r in area_map.covering(one, 0).collect()} == {2}
+
+
+@pytest.mark.parametrize(("lam", "eta"), [(60, 0), (3.3, 179.999), (-20.01, 77.7)])
+def test_small_circles_are_pixelized(spark, lam, eta):
+    circle = bounds.Circle(lam, eta, 0.01, "survey")
+    got = area_map.summary(area_map.pixelize(spark, circle, 13)).first()
+    assert got["area"] == pytest.approx(circle.area, rel=0.1)
