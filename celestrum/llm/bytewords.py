@@ -1,8 +1,8 @@
 """Words of many texts at once, as numpy arrays over their UTF-8 bytes.
 
-Texts come as Arrow arrays and are worked through in slices of a few megabytes
-(a text is never cut), so a task's memory follows its longest text, not its
-partition. A word is known by a 64-bit hash of its bytes.
+Texts come as Arrow arrays and are worked through in slices of a few megabytes,
+and longer texts in pieces, so a task's memory doesn't follow its partition, and
+hardly its longest text. A word is known by a 64-bit hash of its bytes.
 """
 
 from __future__ import annotations
@@ -137,6 +137,22 @@ def words(texts: Texts, inside: np.ndarray, fold: bool = True) -> Words:
     return Words(starts, ends, np.repeat(np.arange(rows), np.diff(of_row)), span_hashes(sums, down, starts, ends), of_row)
 
 
+def pieces(texts: Texts, inside: np.ndarray, limit: int = 2 * SLICE_BYTES) -> Iterator[Texts]:
+    """A text that is a slice of its own in pieces of about `limit` bytes, cut where no word is; other slices as they are. A longer word isn't cut."""
+    data, n = texts.data, len(texts.data)
+    if len(texts) != 1 or n <= limit:
+        yield texts
+        return
+    at = 0
+    while at < n:
+        end, look = min(n, at + limit), 1 << 12
+        while end < n and inside[data[end]]:
+            stop = np.flatnonzero(~inside[data[end : end + look]])
+            end = end + int(stop[0]) if len(stop) else min(n, end + look)
+        yield Texts(texts.first, data[at:end], np.array([0, end - at]))
+        at = end
+
+
 _Q = U64(0xD6E8FEB86659FD93)
 
 

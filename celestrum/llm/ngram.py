@@ -1,28 +1,27 @@
 """Language-model scoring: an interpolated modified Kneser-Ney model of any order.
 
-Counting goes by shuffles of packed arrays. First the words: each task counts
-its words by 64-bit hash and sends sorted arrays by the hash's leading bits;
-each bucket is merged and stored as a sorted array, in which a word's place is
-its number. Then the n-grams of the highest order, as columns of word numbers,
-by their context (all words but the last): each bucket is stored as sorted
-contexts with their next words and counts, and its n-grams less their first word
-are sent on, with the number of different words before them, as the counts of
-the order below. So it goes down to single words, whose continuation counts
-are summed by ranges of word numbers. Texts begin with order - 1 begin signs.
-
-Contexts of one or two words are known exactly, longer ones by 64-bit hashes.
-Files are in the shared folder and are memory-mapped by the workers that score;
-a file takes its name only when it is whole, so a task that runs twice leaves
-the same files. Buckets are sized by the bytes of the training texts.
+Counting goes by shuffles of packed, compressed arrays. First the words: each
+task counts its words by 64-bit hash and sends sorted arrays by the hash's
+leading bits; each bucket is merged and stored as a sorted array, in which a
+word's place is its number. Then the n-grams of the highest order, as columns of
+word numbers, by their context (all words but the last): each bucket is stored
+as sorted contexts with their next words and counts, and its n-grams less their
+first word are sent on, with the number of different words before them, as the
+counts of the order below. So it goes down to single words, whose continuation
+counts are summed by ranges of word numbers. Texts begin with order - 1 begin
+signs.
+
+Contexts whose words are all very frequent are dealt over several buckets by the
+next word; their totals are added up when they are read. Of a context's 64-bit
+hash a bucket keeps the low half, sorted within cells that the high half gives.
+Files are in the shared folder and are memory-mapped by the workers that score.
+Buckets are sized by the bytes of the training texts.
 """
 
 from __future__ import annotations
 
-import mmap
-import os
-import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from celestrum.llm import bytewords as bw
-from celestrum.llm import shared
+from celestrum.llm import mapped, shared
 
 #: The query's order: words of the longest n-grams.
 ORDER = 3
@@ -38,68 +37,51 @@ ORDER = 3
 BUCKET_TEXT = 32 << 20
 #: Word numbers in one range of continuation counts.
 RANGE = 1 << 20
+#: Different keys that a task holds before it sends them.
 HELD = 1_000_000
+#: Cells of a bucket, in which contexts are sorted by the low halves of their hashes.
+CELLS = 1 << 14
+#: Contexts of words that all occur more often are dealt over several buckets: one for each so many. At most SPLITS words are so frequent.
+SPLIT, SPLITS = 4 << 20, 4096
+#: Next words up to which a context's totals are added up when it is read.
+LONG = 32
 END = bw.U64(0x1F3D5B79_2468ACE1)
-BEGIN_ID = np.int64((1 << 32) - 1)
-
-
-def _store(path: str, arrays: dict[str, np.ndarray]) -> None:
-    """All arrays in one file: a line of names, types and lengths, then the bytes."""
-    head = ";".join(f"{k},{v.dtype.str},{len(v)}" for k, v in arrays.items()).encode()
-    head += b" " * (-(len(head) + 1) % 8) + b"\n"
-    part = f"{path}.{uuid.uuid4().hex}"
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(part, "wb") as f:
-        f.write(head)
-        for v in arrays.values():
-            f.write(v.tobytes())
-            f.write(b"\0" * (-v.nbytes % 8))
-    os.replace(part, path)
-
-
-def _mapped(path: str) -> dict[str, np.ndarray]:
-    with open(path, "rb") as f:
-        whole = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-    at = whole.find(b"\n") + 1
-    out = {}
-    for part in whole[: at - 1].decode().strip().split(";"):
-        name, kind, n = part.split(",")
-        dtype = np.dtype(kind)
-        out[name] = np.frombuffer(whole, dtype=dtype, count=int(n), offset=at)
-        at += int(n) * dtype.itemsize
-        at += -at % 8
-    return out
-
-
-class Folder:
-    """Files of one kind, mapped when first used."""
-
-    def __init__(self, path: str) -> None:
-        self.path, self.open = path, {}
-
-    def __getitem__(self, k: int) -> dict[str, np.ndarray] | None:
-        if k not in self.open:
-            name = f"{self.path}-{k}"
-            self.open[k] = _mapped(name) if os.path.exists(name) else None
-        return self.open[k]
+_C = bw.U64(0x9E3779B97F4A7C15)
+_CODEC = pa.Codec("zstd", compression_level=6)
 
 
-def _tokens(texts: bw.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the rows' words, each row closed by the end, and the rows' bounds in them."""
-    w = bw.words(texts, bw.SPACED)
-    bounds = w.of_row + np.arange(len(w.of_row))
-    out = np.full(len(w.hashes) + len(texts), END, dtype=bw.U64)
-    out[np.arange(len(w.hashes)) + w.row] = w.hashes
-    return out, bounds
+@dataclass
+class Tokens:
+    """Hashes of rows' words, each row closed by the end; row k at bounds[k]:bounds[k + 1].
 
+    Of a long text's pieces each is one row: lead tokens of the piece before come
+    first, only the last has an end, and `more` says that another follows.
+    """
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return keys, counts
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts, first)
+    first: int
+    hashes: np.ndarray
+    bounds: np.ndarray
+    lead: int = 0
+    more: bool = False
+
+
+def tokens_of(column: pa.Array, order: int, limit: int = 2 * bw.SLICE_BYTES) -> Iterator[Tokens]:
+    for texts in bw.slices(column):
+        before, n = None, 0
+        for piece in bw.pieces(texts, bw.SPACED, limit):
+            w = bw.words(piece, bw.SPACED)
+            n += len(piece.data)
+            if len(texts) > 1 or before is None and n == len(texts.data):
+                bounds = w.of_row + np.arange(len(w.of_row))
+                out = np.full(len(w.hashes) + len(texts), END, dtype=bw.U64)
+                out[np.arange(len(w.hashes)) + w.row] = w.hashes
+                yield Tokens(texts.first, out, bounds)
+                continue
+            more = n < len(texts.data)
+            lead = np.zeros(0, dtype=bw.U64) if before is None else before
+            out = np.concatenate([lead, w.hashes, np.full(int(not more), END)])
+            yield Tokens(texts.first, out, np.array([0, len(out)]), len(lead), more)
+            before = out[max(0, len(out) - (order - 1)) :]
 
 
 def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
@@ -107,75 +89,29 @@ def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
     return ((values >> bw.U64(32)) * bw.U64(buckets) >> bw.U64(32)).astype(np.int64)
 
 
-PACKED = "bucket int, keys binary, counts binary"
-
-
-def _packed(keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(bucket, kind="stable")
-    keys, counts, bucket = keys[order], counts[order].astype(np.uint32), bucket[order]
-    which, first = np.unique(bucket, return_index=True)
-    ends = np.append(first[1:], len(bucket))
-    return pa.RecordBatch.from_pydict(
-        {
-            "bucket": pa.array(which, type=pa.int32()),
-            "keys": pa.array([keys[a:b].tobytes() for a, b in zip(first, ends, strict=True)], type=pa.binary()),
-            "counts": pa.array([counts[a:b].tobytes() for a, b in zip(first, ends, strict=True)], type=pa.binary()),
-        }
-    )
-
-
-def _count(batches: Iterator[pa.RecordBatch], keys_of, bucket_of) -> Iterator[pa.RecordBatch]:
-    """Counts of keys_of(texts) over a task, sent whenever HELD different keys are held."""
-    keys, counts, fresh, n_fresh = np.zeros(0, dtype=bw.U64), np.zeros(0, dtype=np.int64), [], 0
-    for batch in batches:
-        for texts in bw.slices(batch.column(batch.schema.get_field_index("text"))):
-            fresh.append(np.unique(keys_of(texts), return_counts=True))
-            n_fresh += len(fresh[-1][0])
-            if n_fresh > HELD // 2:
-                keys, counts = _summed(np.concatenate([keys, *(k for k, _ in fresh)]), np.concatenate([counts, *(c for _, c in fresh)]))
-                fresh, n_fresh = [], 0
-                if len(keys) > HELD:
-                    yield _packed(keys, counts, bucket_of(keys))
-                    keys, counts = keys[:0], counts[:0]
-    keys, counts = _summed(np.concatenate([keys, *(k for k, _ in fresh)]), np.concatenate([counts, *(c for _, c in fresh)]))
-    if len(keys):
-        yield _packed(keys, counts, bucket_of(keys))
-
-
-def _merged(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
-    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), dtype=bw.U64)
-    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype=np.uint32).astype(np.int64)
-    return table.column("bucket")[0].as_py(), *_summed(keys, counts)
-
-
 def _sealed(columns: list[np.ndarray]) -> bytes:
-    """Columns of 32 bits, the first ascending, compressed by planes of bytes."""
+    """Columns of one unsigned type, the first ascending, compressed by planes of bytes."""
     columns = [np.diff(columns[0], prepend=columns[0].dtype.type(0)), *columns[1:]]
-    planes = b"".join(np.ascontiguousarray(c, dtype="<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns)
-    return len(columns[0]).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+    size = columns[0].dtype.itemsize
+    planes = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, size).T.tobytes() for c in columns)
+    return bytes([size]) + len(columns[0]).to_bytes(8, "little") + _CODEC.compress(planes, asbytes=True)
 
 
 def _opened(sealed: bytes, width: int) -> list[np.ndarray]:
-    n = int.from_bytes(sealed[:8], "little")
-    planes = np.frombuffer(pa.decompress(sealed[8:], decompressed_size=4 * width * n, codec="zstd", asbytes=True), dtype=np.uint8).reshape(width, 4, n)
-    columns = [np.ascontiguousarray(p.T).view("<u4").ravel() for p in planes]
-    columns[0] = np.cumsum(columns[0], dtype=np.uint32)
+    size, n = sealed[0], int.from_bytes(sealed[1:9], "little")
+    planes = np.frombuffer(pa.decompress(sealed[9:], decompressed_size=size * width * n, codec="zstd", asbytes=True), dtype=np.uint8).reshape(width, size, n)
+    columns = [np.ascontiguousarray(p.T).view(f"<u{size}").ravel() for p in planes]
+    columns[0] = np.cumsum(columns[0], dtype=columns[0].dtype)
     return columns
 
 
-def _context(columns: list[np.ndarray]) -> np.ndarray:
-    """A number of each context: exact up to two words, a hash beyond."""
-    out = columns[0].astype(bw.U64)
-    for k, c in enumerate(columns[1:]):
-        out = bw.mix(out) * bw.U64(0x9E3779B97F4A7C15) + c.astype(bw.U64) if k else out << bw.U64(32) | c.astype(bw.U64)
-    return out
-
-
-def _summed_grams(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+def _summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Sorted different n-grams with their counts."""
     if not len(counts):
         return columns, counts
-    packs = [columns[k].astype(bw.U64) << bw.U64(32) | columns[k + 1].astype(bw.U64) if k + 1 < len(columns) else columns[k] for k in range(0, len(columns), 2)]
+    packs = columns
+    if columns[0].dtype.itemsize == 4:
+        packs = [columns[k].astype(bw.U64) << bw.U64(32) | columns[k + 1].astype(bw.U64) if k + 1 < len(columns) else columns[k] for k in range(0, len(columns), 2)]
     order = np.lexsort(packs[::-1]) if len(packs) > 1 else np.argsort(packs[0], kind="stable")
     packs = [p[order] for p in packs]
     first = np.flatnonzero(np.concatenate([[True], np.any([p[1:] != p[:-1] for p in packs], axis=0)]))
@@ -185,7 +121,7 @@ def _summed_grams(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[n
 GRAMS = "bucket int, keys binary, counts binary, stats array<bigint>"
 
 
-def _packed_grams(columns: list[np.ndarray], counts: np.ndarray, bucket: np.ndarray, stats: list[int]) -> pa.RecordBatch:
+def _packed(columns: list[np.ndarray], counts: np.ndarray, bucket: np.ndarray, stats: list[int]) -> pa.RecordBatch:
     """A row for each bucket; the first has the stats."""
     order = np.argsort(bucket, kind="stable")
     which, first = np.unique(bucket[order], return_index=True)
@@ -194,40 +130,40 @@ def _packed_grams(columns: list[np.ndarray], counts: np.ndarray, bucket: np.ndar
         {
             "bucket": pa.array(which, type=pa.int32()),
             "keys": pa.array([_sealed([c[p] for c in columns]) for p in parts], type=pa.binary()),
-            "counts": pa.array([pa.compress(counts[p].astype(np.uint32).tobytes(), codec="zstd", asbytes=True) for p in parts], type=pa.binary()),
+            "counts": pa.array([_CODEC.compress(counts[p].astype(np.uint32).tobytes(), asbytes=True) for p in parts], type=pa.binary()),
             "stats": pa.array([stats] + [[0] * len(stats)] * (len(parts) - 1), type=pa.list_(pa.int64())),
         }
     )
 
 
-def _merged_grams(table: pa.Table, width: int) -> tuple[int, list[np.ndarray], np.ndarray, np.ndarray]:
+def _merged(table: pa.Table, width: int) -> tuple[int, list[np.ndarray], np.ndarray, np.ndarray]:
     parts = [_opened(k, width) for k in table.column("keys").to_pylist()]
     counts = [np.frombuffer(pa.decompress(c, decompressed_size=4 * len(p[0]), codec="zstd", asbytes=True), dtype=np.uint32) for c, p in zip(table.column("counts").to_pylist(), parts, strict=True)]
-    columns, counts = _summed_grams([np.concatenate([p[k] for p in parts]) for k in range(width)], np.concatenate(counts))
+    columns, counts = _summed([np.concatenate([p[k] for p in parts]) for k in range(width)], np.concatenate(counts))
     return table.column("bucket")[0].as_py(), columns, counts, np.sum(table.column("stats").to_pylist(), axis=0, dtype=np.int64)
 
 
-def _count_grams(batches: Iterator[pa.RecordBatch], grams_of, bucket_of, stats: int) -> Iterator[pa.RecordBatch]:
-    """Counts of grams_of(texts) over a task, sent whenever HELD different ones are held."""
+def _count(batches: Iterator[pa.RecordBatch], order: int, grams_of, bucket_of, stats: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Counts of grams_of(tokens) over a task, sent whenever `most` different ones are held."""
     held, n_fresh = [], 0
 
     def merged():
-        return _summed_grams([np.concatenate([c[k] for c, _ in held]) for k in range(len(held[0][0]))], np.concatenate([c for _, c in held]))
+        return _summed([np.concatenate([c[k] for c, _ in held]) for k in range(len(held[0][0]))], np.concatenate([c for _, c in held]))
 
     for batch in batches:
-        for texts in bw.slices(batch.column(batch.schema.get_field_index("text"))):
-            grams = grams_of(texts)
-            held.append(_summed_grams(grams, np.ones(len(grams[0]), dtype=np.int64)))
+        for tokens in tokens_of(batch.column(batch.schema.get_field_index("text")), order):
+            grams = grams_of(tokens)
+            held.append(_summed(grams, np.ones(len(grams[0]), dtype=np.int64)))
             n_fresh += len(held[-1][1])
-            if n_fresh > HELD // 2:
+            if n_fresh > most // 2:
                 held, n_fresh = [merged()], 0
-                if len(held[0][1]) > HELD:
-                    yield _packed_grams(*held[0], bucket_of(held[0][0]), [0] * stats)
+                if len(held[0][1]) > most:
+                    yield _packed(*held[0], bucket_of(held[0][0]), [0] * stats)
                     held = []
     if held:
         columns, counts = merged()
         if len(counts):
-            yield _packed_grams(columns, counts, bucket_of(columns), [0] * stats)
+            yield _packed(columns, counts, bucket_of(columns), [0] * stats)
 
 
 def _narrow(counts: np.ndarray) -> np.ndarray:
@@ -260,25 +196,143 @@ class Model:
     tokens: int
     order: int
     gram_buckets: int
+    #: Type of word numbers; its greatest is the begin sign.
+    kind: np.dtype
+    #: Very frequent words, and over how many buckets their contexts are dealt.
+    hot: np.ndarray
+    hot_parts: np.ndarray
     #: By the number of words, from 1 on.
     discounts: list[np.ndarray]
+    #: Manifests of the files.
+    there: dict[str, np.ndarray] = field(default_factory=dict)
     #: Sum of continuation counts, and the weight that goes to the uniform distribution.
-    pairs: int
-    rest: float
+    pairs: int = 0
+    rest: float = 1.0
+
+    @property
+    def begin(self) -> int:
+        return int(np.iinfo(self.kind).max)
+
+    def contexts(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of contexts, given as columns of word numbers, and over how many buckets each is dealt."""
+        out, parts = np.zeros(len(columns[0]), dtype=bw.U64), None
+        for c in columns:
+            out = bw.mix(out * _C + c.astype(bw.U64) + bw.U64(1))
+            k = bw.found_in(c.astype(np.int64), self.hot)
+            own = np.where(k >= 0, self.hot_parts[k], 1) if len(self.hot) else np.ones(len(c), dtype=np.int64)
+            parts = own if parts is None else np.minimum(parts, own)
+        return out, parts
+
+    def bucket_of(self, columns: list[np.ndarray]) -> np.ndarray:
+        if len(columns) == 1:
+            return (columns[0] // self.kind.type(RANGE)).astype(np.int64)
+        return _bucket(_dealt(*self.contexts(columns[:-1]), columns[-1]), self.gram_buckets)
+
+
+def _dealt(context: np.ndarray, parts: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of the context, or of the part of it that has the word."""
+    some = np.flatnonzero(parts > 1)
+    if not len(some):
+        return context
+    out = context.copy()
+    part = bw.mix(word[some].astype(bw.U64) + _C) % parts[some].astype(bw.U64)
+    out[some] = _part(context[some], part)
+    return out
+
+
+def _part(context: np.ndarray, part: np.ndarray) -> np.ndarray:
+    return bw.mix(context * _C + part.astype(bw.U64) + bw.U64(1))
+
+
+def _bisect(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of each wanted value among values[low:high], which are sorted; -1 where it isn't."""
+    if not len(values):
+        return np.full(len(wanted), -1, dtype=np.int64)
+    end, last = high, len(values) - 1
+    low, high = low.copy(), high.copy()
+    while (low < high).any():
+        middle = (low + high) >> 1
+        less = (low < high) & (values[np.minimum(middle, last)] < wanted)
+        low, high = np.where(less, middle + 1, low), np.where(less, high, np.minimum(middle, high))
+    return np.where((low < end) & (values[np.minimum(low, last)] == wanted), low, -1)
+
+
+def _cells(context: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cell of each context in its bucket, and the low half of its hash."""
+    return _bucket(context, buckets * CELLS) % CELLS, context.astype(np.uint32)
+
+
+def _stored(context: np.ndarray, word: np.ndarray, counts: np.ndarray, buckets: int) -> dict[str, np.ndarray]:
+    """The arrays of a bucket: contexts with one next word (lone) and those with several, each in cells; totals of those with many."""
+    cell, low = _cells(context, buckets)
+    order = np.lexsort((word, low, cell))
+    cell, low, word, counts = cell[order], low[order], word[order], _narrow(counts[order])
+    begins = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (low[1:] != low[:-1])]))
+    n = np.diff(np.append(begins, len(word)))
+    lone, many = begins[n == 1], begins[n > 1]
+    size = n[n > 1]
+    starts = np.cumsum(size) - size
+    flat = np.repeat(many - starts, size) + np.arange(int(size.sum()))
+    long = np.flatnonzero(size > LONG)
+    own = counts[flat].astype(np.int64)
+    sums = lambda v: np.add.reduceat(v.astype(np.int64), starts)[long] if len(starts) else np.zeros(0, dtype=np.int64)
+    bounds = lambda at: np.searchsorted(cell[at], np.arange(CELLS + 1)).astype(np.uint32)
+    return {
+        "lone_cells": bounds(lone), "lone": low[lone], "lone_word": word[lone], "lone_count": counts[lone],
+        "many_cells": bounds(many), "many": low[many], "first": np.append(starts, size.sum()).astype(np.uint32), "words": word[flat], "counts": counts[flat],
+        "long": long.astype(np.uint32), "total": sums(own), "one": sums(own == 1), "two": sums(own == 2),
+    }
+
+
+def _found(file: dict[str, np.ndarray], context: np.ndarray, word: np.ndarray | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the next words (0 where none is asked for), and of the contexts: total, how many next words come once, twice, more often."""
+    cell, low = _cells(context, buckets)
+    count, stats = np.zeros(len(context), dtype=np.int64), np.zeros((len(context), 4), dtype=np.int64)
+    bounds = file["lone_cells"].astype(np.int64)
+    k = _bisect(file["lone"], bounds[cell], bounds[cell + 1], low)
+    at, k = np.flatnonzero(k >= 0), k[k >= 0]
+    own = file["lone_count"][k].astype(np.int64)
+    stats[at] = np.stack([own, own == 1, own == 2, own > 2], axis=1)
+    if word is not None:
+        count[at] = np.where(file["lone_word"][k] == word[at], own, 0)
+    bounds = file["many_cells"].astype(np.int64)
+    k = _bisect(file["many"], bounds[cell], bounds[cell + 1], low)
+    at, k = np.flatnonzero(k >= 0), k[k >= 0]
+    begin, end = file["first"][k].astype(np.int64), file["first"][k + 1].astype(np.int64)
+    long = bw.found_in(k, file["long"].astype(np.int64))
+    some = long >= 0
+    m = long[some]
+    total, one, two = file["total"][m], file["one"][m], file["two"][m]
+    stats[at[some]] = np.stack([total, one, two, (end - begin)[some] - one - two], axis=1)
+    short = np.flatnonzero(~some)
+    if len(short):
+        size = (end - begin)[short]
+        starts = np.cumsum(size) - size
+        own = file["counts"][np.repeat(begin[short] - starts, size) + np.arange(int(size.sum()))].astype(np.int64)
+        stats[at[short]] = np.stack([np.add.reduceat(v.astype(np.int64), starts) for v in (own, own == 1, own == 2, own > 2)], axis=1)
+    if word is not None:
+        w = _bisect(file["words"], begin, end, word[at])
+        hit = w >= 0
+        count[at[hit]] = file["counts"][w[hit]]
+    return count, stats
 
 
 class Reader:
     def __init__(self, model: Model) -> None:
         self.m = model
-        self.words, self.ranges = (Folder(f"{model.path}/{k}") for k in ("words", "before"))
-        self.grams = {k: Folder(f"{model.path}/grams{k}") for k in range(2, model.order + 1)}
+        folder = lambda kind: mapped.Folder(f"{model.path}/{kind}", model.there[kind]) if kind in model.there else None
+        self.words, self.ranges = folder("words"), folder("before")
+        self.grams = {k: folder(f"grams{k}") for k in range(2, model.order + 1)}
+        #: Totals of contexts that are dealt over several buckets; there are few.
+        self.totals: dict[tuple[int, int], np.ndarray] = {}
 
     def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and training counts of sorted, different words; number -1 and count 0 for unknown ones."""
         number, count = np.full(len(hashes), -1, dtype=np.int64), np.zeros(len(hashes), dtype=np.int64)
         bucket = _bucket(hashes, self.m.buckets)
-        for b in np.unique(bucket).tolist():
-            at, file = np.flatnonzero(bucket == b), self.words[b]
+        which, first = np.unique(bucket, return_index=True)
+        for b, at in zip(which.tolist(), np.split(np.arange(len(hashes)), first[1:]), strict=False):
+            file = self.words[b]
             if file is None:
                 continue
             k = bw.found_in(hashes[at], file["keys"])
@@ -295,45 +349,33 @@ class Reader:
                 out[at] = file["counts"][numbers[at] - p * RANGE]
         return out
 
-    def followers(self, k: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def followers(self, k: int, columns: list[np.ndarray], word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of contexts of k - 1 words and next words: counts, the contexts' totals and the weights they leave."""
-        count, total, left = np.zeros(len(word), dtype=np.int64), np.zeros(len(word)), np.ones(len(word))
-        bucket = _bucket(bw.mix(context), self.m.gram_buckets)
-        d = self.m.discounts[k]
+        context, parts = self.m.contexts(columns)
+        count, stats = self._look(k, _dealt(context, parts, word), word)
+        for c in np.unique(context[parts > 1]):
+            at = np.flatnonzero(context == c)
+            if (k, int(c)) not in self.totals:
+                every = _part(np.full(int(parts[at[0]]), c), np.arange(int(parts[at[0]])))
+                self.totals[k, int(c)] = self._look(k, every, None)[1].sum(axis=0)
+            stats[at] = self.totals[k, int(c)]
+        d, total = self.m.discounts[k], stats[:, 0]
+        return count, total, np.where(total > 0, (stats[:, 1:] @ d[1:]) / np.maximum(total, 1), 1.0)
+
+    def _look(self, k: int, context: np.ndarray, word: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        count, stats = np.zeros(len(context), dtype=np.int64), np.zeros((len(context), 4), dtype=np.int64)
+        bucket = _bucket(context, self.m.gram_buckets)
         order = np.argsort(bucket, kind="stable")
         which, first = np.unique(bucket[order], return_index=True)
-        for b, at in zip(which.tolist(), np.split(order, first[1:]), strict=True) if len(order) else ():
+        for b, at in zip(which.tolist(), np.split(order, first[1:]), strict=False):
             file = self.grams[k][b]
-            if file is None:
-                continue
-            c = bw.found_in(context[at], file["context"])
-            at, c = at[c >= 0], c[c >= 0]
-            if not len(at):
-                continue
-            begin, end = file["first"][c].astype(np.int64), file["first"][c + 1].astype(np.int64)
-            # Contexts with one next word have no sums of their own.
-            only = file["counts"][begin].astype(np.int64)
-            sums, one, two, more = only.copy(), only == 1, only == 2, only > 2
-            one, two, more = one.astype(np.int64), two.astype(np.int64), more.astype(np.int64)
-            m = bw.found_in(c, file["several"])
-            some, m = np.flatnonzero(m >= 0), m[m >= 0]
-            sums[some], one[some], two[some] = file["total"][m], file["one"][m], file["two"][m]
-            more[some] = (end - begin)[some] - one[some] - two[some]
-            total[at] = sums
-            left[at] = (d[1] * one + d[2] * two + d[3] * more) / sums
-            low, high, last = begin, end, len(file["words"]) - 1
-            while (low < high).any():
-                middle = (low + high) >> 1
-                less = (low < high) & (file["words"][np.minimum(middle, last)] < word[at])
-                low, high = np.where(less, middle + 1, low), np.where(less, high, np.minimum(middle, high))
-            hit = (low < end) & (file["words"][np.minimum(low, last)] == word[at])
-            count[at[hit]] = file["counts"][low[hit]]
-        return count, total, left
-
-    def score(self, texts: bw.Texts) -> dict[str, np.ndarray]:
+            if file is not None:
+                count[at], stats[at] = _found(file, context[at], None if word is None else word[at], self.m.gram_buckets)
+        return count, stats
+
+    def score(self, tokens: Tokens) -> dict[str, np.ndarray]:
         m = self.m
-        tokens, bounds = _tokens(texts)
-        words, index = np.unique(tokens, return_inverse=True)
+        words, index = np.unique(tokens.hashes, return_inverse=True)
         number, count = self.numbers(words)
         size = int(m.first[-1])
         known = count > 0
@@ -345,103 +387,112 @@ class Reader:
         ids = number[index]
         p = low[index]
         for k in range(2, m.order + 1):
-            history = _history(ids, bounds, k)
+            history = _history(ids, tokens.bounds, k, m.begin)
             # Contexts with unknown words leave all to the lower order.
             whole = np.flatnonzero((np.array(history) >= 0).all(axis=0))
-            context, word = _context([h[whole] for h in history]), ids[whole]
-            order = np.lexsort((word, context))
-            new = np.concatenate([[True], (context[order[1:]] != context[order[:-1]]) | (word[order[1:]] != word[order[:-1]])])[: len(order)]
+            columns, word = [h[whole] for h in history], ids[whole]
+            order = np.lexsort((word, *columns))
+            new = np.concatenate([[True], np.any([c[order[1:]] != c[order[:-1]] for c in (word, *columns)], axis=0)])[: len(order)]
             of = np.empty(len(order), dtype=np.int64)
             of[order] = np.cumsum(new) - 1
             pick = order[new]
-            count_k, total, left = (v[of] for v in self.followers(k, context[pick], word[pick]))
+            # A number that no word has stands for unknown next words.
+            count_k, total, left = (v[of] for v in self.followers(k, [c[pick] for c in columns], np.where(word[pick] < 0, m.begin, word[pick])))
             high = np.maximum(count_k - m.discounts[k][np.minimum(count_k, 3)], 0)
             p[whole] = np.where(total > 0, high / np.maximum(total, 1) + left * p[whole], p[whole])
-        sums = lambda v: np.add.reduceat(v, bounds[:-1])  # noqa: E731  every row has a token, its end
-        return {"n_tokens": np.diff(bounds), "n_known": sums(known[index].astype(np.int64)), "base_score": sums(base[index]), "score": sums(np.log10(p))}
+        # Every row has a token, its end, or if it goes on, words.
+        first = tokens.bounds[:-1] + tokens.lead
+        sums = lambda v: np.add.reduceat(v, first) if len(v) > tokens.lead else np.zeros(len(first), dtype=v.dtype)
+        return {"n_tokens": tokens.bounds[1:] - first, "n_known": sums(known[index].astype(np.int64)), "base_score": sums(base[index]), "score": sums(np.log10(p))}
 
 
-def _history(ids: np.ndarray, bounds: np.ndarray, order: int) -> list[np.ndarray]:
+def _history(ids: np.ndarray, bounds: np.ndarray, order: int, begin: int) -> list[np.ndarray]:
     """The order - 1 words before each, from the farthest on; begin signs before the row."""
     place = np.arange(len(ids)) - np.repeat(bounds[:-1], np.diff(bounds))
-    return [np.where(place >= j, np.concatenate([np.full(min(j, len(ids)), BEGIN_ID), ids[:-j]]), BEGIN_ID) for j in range(order - 1, 0, -1)]
+    begin = np.int64(min(begin, np.iinfo(np.int64).max))
+    return [np.where(place >= j, np.concatenate([np.full(min(j, len(ids)), begin), ids[:-j]]), begin) for j in range(order - 1, 0, -1)]
 
 
-def _grams(reader: Reader, texts: bw.Texts, order: int) -> list[np.ndarray]:
-    tokens, bounds = _tokens(texts)
-    words, index = np.unique(tokens, return_inverse=True)
+def _grams(reader: Reader, tokens: Tokens, order: int) -> list[np.ndarray]:
+    words, index = np.unique(tokens.hashes, return_inverse=True)
     ids = reader.numbers(words)[0][index]
-    return [c.astype(np.uint32) for c in (*_history(ids, bounds, order), ids)]
+    return [c.astype(reader.m.kind)[tokens.lead :] for c in (*_history(ids, tokens.bounds, order, reader.m.begin), ids)]
+
 
+def train(texts: DataFrame, order: int = 2, split: int = SPLIT, held: int = HELD, wide: bool = False) -> Model:
+    """Count the texts (column text; null ones are empty) and store the model, of 2 words or more, in the shared folder.
 
-def train(texts: DataFrame, order: int = 2) -> Model:
-    """Count the texts (column text; null ones are empty) and store the model, of 2 words or more, in the shared folder."""
+    split: contexts whose words all occur more often are dealt over several
+    buckets; held: different keys a task holds; wide: word numbers have 64 bits
+    (as they have from 2**32 - 1 different words on). A text of more than four
+    megabytes is worked through in pieces.
+    """
     if order < 2:
         raise ValueError(f"order {order}; it is 2 or more")
     spark = texts.sparkSession
     texts = texts.select("text")
     path = shared.mounted(shared.folder(spark, "ngram"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, -(-size // BUCKET_TEXT))
+    size, n_texts = texts.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    buckets = max(8, -(-(size or 0) // BUCKET_TEXT))
 
     def store_words(table: pa.Table) -> pa.Table:
-        b, keys, counts = _merged(table)
-        _store(f"{path}/words-{b}", {"keys": keys, "counts": counts})
-        return pa.table({"bucket": pa.array([b], type=pa.int32()), "n": pa.array([len(keys)], type=pa.int64()), "total": pa.array([int(counts.sum())], type=pa.int64())})
-
-    words = texts.mapInArrow(lambda it: _count(it, lambda t: _tokens(t)[0], lambda k: _bucket(k, buckets)), PACKED)
-    sizes = words.groupBy("bucket").applyInArrow(store_words, "bucket int, n long, total long").toPandas()
+        b, (keys,), counts, _ = _merged(table, 1)
+        mapped.store(f"{path}/words-{b}", {"keys": keys, "counts": _narrow(counts)})
+        often = np.flatnonzero(counts > split)
+        one = lambda v, kind: pa.array([v], type=kind)
+        return pa.table({"bucket": one(b, pa.int32()), "n": one(len(keys), pa.int64()), "total": one(int(counts.sum()), pa.int64()), "often": one(often, pa.list_(pa.int64())), "counts": one(counts[often], pa.list_(pa.int64()))})
+
+    words = texts.mapInArrow(lambda it: _count(it, 1, lambda t: [t.hashes[t.lead :]], lambda c: _bucket(c[0], buckets), 1, held), GRAMS)
+    found = words.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(store_words, "bucket int, n long, total long, often array<long>, counts array<long>").collect()  # a row for each bucket
     n = np.zeros(buckets, dtype=np.int64)
-    n[sizes["bucket"].to_numpy(dtype=np.int64)] = sizes["n"].to_numpy(dtype=np.int64)
-    if n.sum() >= 1 << 32:
-        raise ValueError(f"{n.sum()} different words; their numbers have 32 bits")
+    for r in found:
+        n[r["bucket"]] = r["n"]
     first = np.concatenate([[0], np.cumsum(n)])
-    model = Model(path, buckets, first, int(sizes["total"].sum()), order, max(8, -(-size * (order - 1) // BUCKET_TEXT)), [_discounts([0] * 4)] * (order + 1), 0, 1.0)
+    kind = np.dtype(np.uint32 if first[-1] < (1 << 32) - 1 and not wide else np.int64)
+    n_tokens = sum(r["total"] for r in found)
+    often = [(int(first[r["bucket"]]) + k, c) for r in found for k, c in zip(r["often"], r["counts"], strict=True)] + [(int(np.iinfo(kind).max), n_texts)]
+    least = max(split, n_tokens // SPLITS)
+    hot = sorted((k, -(-c // least)) for k, c in often if c > least)
+    model = Model(path, buckets, first, n_tokens, order, max(8, -(-(size or 0) * (order - 1) // BUCKET_TEXT)), kind, *(np.array(v, dtype=np.int64) for v in (zip(*hot, strict=True) if hot else ([], []))), [_discounts([0] * 4)] * (order + 1))
+    model.there["words"] = mapped.manifest(path, "words", buckets, len(found))
 
-    n_stats = 4 * (order + 1) + 2
-    bucket_of = lambda columns: _bucket(bw.mix(_context(columns[:-1])), model.gram_buckets) if len(columns) > 1 else (columns[0] // RANGE).astype(np.int64)
+    # By order: how many counts are 1 to 4, and files; then the sum of continuation counts, and how many are over 2.
+    n_stats = 5 * (order + 1) + 2
 
     def count_grams(it):
         reader = Reader(model)
-        return _count_grams(it, lambda t: _grams(reader, t, order), bucket_of, n_stats)
+        return _count(it, order, lambda t: _grams(reader, t, order), model.bucket_of, n_stats, held)
 
     def store_grams(table: pa.Table, k: int) -> pa.Table:
-        b, columns, counts, stats = _merged_grams(table, k)
-        stats[4 * k : 4 * k + 4] += _of_counts(counts)
-        suffixes, before = _summed_grams(columns[1:], np.ones(len(counts), dtype=np.int64))
-        out = _packed_grams(suffixes, before, bucket_of(suffixes), stats.tolist())
-        context, word = _context(columns[:-1]), columns[-1]
-        if k > 3:  # hashes have another order
-            by = np.lexsort((word, context))
-            context, word, counts = context[by], word[by], counts[by]
-        begins = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        several = np.flatnonzero(np.diff(np.append(begins, len(counts))) > 1)
-        sums = lambda v: np.add.reduceat(v.astype(np.int64), begins)[several]
-        _store(
-            f"{path}/grams{k}-{b}",
-            {"context": context[begins], "first": np.append(begins, len(counts)).astype(np.uint32), "words": word, "counts": _narrow(counts), "several": several.astype(np.uint32), "total": sums(counts), "one": _narrow(sums(counts == 1)), "two": _narrow(sums(counts == 2))},
-        )
+        b, columns, counts, stats = _merged(table, k)
+        stats[5 * k : 5 * k + 5] += [*_of_counts(counts), 1]
+        suffixes, before = _summed(columns[1:], np.ones(len(counts), dtype=np.int64))
+        out = _packed(suffixes, before, model.bucket_of(suffixes), stats.tolist())
+        mapped.store(f"{path}/grams{k}-{b}", _stored(_dealt(*model.contexts(columns[:-1]), columns[-1]), columns[-1], counts, model.gram_buckets))
         return pa.Table.from_batches([out])
 
     def storing(k: int):
         return lambda table: store_grams(table, k)
 
     def store_before(table: pa.Table) -> pa.Table:
-        part, (keys,), counts, stats = _merged_grams(table, 1)
+        part, (keys,), counts, stats = _merged(table, 1)
         dense = np.zeros(min(RANGE, int(first[-1]) - part * RANGE), dtype=np.uint32)
         dense[keys.astype(np.int64) - part * RANGE] = counts
-        _store(f"{path}/before-{part}", {"counts": dense})
-        stats[4:8] += _of_counts(dense)
+        mapped.store(f"{path}/before-{part}", {"counts": dense})
+        stats[5:10] += [*_of_counts(dense), 1]
         stats[-2:] += [int(dense.sum()), int(np.count_nonzero(dense > 2))]
         return pa.table({"stats": pa.array([stats.tolist()], type=pa.list_(pa.int64()))})
 
     grams = texts.mapInArrow(count_grams, GRAMS)
     for k in range(order, 1, -1):
-        grams = grams.groupBy("bucket").applyInArrow(storing(k), GRAMS)
+        grams = grams.repartition(model.gram_buckets, "bucket").groupBy("bucket").applyInArrow(storing(k), GRAMS)
     stats = [r["stats"] for r in grams.groupBy("bucket").applyInArrow(store_before, "stats array<bigint>").collect()]  # a row for each range
     stats = np.sum(stats, axis=0, dtype=np.int64).tolist() if stats else [0] * n_stats
-    model.discounts = [_discounts(stats[4 * k : 4 * k + 4]) for k in range(order + 1)]
-    n1, n2 = stats[4:6]
+    for k in range(2, order + 1):
+        model.there[f"grams{k}"] = mapped.manifest(path, f"grams{k}", model.gram_buckets, stats[5 * k + 4])
+    model.there["before"] = mapped.manifest(path, "before", int(first[-1]) // RANGE + 1, stats[9])
+    model.discounts = [_discounts(stats[5 * k : 5 * k + 4]) for k in range(order + 1)]
+    n1, n2 = stats[5:7]
     total, more = stats[-2:]
     d = model.discounts[1]
     model.pairs = total
@@ -449,26 +500,35 @@ def train(texts: DataFrame, order: int = 2) -> Model:
     return model
 
 
+MADE = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs' columns and n_tokens, n_known, train_tokens, base_score, score.
 
     Null texts are empty and have one token, their end. score is the model's
     log10 probability of the text, base_score that of a unigram model with one
-    added to each count. Repeated rows stay; columns named like a made one are replaced.
+    added to each count. Repeated rows stay; columns named like a made one are
+    replaced. A text of more than four megabytes is scored in pieces.
     """
-    made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    docs = docs.drop(*made)
+    docs = docs.drop(*MADE)
     columns = docs.columns
 
     def run(batches):
         reader = Reader(model)
         for batch in batches:
-            for texts in bw.slices(batch.column(batch.schema.get_field_index("text"))):
-                got = reader.score(texts)
-                own = batch.slice(texts.first, len(texts))
+            held: dict[str, np.ndarray] = {}
+            for tokens in tokens_of(batch.column(batch.schema.get_field_index("text")), model.order):
+                got = reader.score(tokens)
+                got = {k: held[k] + v if held else v for k, v in got.items()}
+                held = got if tokens.more else {}
+                if tokens.more:
+                    continue
+                n = len(got["score"])
+                own = batch.slice(tokens.first, n)
                 arrays = {c: own.column(k) for k, c in enumerate(own.schema.names)}
-                arrays |= {"n_tokens": pa.array(got["n_tokens"], type=pa.int64()), "n_known": pa.array(got["n_known"], type=pa.int64()), "train_tokens": pa.array(np.full(len(texts), model.tokens), type=pa.int64()), "base_score": pa.array(got["base_score"]), "score": pa.array(got["score"])}
-                yield pa.RecordBatch.from_pydict({c: arrays[c] for c in (*columns, *made)})
+                arrays |= {"n_tokens": pa.array(got["n_tokens"], type=pa.int64()), "n_known": pa.array(got["n_known"], type=pa.int64()), "train_tokens": pa.array(np.full(n, model.tokens), type=pa.int64()), "base_score": pa.array(got["base_score"]), "score": pa.array(got["score"])}
+                yield pa.RecordBatch.from_pydict({c: arrays[c] for c in (*columns, *MADE)})
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{fields}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

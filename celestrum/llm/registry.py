@@ -22,6 +22,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_url_filter": url_rules.ORACLE,
     "op3_decontamination": decontaminate.ORACLE,
+    "op4_suffix_array": repeats.ORACLE,
     "op8_topk": topk.ORACLE,
     "op9_minhash": near_dups.ORACLE,
 }

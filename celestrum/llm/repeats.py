@@ -5,21 +5,25 @@ with the least hash is an anchor, so equal windows have equal anchors at the
 same place (winnowing). The context of an anchor is all bytes of windows that
 hold it. Over all texts:
 
-1. Anchors and digests of their contexts are counted by the anchor's hash.
-   A context that occurs twice settles all its windows; an anchor with
-   different contexts has windows that may be equal in part of them.
-2. Contexts of such anchors are gathered by anchor. The suffixes that start at
-   the anchors are sorted, with the common prefixes of neighbours (a sparse
-   suffix array), and likewise backwards. Windows agree if no smaller common
-   prefix lies between them in either order; among agreeing windows in order of
-   position the previous smaller position is the neighbour before, so all but
-   the first have a longest previous factor of at least WINDOW.
-3. Texts are read again and their windows looked up.
-
-Results of 1 and 2 are sorted hash arrays in the shared folder, memory-mapped by
-the tasks of 2 and 3. Equal contexts are sent once from each task. An anchor
-with more than CROWD different contexts isn't gathered: its windows are counted
-by their own hashes, which spread over all buckets.
+1. Contexts are counted by their digests, which spread over all tasks whatever
+   their anchors are; equal ones become one with its first place (by id and
+   place). Then the different contexts of each anchor are counted.
+2. The first of equal contexts goes to its anchor's bucket, if the anchor has
+   others. There suffixes are sorted (a sparse suffix array: those that start at
+   the anchors, and likewise the reversed bytes before them, with the common
+   prefixes of neighbours), which gives the suffix order of the windows that
+   start so many bytes before the anchor. In that order the previous and the next
+   suffix with a smaller place give each its longest previous factor.
+3. Texts are read again. A window goes if its longest previous factor is WINDOW
+   or more, or, unless the first is to stay, if it is such a factor itself.
+
+Of equal contexts all but the first have the whole context as previous factor,
+so one of them stands for all. An anchor with more than CROWD different contexts
+is divided further, by window: a window's hash gives its bucket, equal windows
+become one in each task, and the same two arrays are computed over the windows in
+order of their hashes. What 1 and 2 find is in sorted hash arrays in the shared
+folder, memory-mapped by the tasks of 2 and 3. Long texts are worked through in
+parts that overlap.
 """
 
 from __future__ import annotations
@@ -34,8 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from celestrum.llm import bytewords as bw
-from celestrum.llm import shared
-from celestrum.llm.ngram import Folder, _bucket, _store
+from celestrum.llm import mapped, shared
 
 WINDOW = 200
 GRAM = 24
@@ -49,10 +52,47 @@ CROWD = 20_000
 _MAX = bw.U64(0xFFFFFFFFFFFFFFFF)
 
 
+def bucket_of(values: np.ndarray, buckets: int) -> np.ndarray:
+    """By the leading 32 bits, in the values' order."""
+    return ((values >> bw.U64(32)) * bw.U64(buckets) >> bw.U64(32)).astype(np.int64)
+
+
+
+@dataclass
+class Docs:
+    """What tells documents apart: the id (least for a null one), and a digest of the text and of whether the id is null."""
+
+    id: np.ndarray
+    tag: np.ndarray
+
+
+@dataclass
+class Part:
+    """Some texts, or a part of a long one with what surrounds it; it answers for bytes low to high of data. base: bytes of the text before data."""
+
+    texts: bw.Texts
+    docs: Docs
+    base: int
+    low: int
+    high: int
+
+
+def _parts(texts: bw.Texts, docs: Docs, window: int, limit: int = 2 * SLICE_BYTES) -> Iterator[Part]:
+    n = len(texts.data)
+    if n <= limit:
+        yield Part(texts, docs, 0, 0, n)
+        return
+    # A text of its own. An anchor follows from the bytes a window to each side, and so does its context.
+    for at in range(0, n, limit):
+        first, last = max(0, at - 3 * window), min(n, at + limit + 3 * window)
+        yield Part(bw.Texts(texts.first, texts.data[first:last], np.array([0, last - first])), docs, first, at - first, min(n, at + limit) - first)
+
+
 class Anchors:
-    """Anchors of a slice of texts; left and right: bytes of the context before the anchor and from it on."""
+    """Anchors of a part and up to a window around it; left and right: bytes of the context before the anchor and from it on; own: in the part."""
 
-    def __init__(self, texts: bw.Texts, window: int) -> None:
+    def __init__(self, part: Part, window: int) -> None:
+        texts = part.texts
         reach = window - GRAM + 1  # grams in a window
         data, bounds = texts.data, texts.bounds
         n = len(data)
@@ -60,6 +100,7 @@ class Anchors:
         if n < GRAM:
             self.at = self.row = self.left = self.right = np.zeros(0, dtype=np.int64)
             self.hash = self.digest = np.zeros(0, dtype=bw.U64)
+            self.own = np.zeros(0, dtype=bool)
             return
         h = bw.mix((self.sums[GRAM:] - self.sums[:-GRAM]) * self.down[: n - GRAM + 1])
         ends = bounds[1:-1]
@@ -68,6 +109,7 @@ class Anchors:
         cross = cross[(cross >= 0) & (cross < len(h))]
         h[cross] = _MAX
         at = np.flatnonzero(bw.winnowed(h, reach) & (h != _MAX))
+        at = at[(at >= part.low - window) & (at < part.high + window)]
         row = np.searchsorted(bounds, at, side="right") - 1
         left = np.minimum(at - bounds[row], reach - 1)
         right = np.minimum(bounds[row + 1] - at, window)
@@ -76,6 +118,7 @@ class Anchors:
         self.hash = bw.mix(h[self.at])  # least hashes are small; buckets go by leading bits
         span = bw.span_hashes(self.sums, self.down, self.at - self.left, self.at + self.right)
         self.digest = bw.mix(span + (self.left * 65536 + self.right).astype(bw.U64) * bw.U64(0x9E3779B97F4A7C15))
+        self.own = (self.at >= part.low) & (self.at < part.high)
 
 
 FIELDS = (("anchor", bw.U64), ("digest", bw.U64), ("count", np.uint32), ("doc", np.int64), ("tag", bw.U64), ("place", np.int64))
@@ -104,27 +147,29 @@ def _unpacked(table: pa.Table) -> tuple[int, dict[str, np.ndarray]]:
     return table.column("bucket")[0].as_py(), {k: np.frombuffer(b"".join(table.column(k).to_pylist()), dtype=t) for k, t in FIELDS}
 
 
-@dataclass
-class Docs:
-    """What tells documents apart: the id (least for a null one), and a digest of the text and of whether the id is null."""
-
-    id: np.ndarray
-    tag: np.ndarray
-
-
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bw.Texts, Docs]]:
+    """Columns: the id, the text, others."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index("_id"))
+        column = batch.column(0)
         ids, null = column.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False)
-        for texts in bw.slices(batch.column(batch.schema.get_field_index("text")), SLICE_BYTES):
+        for texts in bw.slices(batch.column(1), SLICE_BYTES):
             rows = slice(texts.first, texts.first + len(texts))
-            sums, down = bw.prefix_hashes(texts.data)
-            tag = bw.span_hashes(sums, down, texts.bounds[:-1], texts.bounds[1:])
+            if len(texts.data) > 2 * SLICE_BYTES:
+                tag = np.frombuffer(hashlib.blake2b(texts.data, digest_size=8).digest(), dtype=bw.U64)
+            else:
+                sums, down = bw.prefix_hashes(texts.data)
+                tag = bw.span_hashes(sums, down, texts.bounds[:-1], texts.bounds[1:])
             yield batch, texts, Docs(ids[rows], np.where(null[rows], ~tag, tag))
 
 
-def _occurrences(a: Anchors, texts: bw.Texts, docs: Docs) -> dict[str, np.ndarray]:
-    return {"anchor": a.hash, "digest": a.digest, "count": np.ones(len(a.at), dtype=np.uint32), "doc": docs.id[a.row], "tag": docs.tag[a.row], "place": a.at - texts.bounds[a.row]}
+def _each_part(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[Part]:
+    for _, texts, docs in _batches(batches):
+        yield from _parts(texts, docs, window)
+
+
+def _occurrences(a: Anchors, part: Part, some: np.ndarray) -> dict[str, np.ndarray]:
+    row = a.row[some]
+    return {"anchor": a.hash[some], "digest": a.digest[some], "count": np.ones(len(some), dtype=np.uint32), "doc": part.docs.id[row], "tag": part.docs.tag[row], "place": part.base + a.at[some] - part.texts.bounds[row]}
 
 
 def _join(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
@@ -132,73 +177,108 @@ def _join(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch], buckets: int, window: int) -> Iterator[pa.RecordBatch]:
+    """Contexts by their digests."""
     held, n = [], 0
-    for _, texts, docs in _batches(batches):
-        held.append(_occurrences(Anchors(texts, window), texts, docs))
+    for part in _each_part(batches, window):
+        a = Anchors(part, window)
+        held.append(_occurrences(a, part, np.flatnonzero(a.own)))
         n += len(held[-1]["anchor"])
         if n > HELD:
-            a, _ = _least_first(_join(held), ("anchor", "digest"))
-            yield _packed(a, _bucket(a["anchor"], buckets))
+            joined, _ = _least_first(_join(held), ("digest",))
+            yield _packed(joined, bucket_of(joined["digest"], buckets))
             held, n = [], 0
     if n:
-        a, _ = _least_first(_join(held), ("anchor", "digest"))
-        yield _packed(a, _bucket(a["anchor"], buckets))
+        joined, _ = _least_first(_join(held), ("digest",))
+        yield _packed(joined, bucket_of(joined["digest"], buckets))
+
+
+ANCHORS = "bucket int, anchors binary, counts binary, files long"
 
 
-def _settle(table: pa.Table, path: str, crowd: int) -> pa.Table:
-    """Files of a bucket: anchors that have different contexts (and whether crowded), contexts that occur twice or are of such an anchor."""
+def _settle_contexts(table: pa.Table, path: str, buckets: int) -> pa.Table:
+    """The file of a bucket: contexts that occur twice, with their first places. Sent on: how many different contexts anchors have here."""
     b, a = _unpacked(table)
-    a, _ = _least_first(a, ("anchor", "digest"))
-    begins = np.flatnonzero(np.concatenate([[True], a["anchor"][1:] != a["anchor"][:-1]]))
-    different = np.diff(np.append(begins, len(a["anchor"])))
-    several = np.repeat(different > 1, different)
-    keep = several | (a["count"] > 1)
-    order = np.argsort(a["digest"][keep], kind="stable")
-    kept = {k: v[keep][order] for k, v in a.items()}
-    _store(f"{path}/anchors-{b}", {"anchor": a["anchor"][begins[different > 1]], "crowded": (different[different > 1] > crowd).astype(np.uint8)})
-    _store(f"{path}/contexts-{b}", {"digest": kept["digest"], "twin": (kept["count"] > 1).astype(np.uint8), "doc": kept["doc"], "tag": kept["tag"], "place": kept["place"]})
-    return pa.table({"n": pa.array([int(np.count_nonzero(different > 1))], type=pa.int64())})
+    a, _ = _least_first(a, ("digest",))
+    twin = a["count"] > 1
+    mapped.store(f"{path}/contexts-{b}", {k: a[k][twin] for k in ("digest", "doc", "tag", "place")})
+    anchors, counts = np.unique(a["anchor"], return_counts=True)
+    bucket = bucket_of(anchors, buckets)
+    which, first = np.unique(bucket, return_index=True)
+    parts = [slice(i, j) for i, j in zip(first, np.append(first[1:], len(bucket)), strict=True)]
+    return pa.table(
+        {
+            "bucket": pa.array(which, type=pa.int32()),
+            "anchors": pa.array([anchors[p].tobytes() for p in parts], type=pa.binary()),
+            "counts": pa.array([counts[p].astype(np.uint32).tobytes() for p in parts], type=pa.binary()),
+            "files": pa.array([1] + [0] * (len(parts) - 1), type=pa.int64()),
+        }
+    )
+
+
+def _settle_anchors(table: pa.Table, path: str, crowd: int) -> pa.Table:
+    """The file of a bucket: anchors that have different contexts, and whether they are crowded."""
+    b = table.column("bucket")[0].as_py()
+    anchors = np.frombuffer(b"".join(table.column("anchors").to_pylist()), dtype=bw.U64)
+    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype=np.uint32).astype(np.int64)
+    order = np.argsort(anchors, kind="stable")
+    anchors, counts = anchors[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
+    anchors, counts = anchors[first], np.add.reduceat(counts, first)
+    mapped.store(f"{path}/anchors-{b}", {"anchor": anchors[counts > 1], "crowded": (counts[counts > 1] > crowd).astype(np.uint8)})
+    return pa.table({"contexts": pa.array([sum(table.column("files").to_pylist())], type=pa.int64()), "anchors": pa.array([1], type=pa.int64())})
 
 
 class Lookup:
-    """What the folder has about anchors: several (1, crowded: 2), context twin, first (doc, tag, place) of its context."""
+    """What the folder has about anchors. there: the manifest of each kind of file."""
 
-    def __init__(self, path: str, buckets: int) -> None:
+    def __init__(self, path: str, buckets: int, there: dict[str, np.ndarray]) -> None:
         self.buckets = buckets
-        self.anchors, self.contexts, self.sorted, self.windows = (Folder(f"{path}/{k}") for k in ("anchors", "contexts", "sorted", "windows"))
-
-    def __call__(self, a: Anchors) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        several, twin = np.zeros(len(a.at), dtype=np.uint8), np.zeros(len(a.at), dtype=bool)
-        doc, tag, place = np.zeros(len(a.at), dtype=np.int64), np.zeros(len(a.at), dtype=bw.U64), np.full(len(a.at), -1, dtype=np.int64)
-        bucket = _bucket(a.hash, self.buckets)
-        for b in np.unique(bucket).tolist():
-            file = self.anchors[b]
-            if file is None:
-                continue
-            at = np.flatnonzero(bucket == b)
+        self.files = {k: mapped.Folder(f"{path}/{k}", v) for k, v in there.items()}
+
+    def several(self, a: Anchors) -> np.ndarray:
+        """1 for anchors with different contexts, 2 for crowded ones."""
+        out = np.zeros(len(a.at), dtype=np.uint8)
+        for at, file in self._by_bucket("anchors", a.hash):
             k = bw.found_in(a.hash[at], file["anchor"])
-            several[at[k >= 0]] = 1 + file["crowded"][k[k >= 0]]
-            file = self.contexts[b]
+            out[at[k >= 0]] = 1 + file["crowded"][k[k >= 0]]
+        return out
+
+    def twins(self, a: Anchors, part: Part) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the context occurs twice, and whether this is its first place."""
+        twin, here = np.zeros(len(a.at), dtype=bool), np.ones(len(a.at), dtype=bool)
+        for at, file in self._by_bucket("contexts", a.digest):
             k = bw.found_in(a.digest[at], file["digest"])
             at, k = at[k >= 0], k[k >= 0]
-            twin[at], doc[at], tag[at], place[at] = file["twin"][k] > 0, file["doc"][k], file["tag"][k], file["place"][k]
-        return several, twin, doc, tag, place
+            row = a.row[at]
+            twin[at] = True
+            here[at] = (file["doc"][k] == part.docs.id[row]) & (file["tag"][k] == part.docs.tag[row]) & (file["place"][k] == part.base + a.at[at] - part.texts.bounds[row])
+        return twin, here
+
+    def _by_bucket(self, kind: str, values: np.ndarray) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray]]]:
+        bucket = bucket_of(values, self.buckets)
+        order = np.argsort(bucket, kind="stable")
+        which, first = np.unique(bucket[order], return_index=True)
+        for b, at in zip(which.tolist(), np.split(order, first[1:]), strict=False):
+            file = self.files[kind][b]
+            if file is not None:
+                yield at, file
 
 
-def _windows(a: Anchors, some: np.ndarray, n: int, window: int) -> np.ndarray:
-    """Starts of all windows that hold one of the anchors for which `some` is true."""
-    edges = np.zeros(n + 1, dtype=np.int32)
+def _windows(a: Anchors, some: np.ndarray, part: Part, window: int) -> np.ndarray:
+    """Starts, from the part's first byte less a window on, of all windows that hold one of the anchors for which `some` is true."""
+    edges = np.zeros(len(part.texts.data) + 1, dtype=np.int32)
     np.add.at(edges, (a.at - a.left)[some], 1)
     np.add.at(edges, (a.at + a.right - window + 1)[some], -1)
-    return np.flatnonzero(np.cumsum(edges[:-1]) > 0)
+    start = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
+    return start[(start > part.low - window) & (start < part.high)]
 
 
 CONTEXTS = PACKED + ", sizes binary, bytes binary"
 
 
-def _send(batches: Iterator[pa.RecordBatch], path: str, buckets: int, window: int) -> Iterator[pa.RecordBatch]:
-    """Contexts of anchors that have several, each once, with the first place of the context; windows of crowded anchors by their hashes, under buckets from `buckets` on."""
-    look = Lookup(path, buckets)
+def _send(batches: Iterator[pa.RecordBatch], look: Lookup, window: int) -> Iterator[pa.RecordBatch]:
+    """The first of equal contexts of anchors that have several; windows of crowded anchors by their hashes, under buckets from look.buckets on."""
+    buckets = look.buckets
     held, sizes, texts_held, n_bytes = [], [], [], 0
     hashed, n_hashed = [], 0
 
@@ -207,7 +287,7 @@ def _send(batches: Iterator[pa.RecordBatch], path: str, buckets: int, window: in
         left_right, where = np.concatenate(sizes), np.concatenate([t for t, _ in texts_held])
         blob = b"".join(b for _, b in texts_held)
         ends = np.cumsum(where)
-        bucket = _bucket(a["anchor"], buckets)
+        bucket = bucket_of(a["anchor"], buckets)
         base = _packed(a, bucket)
         order = np.argsort(bucket, kind="stable")
         parts = np.split(order, np.unique(bucket[order], return_index=True)[1][1:])
@@ -221,28 +301,30 @@ def _send(batches: Iterator[pa.RecordBatch], path: str, buckets: int, window: in
 
     def windows() -> pa.RecordBatch:
         a, _ = _least_first(_join(hashed), ("anchor",))
-        base = _packed(a, buckets + _bucket(a["anchor"], buckets))
+        base = _packed(a, buckets + bucket_of(a["anchor"], buckets))
         nothing = pa.array([b""] * base.num_rows, type=pa.binary())
         return pa.Table.from_batches([base]).append_column("sizes", nothing).append_column("bytes", nothing).combine_chunks().to_batches()[0]
 
-    for _, texts, docs in _batches(batches):
-        a = Anchors(texts, window)
-        several, _, doc, tag, place = look(a)
-        some = np.flatnonzero(several == 1)
+    for part in _each_part(batches, window):
+        texts, docs = part.texts, part.docs
+        a = Anchors(part, window)
+        several = look.several(a)
+        some = np.flatnonzero((several == 1) & a.own)
+        if len(some):
+            some = some[look.twins(a, part)[1][some]]
         if len(some):
-            _, one = np.unique(a.digest[some], return_index=True)
-            some = some[one]
-            held.append({"anchor": a.hash[some], "digest": a.digest[some], "count": np.ones(len(some), dtype=np.uint32), "doc": doc[some], "tag": tag[some], "place": place[some]})
+            held.append(_occurrences(a, part, some))
             sizes.append(a.left[some] * 65536 + a.right[some])
             start, size = a.at[some] - a.left[some], a.left[some] + a.right[some]
             total = np.cumsum(size)
             texts_held.append((size, texts.data[np.repeat(start - (total - size), size) + np.arange(total[-1])].tobytes()))
             n_bytes += int(total[-1])
-        start = _windows(a, several == 2, len(texts.data), window)
+        start = _windows(a, several == 2, part, window)
+        start = start[start >= part.low]
         if len(start):
             row = np.searchsorted(texts.bounds, start, side="right") - 1
             h = bw.span_hashes(a.sums, a.down, start, start + window)
-            hashed.append({"anchor": h, "digest": h, "count": np.ones(len(h), dtype=np.uint32), "doc": docs.id[row], "tag": docs.tag[row], "place": start - texts.bounds[row]})
+            hashed.append({"anchor": h, "digest": h, "count": np.ones(len(h), dtype=np.uint32), "doc": docs.id[row], "tag": docs.tag[row], "place": part.base + start - texts.bounds[row]})
             n_hashed += len(h)
             if n_hashed > HELD:
                 yield windows()
@@ -256,6 +338,37 @@ def _send(batches: Iterator[pa.RecordBatch], path: str, buckets: int, window: in
         yield windows()
 
 
+def nearest_smaller(place: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For suffixes in suffix order the nearest one before with a smaller place (-1: none) and what both have in common.
+
+    common: what each has in common with the one before. All pointers jump at
+    once: over a suffix with no smaller place goes where that one's pointer goes.
+    """
+    to, low = np.arange(len(place)) - 1, common.copy()
+    low[:1] = 0
+    todo = np.flatnonzero(low > 0)
+    todo = todo[place[to[todo]] >= place[todo]]
+    while len(todo):
+        over = to[todo]
+        low[todo] = np.minimum(low[todo], low[over])
+        to[todo] = to[over]
+        todo = todo[low[todo] > 0]
+        todo = todo[place[to[todo]] >= place[todo]]
+    return np.where(low > 0, to, -1), low
+
+
+def previous_factors(place: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Longest previous factors of suffixes in suffix order, and where they are: the previous and the next suffix with a smaller place (-1: none).
+
+    The longer of what a suffix has in common with the two is the longest string
+    at its place that also starts at a smaller one.
+    """
+    before, low = nearest_smaller(place, common)
+    after, high = nearest_smaller(place[::-1], np.concatenate([[0], common[:0:-1]]) if len(common) else common)
+    after, high = np.where(after >= 0, len(place) - 1 - after, -1)[::-1], high[::-1]
+    return np.maximum(low, high), before, after
+
+
 def _sorted_rows(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of rows of bytes by group and bytes, and with how many bytes each agrees with the one before (-1: another group)."""
     keyed = np.concatenate([group.astype(">u4").view(np.uint8).reshape(-1, 4), rows], axis=1)
@@ -267,9 +380,16 @@ def _sorted_rows(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nd
     return order, np.concatenate([[-1], common])
 
 
-def sort_contexts(group: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.ndarray, before: np.ndarray, after: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each context and each number of bytes before the anchor at which a window may start: whether another context of the
-    anchor has the same window, and whether this one is the first of them.
+def _most(order: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """What each has in common with any other at most: with a neighbour in the order."""
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.maximum(common, np.append(common[1:], -1))
+    return out
+
+
+def context_factors(group: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.ndarray, before: np.ndarray, after: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each context and each number l of bytes before the anchor at which a window may start: whether the longest previous
+    factor there is a window or more, and whether the window there is the previous factor of a later one.
 
     group: number of the anchor; first: rank of the context's first place;
     after: the bytes from the anchor on, before: those before it, from it backwards,
@@ -277,63 +397,50 @@ def sort_contexts(group: np.ndarray, first: np.ndarray, left: np.ndarray, right:
 
     after sorted is the suffix array of the anchors' suffixes, with the bytes in
     common with the suffix before as its LCP array; before sorted is that of the
-    reversed texts. Windows that start l bytes before the anchor agree if l bytes
-    are common backwards and window - l forwards, that is, if no smaller LCP
-    lies between them in either order. Equal ones in order of their first places:
-    all but the first have a longest previous factor of at least the window.
+    reversed texts. Suffixes that start l bytes before the anchor, cut at a window,
+    are in suffix order if they are so by the latter's classes of l bytes, and within
+    those by the former; two neighbours have a window in common if no smaller LCP
+    lies between them in either array. Shorter common prefixes count as none.
     """
     n, width = before.shape[0], before.shape[1] + 1
     order_a, common_a = _sorted_rows(group, after)
     order_b, common_b = _sorted_rows(group, before)
-    repeated, earliest = np.zeros((n, width), dtype=bool), np.zeros((n, width), dtype=bool)
-    class_a, class_b = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    most_a, most_b = _most(order_a, common_a), _most(order_b, common_b)
+    later, source = np.zeros((n, width), dtype=bool), np.zeros((n, width), dtype=bool)
+    rank_a, class_a, class_b = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    rank_a[order_a] = np.arange(n)
+    able = np.flatnonzero(most_a + most_b >= window)
     for l in range(width):  # noqa: E741
-        some = np.flatnonzero((left >= l) & (right >= window - l))
-        if not len(some):
+        some = able[(left[able] >= l) & (right[able] >= window - l) & (most_b[able] >= l) & (most_a[able] >= window - l)]
+        if len(some) < 2:
             continue
         class_a[order_a] = np.cumsum(common_a < window - l)
         class_b[order_b] = np.cumsum(common_b < l)
-        kind = class_a[some] * (n + 1) + class_b[some]
-        order = np.lexsort((first[some], kind)) if n > 1 << 20 else np.argsort(kind * (n + 1) + first[some], kind="stable")
-        some, kind, rank = some[order], kind[order], first[some[order]]
-        same = np.concatenate([[False], kind[1:] == kind[:-1]])
-        head = np.flatnonzero(~same)[np.cumsum(~same) - 1]
-        repeated[some, l] = same | np.concatenate([same[1:], [False]])
-        earliest[some, l] = rank == rank[head]
-    return repeated, earliest
-
-
-def longest_previous_factors(data: bytes) -> list[int]:
-    """For each position of a text the length of the longest string there that also starts earlier.
-
-    From the suffix array: of the suffixes before and after it in suffix order,
-    the nearest that start at smaller positions have the longest common prefixes.
-    """
-    n = len(data)
-    order = sorted(range(n), key=lambda k: data[k:])
-    before, after, stack = [-1] * n, [-1] * n, []
-    for at, k in enumerate(order):
-        while stack and order[stack[-1]] > k:
-            after[order[stack.pop()]] = k
-        before[k] = order[stack[-1]] if stack else -1
-        stack.append(at)
-
-    def common(i: int, j: int) -> int:
-        size = 0
-        while j >= 0 and max(i, j) + size < n and data[i + size] == data[j + size]:
-            size += 1
-        return size
-
-    return [max(common(k, before[k]), common(k, after[k])) for k in range(n)]
+        some = some[np.argsort(class_b[some] * n + rank_a[some], kind="stable")]
+        same = np.concatenate([[False], (class_b[some[1:]] == class_b[some[:-1]]) & (class_a[some[1:]] == class_a[some[:-1]])])
+        shared_ = same | np.append(same[1:], False)
+        some, same = some[shared_], same[shared_]
+        if not len(some):
+            continue
+        length, back, ahead = previous_factors(first[some], np.where(same, window, 0))
+        later[some, l] = length >= window
+        for to in (back, ahead):
+            source[some[to[to >= 0]], l] = True
+    return later, source
 
 
 def _sort(table: pa.Table, path: str, buckets: int, window: int) -> pa.Table:
     b, a = _unpacked(table)
-    if b >= buckets:  # windows of crowded anchors
-        a, _ = _least_first(a, ("anchor",))
-        keep = a["count"] > 1
-        _store(f"{path}/windows-{b - buckets}", {"window": a["anchor"][keep], "doc": a["doc"][keep], "tag": a["tag"][keep], "place": a["place"][keep]})
-        return pa.table({"n": pa.array([int(keep.sum())], type=pa.int64())})
+    if b >= buckets:  # windows of crowded anchors: equal ones are neighbours in order of their hashes
+        order = np.lexsort((a["place"], a["tag"], a["doc"], a["anchor"]))
+        a = {k: v[order] for k, v in a.items()}
+        many = a["count"] > 1
+        same = np.concatenate([[False], a["anchor"][1:] == a["anchor"][:-1]])
+        length, _, _ = previous_factors(np.arange(len(order)), np.where(same, window, 0))
+        # The first of equal ones stands for them, if a task has several or another has one.
+        first = (length < window) & (many | np.append(same[1:], False))
+        mapped.store(f"{path}/windows-{b - buckets}", {"window": a["anchor"][first], "doc": a["doc"][first], "tag": a["tag"][first], "place": a["place"][first]})
+        return pa.table({"sorted": pa.array([0], type=pa.int64()), "windows": pa.array([1], type=pa.int64())})
     size = np.frombuffer(b"".join(table.column("sizes").to_pylist()), dtype=np.uint32).astype(np.int64)
     data = np.frombuffer(b"".join(table.column("bytes").to_pylist()), dtype=np.uint8)
     length = (size >> 16) + (size & 65535)
@@ -346,8 +453,8 @@ def _sort(table: pa.Table, path: str, buckets: int, window: int) -> pa.Table:
     rank = np.empty(len(order), dtype=np.int64)
     rank[order] = np.cumsum(np.concatenate([[True], np.any([a[k][order][1:] != a[k][order][:-1] for k in ("doc", "tag", "place")], axis=0)]))
     group = np.cumsum(np.concatenate([[True], a["anchor"][1:] != a["anchor"][:-1]])) - 1
-    repeated = np.zeros((len(digests), width), dtype=bool)
-    earliest = np.zeros((len(digests), width), dtype=bool)
+    later = np.zeros((len(digests), width), dtype=bool)
+    source = np.zeros((len(digests), width), dtype=bool)
     k = 0
     while k < len(digests):
         # Whole anchors, as many as make a block; no anchor has more than the crowd's limit of contexts.
@@ -363,63 +470,74 @@ def _sort(table: pa.Table, path: str, buckets: int, window: int) -> pa.Table:
         row, place = np.nonzero(np.arange(width - 1)[None, :] < left[own][:, None])
         before[row, place] = data[middle[row] - 1 - place]
         _, first = np.unique(rank[own], return_inverse=True)
-        again, ahead = sort_contexts(group[own] - group[own[0]], first, left[own], right[own], before, after, window)
+        behind, ahead = context_factors(group[own] - group[own[0]], first, left[own], right[own], before, after, window)
         # From bytes before the anchor to the window's place in the context.
         at = left[own][:, None] - np.arange(width)[None, :]
         row, l = np.nonzero(at >= 0)  # noqa: E741
-        repeated[own[row], at[row, l]] = again[row, l]
-        earliest[own[row], at[row, l]] = ahead[row, l]
+        later[own[row], at[row, l]] = behind[row, l]
+        source[own[row], at[row, l]] = ahead[row, l]
     order = np.argsort(digests, kind="stable")
-    _store(f"{path}/sorted-{b}", {"digest": digests[order], "repeated": np.packbits(repeated[order], axis=1).ravel(), "earliest": np.packbits(earliest[order], axis=1).ravel()})
-    return pa.table({"n": pa.array([len(digests)], type=pa.int64())})
+    order = order[(later | source).any(axis=1)[order]]
+    mapped.store(f"{path}/sorted-{b}", {"digest": digests[order], "later": np.packbits(later[order], axis=1).ravel(), "source": np.packbits(source[order], axis=1).ravel()})
+    return pa.table({"sorted": pa.array([1], type=pa.int64()), "windows": pa.array([0], type=pa.int64())})
 
 
-def _removed(look: Lookup, texts: bw.Texts, docs: Docs, window: int, keep_first: bool) -> np.ndarray:
-    """True for each byte that a repeated window covers (with keep_first: one that isn't the first of its kind)."""
-    a = Anchors(texts, window)
-    several, twin, doc, tag, place = look(a)
+def _removed(look: Lookup, part: Part, window: int, keep_first: bool) -> np.ndarray:
+    """For each byte of the part whether a window covers it that has a previous factor as long as itself (or, unless the first stays, is one)."""
+    texts, docs = part.texts, part.docs
+    a = Anchors(part, window)
+    several = look.several(a)
+    twin, here = look.twins(a, part)
     edges = np.zeros(len(texts.data) + 1, dtype=np.int32)
-    here = (doc == docs.id[a.row]) & (tag == docs.tag[a.row]) & (place == a.at - texts.bounds[a.row])  # this is the first place of its context
     width = window - GRAM + 1
     packed_width = -(-width // 8)
-    bucket = _bucket(a.hash, look.buckets)
-    # Twins alone under their anchor: all their windows are repeated.
-    plain = np.flatnonzero(twin & (several == 0) & ~(here & keep_first))
+    # All windows of a context that occurs earlier have previous factors in it.
+    plain = np.flatnonzero((twin & ~here if keep_first else twin) & (several < 2))
     np.add.at(edges, a.at[plain] - a.left[plain], 1)
     np.add.at(edges, a.at[plain] + a.right[plain], -1)
     starts = []
-    for b in np.unique(bucket[several == 1]).tolist():
-        at = np.flatnonzero((bucket == b) & (several == 1))
-        file = look.sorted[b]
+    some = np.flatnonzero((several == 1) & (here if keep_first else ~twin))
+    bucket = bucket_of(a.hash[some], look.buckets)
+    for b in np.unique(bucket).tolist():
+        file = look.files["sorted"][b]
+        if file is None:
+            continue
+        at = some[bucket == b]
         k = bw.found_in(a.digest[at], file["digest"])
-        bits = np.unpackbits(file["repeated"].reshape(-1, packed_width)[k], axis=1)[:, :width].astype(bool) | twin[at][:, None]
-        if keep_first:
-            first = np.unpackbits(file["earliest"].reshape(-1, packed_width)[k], axis=1)[:, :width].astype(bool)
-            bits &= ~(first & here[at][:, None])
+        at, k = at[k >= 0], k[k >= 0]
+        bits = file["later"].reshape(-1, packed_width)[k]
+        if not keep_first:
+            bits = bits | file["source"].reshape(-1, packed_width)[k]
+        bits = np.unpackbits(bits, axis=1)[:, :width].astype(bool)
         bits &= np.arange(width)[None, :] <= (a.left[at] + a.right[at] - window)[:, None]
         i, offset = np.nonzero(bits)
         starts.append(a.at[at[i]] - a.left[at[i]] + offset)
-    start = _windows(a, several == 2, len(texts.data), window)
+    start = _windows(a, several == 2, part, window)
     if len(start):
         row = np.searchsorted(texts.bounds, start, side="right") - 1
         h = bw.span_hashes(a.sums, a.down, start, start + window)
-        of = _bucket(h, look.buckets)
+        of = bucket_of(h, look.buckets)
         for b in np.unique(of).tolist():
-            file = look.windows[b]
+            file = look.files["windows"][b]
             if file is None:
                 continue
             at = np.flatnonzero(of == b)
             w = bw.found_in(h[at], file["window"])
             at, w = at[w >= 0], w[w >= 0]
             if keep_first:
-                later = ~((file["doc"][w] == docs.id[row[at]]) & (file["tag"][w] == docs.tag[row[at]]) & (file["place"][w] == start[at] - texts.bounds[row[at]]))
+                later = ~((file["doc"][w] == docs.id[row[at]]) & (file["tag"][w] == docs.tag[row[at]]) & (file["place"][w] == part.base + start[at] - texts.bounds[row[at]]))
                 at = at[later]
             starts.append(start[at])
     if starts:
         start = np.concatenate(starts)
         np.add.at(edges, start, 1)
         np.add.at(edges, start + window, -1)
-    return np.cumsum(edges[:-1]) > 0
+    return (np.cumsum(edges[:-1]) > 0)[part.low : part.high]
+
+
+def _manifests(df: DataFrame, path: str, buckets: int, *kinds: str) -> dict[str, np.ndarray]:
+    written = df.agg(*[F.sum(k) for k in kinds]).first()
+    return {k: mapped.manifest(path, k, buckets, n or 0) for k, n in zip(kinds, written, strict=True)}
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_first: bool = False, id_column: str = "doc_id", details: bool = True, crowd: int = CROWD) -> DataFrame:
@@ -432,27 +550,31 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_first: bool = Fal
     one document. Null texts are empty (and
     stay null); texts shorter than the window are left as they are. Characters of
     which a part is removed go from `text`, while kept_sha256 is of the bytes kept.
-    Columns named like a detail are replaced.
+    Columns named like a detail are replaced; others stay, whatever their names.
+    A text of more than two megabytes is worked through in parts of that size.
     """
     spark = docs.sparkSession
     made = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
     docs = docs.drop(*made) if details else docs
     columns = docs.columns
+    (id_,) = shared.free(columns, "_id")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     path = shared.mounted(shared.folder(spark, "repeats"))
-    keyed = docs.withColumn("_id", F.col(id_column).cast("long"))
-    texts = keyed.select("_id", "text")
+    keyed = docs.select(F.col(id_column).cast("long").alias(id_), "text", *[c for c in columns if c != "text"])
+    texts = keyed.select(id_, "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-size // BUCKET_TEXT))
-    counted = texts.mapInArrow(lambda it: _count(it, buckets, window), PACKED).groupBy("bucket").applyInArrow(lambda t: _settle(t, path, crowd), "n long")
-    counted.agg(F.sum("n")).first()
-    gathered = texts.mapInArrow(lambda it: _send(it, path, buckets, window), CONTEXTS).groupBy("bucket").applyInArrow(lambda t: _sort(t, path, buckets, window), "n long")
-    gathered.agg(F.sum("n")).first()
+    contexts = texts.mapInArrow(lambda it: _count(it, buckets, window), PACKED).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _settle_contexts(t, path, buckets), ANCHORS)
+    anchors = contexts.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _settle_anchors(t, path, crowd), "contexts long, anchors long")
+    there = _manifests(anchors, path, buckets, "contexts", "anchors")
+    sent = texts.mapInArrow(lambda it: _send(it, Lookup(path, buckets, there), window), CONTEXTS).repartition(2 * buckets, "bucket")
+    gathered = sent.groupBy("bucket").applyInArrow(lambda t: _sort(t, path, buckets, window), "sorted long, windows long")
+    found = there | _manifests(gathered, path, buckets, "sorted", "windows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = Lookup(path, buckets)
+        look = Lookup(path, buckets, found)
         for batch, part, own_docs in _batches(batches):
-            gone = _removed(look, part, own_docs, window, keep_first)
+            gone = np.concatenate([_removed(look, p, window, keep_first) for p in _parts(part, own_docs, window)])
             own = batch.slice(part.first, len(part))
             arrays = dict(zip(own.schema.names, own.columns, strict=True))
             given, out = arrays["text"], []
@@ -482,3 +604,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_first: bool = Fal
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs).drop("text")
+
+
+#: Texts as hexadecimal digits, cut into chunks so that no window is looked for far into a string.
+ORACLE = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+chunk AS (SELECT r, c, substr(h, 2 * c + 1, 2 * 1199) AS h FROM (SELECT r, h, unnest(range(0, length(h) // 2, 1000)) AS c FROM d)),
+win AS (SELECT r, c + k AS p, md5_number(substr(h, 2 * k + 1, 400)) AS g FROM (SELECT r, c, h, unnest(range(0, least(1000, length(h) // 2 - 199))) AS k FROM chunk)),
+hit AS (SELECT r, p FROM win SEMI JOIN (SELECT g FROM win GROUP BY g HAVING count(*) > 1) USING (g)),
+edge AS (SELECT r, p, coalesce(p - lag(p) OVER (PARTITION BY r ORDER BY p) > 200, true) AS fresh FROM hit),
+span AS (SELECT r, min(p) AS a, max(p) + 200 AS b FROM (SELECT r, p, sum(fresh::INT) OVER (PARTITION BY r ORDER BY p ROWS UNBOUNDED PRECEDING) AS i FROM edge) GROUP BY r, i),
+kept AS (SELECT r, coalesce(lag(b) OVER w, 0) AS a, a AS b FROM span WINDOW w AS (PARTITION BY r ORDER BY a)
+         UNION ALL SELECT r, coalesce(max(b), 0), length(any_value(h)) // 2 FROM d LEFT JOIN span USING (r) GROUP BY r),
+rest AS (SELECT r, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS h FROM kept JOIN d USING (r) GROUP BY r),
+gone AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM span GROUP BY r)
+SELECT doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest.h, ''))) AS kept_sha256
+FROM d JOIN rest USING (r) LEFT JOIN gone USING (r)
+"""

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a temporary folder of its own that goes with the process."""
+    """spark.checkpoint.dir. Where it is unset, in local mode a temporary folder of its own that goes with the process, on a cluster an error."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset; on a cluster it must name a folder that all machines share")
         where = "file://" + tempfile.mkdtemp(prefix="celestrum-")
         atexit.register(shutil.rmtree, where.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", where)
@@ -41,3 +43,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column has (column names ignore case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 
 from celestrum.llm import bytewords as bw
-from celestrum.llm import decontaminate, near_dups, ngram, repeats
+from celestrum.llm import decontaminate, mapped, near_dups, ngram, repeats
 from celestrum.llm.components import components
 
 WORDS = "alpha Beta gamma délta EPS zeta eta theta iota kappa lam mu".split()
@@ -205,10 +206,82 @@ def test_first_of_texts_without_different_ids(spark, crowd):
 
 def test_longest_previous_factors():
     rng = random.Random(2)
-    for _ in range(30):
+    for _ in range(60):
         data = bytes(rng.choice(b"ab") for _ in range(rng.randrange(40)))
-        want = [max((n for j in range(k) for n in range(len(data) - k + 1) if data[j : j + n] == data[k : k + n]), default=0) for k in range(len(data))]
-        assert repeats.longest_previous_factors(data) == want
+        order = sorted(range(len(data)), key=lambda k: data[k:])
+        alike = lambda i, j: next((n for n in range(len(data)) if data[i : i + n + 1] != data[j : j + n + 1] or max(i, j) + n >= len(data)), 0)
+        common = np.array([0] * bool(data) + [alike(i, j) for i, j in itertools.pairwise(order)], dtype=np.int64)
+        length, before, after = repeats.previous_factors(np.array(order, dtype=np.int64), common)
+        for n, k in enumerate(order):
+            assert length[n] == max((alike(j, k) for j in range(k)), default=0)
+            for to in (before[n], after[n]):
+                assert to < 0 or order[to] < k
+            assert not length[n] or length[n] in [alike(order[to], k) for to in (before[n], after[n]) if to >= 0]
+
+
+def test_query_takes_its_rows_from_previous_factors(texts):
+    """Every result of the sorting step goes through the two arrays."""
+    code = repeats.context_factors.__code__.co_names, repeats._sort.__code__.co_names
+    assert all("previous_factors" in names for names in code)
+
+
+def test_parts_of_a_long_text_have_its_anchors():
+    rng = random.Random(8)
+    text = " ".join(rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(6000)) + "Ab " * 900
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    whole = bw.Texts(0, data, np.array([0, len(data)]))
+    docs = repeats.Docs(np.array([5]), np.array([9], dtype=bw.U64))
+
+    def found(limit):
+        out = []
+        for part in repeats._parts(whole, docs, 200, limit):
+            a = repeats.Anchors(part, 200)
+            own = np.flatnonzero(a.own)
+            out += zip(*repeats._occurrences(a, part, own).values(), a.left[own], a.right[own], strict=True)
+            assert np.isin(repeats._windows(a, a.own, part, 200), repeats._windows(a, a.own | True, part, 200)).all()
+        return out
+
+    assert found(1 << 30) == found(5000) == found(777)
+
+
+def test_long_texts_and_clashing_names(spark):
+    rng = random.Random(8)
+    words = lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(10**6)) for _ in range(n))
+    passage = words(40)
+    long = words(150_000) + passage + words(150_000)
+    texts = [long, "x " + passage, words(20)]
+    assert len(long) > 1.4 * 2 * repeats.SLICE_BYTES
+    rows = spark.createDataFrame([(k, t, 70 + k, "b") for k, t in enumerate(texts)], "doc_id long, text string, _id long, bucket string")
+    got = {r["doc_id"]: r for r in repeats.remove_repeats(rows).collect()}
+    for k, (t, gone) in enumerate(zip(*brute_repeats([long[1_500_000:-1_500_000], *texts[1:]], 200, False), strict=True)):
+        assert (got[k]["n_removed"], got[k]["_id"], got[k]["bucket"]) == (gone.sum(), 70 + k, "b") and len(t)
+    assert got[0]["n_removed"] >= len(passage)
+
+
+def test_a_missing_file_is_an_error(tmp_path):
+    path = str(tmp_path / "x")
+    os.makedirs(path)
+    for k in (0, 2):
+        mapped.store(f"{path}/words-{k}", {"a": np.arange(k + 1)})
+    with pytest.raises(OSError, match="2 of 3"):
+        mapped.manifest(path, "words", 4, 3)
+    there = mapped.manifest(path, "words", 4, 2)
+    assert there.tolist() == [True, False, True, False]
+    os.remove(f"{path}/words-2")
+    folder = mapped.Folder(f"{path}/words", there)
+    assert folder[0]["a"].tolist() == [0] and folder[1] is None
+    with pytest.raises(FileNotFoundError):
+        folder[2]
+
+
+def test_maps_hold_few_descriptors(tmp_path):
+    for k in range(300):
+        mapped.store(f"{tmp_path}/f-{k}", {"a": np.arange(4)})
+    folder = mapped.Folder(f"{tmp_path}/f", np.ones(300, dtype=bool), limit=40)
+    before = len(os.listdir("/proc/self/fd"))
+    for k in [*range(300), *range(300)]:
+        assert folder[k]["a"][3] == 3
+    assert len(os.listdir("/proc/self/fd")) <= before + 40 and len(folder.files.held) == 40
 
 
 def kneser_ney(texts):
@@ -286,12 +359,13 @@ def kneser_ney_of(texts, order):
     return p, [g[0] for g in tables[1]]
 
 
-@pytest.mark.parametrize("order", [2, 3, 4, 5])
-def test_ngram_scores_of_orders(spark, texts, docs, order, monkeypatch):
-    monkeypatch.setattr(ngram, "HELD", 500)
+@pytest.mark.parametrize(("order", "more"), [(2, {}), (3, {}), (3, {"held": 500}), (3, {"split": 9}), (2, {"split": 9}), (3, {"split": 9, "held": 500}), (3, {"wide": True, "split": 30}), (4, {"held": 500}), (5, {"split": 5})])
+def test_ngram_scores_of_orders(spark, texts, docs, order, more):
     train = [t for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 7 != 2]
     p, words = kneser_ney_of(train, order)
-    got = {r["doc_id"]: r["score"] for r in ngram.score(docs, ngram.train(docs.where(~ngram.held_out()), order)).collect()}
+    model = ngram.train(docs.where(~ngram.held_out()), order, **more)
+    assert bool(len(model.hot)) == ("split" in more)
+    got = {r["doc_id"]: r["score"] for r in ngram.score(docs, model).collect()}
     for k, t in enumerate(texts):
         w = [b"<s>"] * (order - 1) + [*tokens(t), b"</s>"]
         assert got[k] == pytest.approx(sum(math.log10(p(tuple(w[j : j + order]))) for j in range(len(w) - order + 1)))
@@ -299,6 +373,27 @@ def test_ngram_scores_of_orders(spark, texts, docs, order, monkeypatch):
     assert sum(p((*context, b)) for b in [*words, b"never seen"]) == pytest.approx(1.0)
 
 
+def test_pieces_of_a_long_text_have_its_tokens():
+    text = " ".join(f"w{k % 7}" for k in range(3000)) + "x" * 300 + " " * 400 + "end"
+    whole = next(ngram.tokens_of(pa.array([text]), 3, 1 << 30))
+    found, lead = [], 0
+    for t in ngram.tokens_of(pa.array([text]), 3, 100):
+        assert t.hashes[: t.lead].tolist() == found[len(found) - t.lead :]
+        found += t.hashes[t.lead :].tolist()
+        lead = max(lead, t.lead)
+    assert found == whole.hashes.tolist() and lead == 2 and not t.more
+
+
+def test_ngram_scores_of_a_long_text(spark):
+    long = " ".join(f"w{k % 911}" for k in range(1_300_000))
+    assert len(long) > 2 * bw.SLICE_BYTES
+    rows = spark.createDataFrame([(0, long, "x"), (1, "w1 w2 w3", "y"), (2, None, "z")], "doc_id long, text string, bucket string")
+    model = ngram.train(rows, 3)
+    got = {r["doc_id"]: r for r in ngram.score(rows, model).collect()}
+    assert model.tokens == 1_300_006 and got[0]["n_tokens"] == got[0]["n_known"] == 1_300_001 and got[2]["n_tokens"] == 1 and got[1]["bucket"] == "y"
+    assert got[0]["score"] / got[0]["n_tokens"] > -0.01  # each word follows from the two before
+
+
 def test_ngram_query_uses_longer_contexts():
     assert ngram.ORDER >= 3
 
