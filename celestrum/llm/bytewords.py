@@ -45,6 +45,7 @@ SPACED = ~((_b == 0x20) | ((_b >= 0x09) & (_b <= 0x0D)))
 #: Words are of 0-9, A-Z, a-z and whatever is beyond ASCII.
 ALNUM = ((_b >= 48) & (_b <= 57)) | ((_b >= 65) & (_b <= 90)) | ((_b >= 97) & (_b <= 122)) | (_b >= 128)
 LOWER = _lower()
+LINE = np.array([10], dtype=np.uint8)
 
 
 class _Powers:
@@ -120,9 +121,17 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Texts]:
 
 
 def words(texts: Texts, inside: np.ndarray, fold: bool = True) -> Words:
-    """Words of bytes for which `inside` is true, hashed with A-Z lower-cased (unless fold is false). No word crosses rows."""
+    """Words of bytes for which `inside` is true, hashed with A-Z lower-cased (unless fold is false). No word crosses rows. A long text is worked through in pieces."""
     data = texts.data
     n, rows = len(data), len(texts)
+    if rows == 1 and n > 2 * SLICE_BYTES:
+        parts, at = [], 0
+        for piece in pieces(texts, inside, SLICE_BYTES):
+            w = words(Texts(0, np.concatenate([piece.data, LINE]), np.array([0, len(piece.data), len(piece.data) + 1])), inside, fold)
+            parts.append((w.starts + at, w.ends + at, w.hashes))
+            at += len(piece.data)
+        starts, ends, hashes = (np.concatenate(v) for v in zip(*parts, strict=True))
+        return Words(starts, ends, np.zeros(len(starts), dtype=np.int64), hashes, np.array([0, len(starts)]))
     if not n:
         none = np.zeros(0, dtype=np.int64)
         return Words(none, none, none, np.zeros(0, dtype=U64), np.zeros(rows + 1, dtype=np.int64))

@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import mmap
 import os
 import uuid
 from collections.abc import Iterator
@@ -33,13 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from celestrum.llm import bytewords as bw
-from celestrum.llm import shared
+from celestrum.llm import mapped, shared
 from celestrum.llm.components import components
 
 COORDINATES = 64
 #: Chance that a pair just similar enough isn't looked at.
 MISS = 1e-6
-CHUNK = 4096
+CHUNK = 1024
 #: Lists up to this length give pairs, which are confirmed once for all lists; longer ones are confirmed in place.
 SHORT = 12
 
@@ -97,7 +96,7 @@ SET_FIELDS = "doc_id bigint, n_shingles bigint, key binary, file bigint, at bigi
 
 
 def _write_sets(batches: Iterator[pa.RecordBatch], folder: str, size: int, carry: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    """A file for this attempt of the task: a signature and its set, again and again. Equal sets of a task are stored once."""
+    """A file for this attempt of the task: a signature and its set, again and again. Equal sets of a task are stored once. carry: the columns from the third on, under other names."""
     file = uuid.uuid4().int >> 66
     os.makedirs(folder, exist_ok=True)
     known: dict[bytes, int] = {}
@@ -132,20 +131,14 @@ class Sets:
     """Signatures and sets by file and place, memory-mapped."""
 
     def __init__(self, folder: str) -> None:
-        self.folder, self.files = folder, {}
-
-    def _file(self, name: int) -> np.ndarray:
-        if name not in self.files:
-            with open(f"{self.folder}/{name}", "rb") as f:
-                self.files[name] = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), dtype=np.uint8)
-        return self.files[name]
+        self.files = mapped.Recent(lambda name: np.frombuffer(mapped.whole(f"{folder}/{name}"), dtype=np.uint8))
 
     def signature(self, file: int, at: int) -> np.ndarray:
-        return self._file(file)[at : at + 4 * COORDINATES].view(np.uint32)
+        return self.files[file][at : at + 4 * COORDINATES].view(np.uint32)
 
     def set(self, file: int, at: int, n: int) -> np.ndarray:
         at += 4 * COORDINATES
-        return self._file(file)[at : at + 8 * n].view(bw.U64)
+        return self.files[file][at : at + 8 * n].view(bw.U64)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -255,23 +248,27 @@ def find_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, c
     without words have no shingles and no links. component_id is the least doc_id
     that is reached over links; kept is doc_id = component_id. Rows with a null
     doc_id link nothing, have no component and are kept. Rows given twice are
-    there twice. Columns that aren't carried are left out.
+    there twice. Columns that aren't carried are left out; carried ones may have any
+    names but those of the result. The set of a text takes about ten times its size.
     """
+    if not set(carry).isdisjoint(("doc_id", "n_shingles", "component_id", "kept")):
+        raise ValueError(f"carried columns {carry} have names of the result")
     spark = docs.sparkSession
     agree = agreement(percent)
     prefix = COORDINATES - agree + 1
     folder = shared.mounted(shared.folder(spark, "sets"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
-    extra = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
-    found = shared.written(rows.mapInArrow(lambda it: _write_sets(it, folder, shingle, carry), extra + SET_FIELDS), "found")
+    own = tuple(f"carried{k}" for k in range(len(carry)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(o) for c, o in zip(carry, own, strict=True)])
+    extra = "".join(f"{o} {docs.schema[c].dataType.simpleString()}, " for c, o in zip(carry, own, strict=True))
+    found = shared.written(rows.mapInArrow(lambda it: _write_sets(it, folder, shingle, own), extra + SET_FIELDS), "found")
     reps = (
         found.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("key")
         .agg(F.min(F.struct("doc_id", "n_shingles", "file", "at")).alias("r"))
         .select("key", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.file").alias("file"), F.col("r.at").alias("at"))
     )
-    # Two different sets may have the same least doc_id if ids repeat: nodes are sets, numbered by that id and told apart by their digests.
-    reps = shared.written(reps.withColumn("node", F.xxhash64("key")), "reps")
+    # Nodes are sets, by their digests of 128 bits; their numbers are made once, when the table is written.
+    reps = shared.written(reps.withColumn("node", F.monotonically_increasing_id()), "reps")
     posted = reps.select("node", "file", "at").mapInArrow(lambda it: _tokens(it, folder), "rep bigint, tokens array<bigint>").select("rep", F.explode("tokens").alias("token"))
     often = posted.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
     shared_tokens = posted.join(often, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("own"))
@@ -289,7 +286,7 @@ def find_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, c
     nodes = reps.select("key", "node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = nodes.groupBy("root").agg(F.min("rep").alias("component_id"))
     placed = nodes.join(least, "root").select("key", "component_id")
-    out = found.join(placed, "key", "left").select(*carry, "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    out = found.join(placed, "key", "left").select(*[F.col(o).alias(c) for c, o in zip(carry, own, strict=True)], "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

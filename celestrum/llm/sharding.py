@@ -2,9 +2,11 @@
 
 Rows with equal texts are one group and stay together. Groups are dealt over
 tasks by their text's digest; each task differences its own groups into one
-partial partition, whose sums (as many as there are shards) are all that the
-driver gets. Partial partitions of tasks are nodes of the same algorithm, so
-the driver goes on with them: largest spread first, combined in opposite order.
+partial partition of as many sums as there are shards. Partial partitions are
+nodes of the same algorithm: FAN of them are combined in one task, largest
+spread first and in opposite order, and so on up a tree until one is left.
+Which part became part of which is a table at each step, joined on the way
+back down; nothing but counts comes to the driver.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -25,6 +28,23 @@ SHARDS = 40
 ROW_BYTES = 16
 GROUPS_PER_TASK = 20_000
 ROWS_PER_BUCKET = 20_000
+#: Partial partitions that one task combines.
+FAN = 500
+#: Parts (of some tens of bytes) up to which their table goes to all tasks.
+SMALL = 200_000
+
+
+def _ends(parent: list[int], slots: np.ndarray) -> np.ndarray:
+    """Number in `slots` of the slot that each slot became part of."""
+    part = {slot: k for k, slot in enumerate(slots.tolist())}
+    out = np.empty(len(parent), dtype=np.int32)
+    for k in range(len(parent)):
+        r = k
+        while parent[r] != r:
+            parent[r] = parent[parent[r]]
+            r = parent[r]
+        out[k] = part[r]
+    return out
 
 
 def _deal(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
@@ -33,76 +53,87 @@ def _deal(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordB
     table = pa.Table.from_batches(held) if held else None
     if table is None or not table.num_rows:
         return
-    order = np.array(table.column("_group").to_pylist(), dtype=object).argsort(kind="stable")
+    order = np.array(table.column(0).to_pylist(), dtype=object).argsort(kind="stable")
     table = table.take(pa.array(order))
-    sizes = table.column("_bytes").to_numpy()
+    sizes = table.column(1).to_numpy()
     parent, _, slots = combine([(sizes[k : k + 1], np.array([k])) for k in range(len(sizes))], shards, len(sizes))
-    part = {slot: k for k, slot in enumerate(slots.tolist())}
-    out = np.empty(len(sizes), dtype=np.int32)
-    for k in range(len(sizes)):
-        r = k
-        while parent[r] != r:
-            parent[r] = parent[parent[r]]
-            r = parent[r]
-        out[k] = part[r]
     task = TaskContext.get().partitionId()
-    yield from pa.table({"_group": table.column("_group"), "_task": pa.array(np.full(len(out), task), type=pa.int32()), "_part": pa.array(out), "_bytes": table.column("_bytes")}).to_batches()
+    out = _ends(parent, slots)
+    yield from pa.table({"group": table.column(0), "task": pa.array(np.full(len(out), task), type=pa.int32()), "part": pa.array(out), "bytes": table.column(1)}).to_batches()
+
+
+def _combine(df: pd.DataFrame, shards: int) -> pd.DataFrame:
+    """Partial partitions (task, part, bytes) of one node of the tree become one: `into` is the part that each part goes to."""
+    df = df.sort_values(["task", "part"], kind="stable").reset_index(drop=True)
+    nodes = [(own["bytes"].to_numpy(), own.index.to_numpy()) for _, own in df.groupby("task")]
+    parent, _, slots = combine(nodes, shards, len(df))
+    return df.assign(into=_ends(parent, slots))
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, row_bytes: int = ROW_BYTES) -> DataFrame:
+def assign(docs: DataFrame, shards: int = SHARDS, row_bytes: int = ROW_BYTES, groups_per_task: int = GROUPS_PER_TASK, fan: int = FAN) -> DataFrame:
     """docs' columns and size, shard, slot.
 
     size: UTF-8 bytes of text and row_bytes; slot: a row's number in its shard,
     gapless from 0. Sums of sizes over shards are near equal, as far as groups
     of equal texts allow, which aren't divided: one larger than its share fills
     a shard alone. Null texts are empty, and a group with empty ones. Repeated
-    rows count each; columns named size, shard or slot are replaced. No rows: none.
+    rows count each; columns named size, shard or slot are replaced, others stay,
+    whatever their names. No rows: none.
     """
-    return assign_keyed(keyed(docs, row_bytes), shards)
+    rows, group = keyed(docs, row_bytes)
+    return assign_keyed(rows, group, shards, groups_per_task, fan)
 
 
-def keyed(docs: DataFrame, row_bytes: int = ROW_BYTES) -> DataFrame:
-    """docs' columns, size and _group, the text's digest."""
+def keyed(docs: DataFrame, row_bytes: int = ROW_BYTES) -> tuple[DataFrame, str]:
+    """docs' columns, size and the text's digest, and the latter's name."""
     text = F.coalesce("text", F.lit(""))
-    return docs.drop("size", "shard", "slot").withColumns({"size": F.octet_length(text).cast("long") + row_bytes, "_group": F.md5(text.cast("binary"))})
+    docs = docs.drop("size", "shard", "slot")
+    (group,) = shared.free(docs.columns, "_group")
+    return docs.withColumns({"size": F.octet_length(text).cast("long") + row_bytes, group: F.md5(text.cast("binary"))}), group
 
 
-def assign_keyed(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """As assign, for rows that have size and _group already."""
-    spark = rows.sparkSession
-    columns = [c for c in rows.columns if c != "_group"]
-    rows = shared.written(rows, "rows")
-    groups = rows.groupBy("_group").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_rows"))
-    groups = shared.written(groups, "groups")
-    n_groups, n_rows = groups.agg(F.count("*"), F.sum("_rows")).first()
-    tasks = max(1, -(-n_groups // GROUPS_PER_TASK))
-    dealt = groups.select("_group", "_bytes").repartition(tasks, "_group").mapInArrow(lambda it: _deal(it, shards), "_group string, _task int, _part int, _bytes bigint")
+def shards_of(groups: DataFrame, shards: int, groups_per_task: int, fan: int) -> DataFrame:
+    """group, shard of groups (group, bytes)."""
+    tasks = max(1, -(-groups.count() // groups_per_task))
+    dealt = groups.repartition(tasks, "group").mapInArrow(lambda it: _deal(it, shards), "group string, task int, part int, bytes bigint")
     dealt = shared.written(dealt, "dealt")
-    # Tasks times shards numbers, whatever the number of groups in a task.
-    sums = dealt.groupBy("_task", "_part").agg(F.sum("_bytes").alias("_bytes")).orderBy("_task", "_part").toPandas()
-    nodes, names = [], []
-    for task, own in sums.groupby("_task"):
-        nodes.append((own["_bytes"].to_numpy(), np.arange(len(names), len(names) + len(own))))
-        names += [(int(task), int(p)) for p in own["_part"]]
-    parent, _, slots = combine(nodes, shards, len(names))
-    shard_of = {slot: k for k, slot in enumerate(slots.tolist())}
-    places = []
-    for k, (task, part) in enumerate(names):
-        r = k
-        while parent[r] != r:
-            r = parent[r]
-        places.append((task, part, shard_of[r]))
-    shard = spark.createDataFrame(places, "_task int, _part int, shard int")
-    where = dealt.join(F.broadcast(shard), ["_task", "_part"]).select("_group", "shard")
+    nodes = (dealt.agg(F.max("task")).first()[0] or 0) + 1
+    parts, steps = dealt.groupBy("task", "part").agg(F.sum("bytes").alias("bytes")), []
+    while not steps or nodes > 1:
+        above = -(-nodes // fan)
+        tree = parts.withColumn("up", F.floor(F.col("task") / fan).cast("int")).repartition(above, "up").groupBy("up")
+        step = shared.written(tree.applyInPandas(lambda df: _combine(df, shards), "task int, part int, bytes long, up int, into int"), "step")
+        steps.append((step, nodes))
+        parts, nodes = step.groupBy(F.col("up").alias("task"), F.col("into").alias("part")).agg(F.sum("bytes").alias("bytes")), above
+    where = None
+    for step, nodes in reversed(steps):
+        if where is None:
+            where = step.select("task", "part", F.col("into").alias("shard"))
+            continue
+        above = where.withColumnsRenamed({"task": "up", "part": "into"})
+        where = step.join(above, ["up", "into"]).select("task", "part", "shard")
+    # As many rows as the lowest step has parts.
+    where = F.broadcast(where) if steps[0][1] * shards <= SMALL else where
+    return dealt.join(where, ["task", "part"]).select("group", "shard")
+
+
+def assign_keyed(rows: DataFrame, group: str, shards: int = SHARDS, groups_per_task: int = GROUPS_PER_TASK, fan: int = FAN) -> DataFrame:
+    """As assign, for rows that have size and the digest `group` already. Copies of one text share a key of the last join, whose skew is left to adaptive execution."""
+    columns = [c for c in rows.columns if c != group]
+    rows = shared.written(rows, "rows")
+    groups = shared.written(rows.groupBy(F.col(group).alias("group")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "groups")
+    n_rows = groups.agg(F.sum("n")).first()[0]
+    where = shards_of(groups.select("group", "bytes"), shards, groups_per_task, fan).withColumnRenamed("group", group)
     # A row's bucket follows from its values, so counts and numbers below agree whenever a task runs again.
     buckets = max(1, -(-(n_rows or 0) // ROWS_PER_BUCKET))
     values = [f.name for f in rows.schema.fields if "map" not in f.dataType.simpleString()]
-    placed = rows.join(where, "_group").withColumn("_bucket", F.pmod(F.xxhash64(*values), F.lit(buckets)))
-    counts = placed.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("shard", "_bucket").orderBy(*[c for c in values if c != "text"])
-    return placed.withColumn("_k", F.row_number().over(within)).join(starts, ["shard", "_bucket"]).withColumn("slot", F.col("_start") + F.col("_k") - 1).select(*columns, "shard", "slot")
+    bucket, n, start, k = shared.free([*rows.columns, "shard", "slot"], "_bucket", "_n", "_start", "_k")
+    placed = rows.join(where, group).withColumn(bucket, F.pmod(F.xxhash64(*values), F.lit(buckets)))
+    counts = placed.groupBy("shard", bucket).agg(F.count("*").alias(n))
+    before = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    within = Window.partitionBy("shard", bucket).orderBy(*[c for c in values if c != "text"])
+    return placed.withColumn(k, F.row_number().over(within)).join(starts, ["shard", bucket]).withColumn("slot", F.col(start) + F.col(k) - 1).select(*columns, "shard", "slot")
 
 
 def write(docs: DataFrame, path: str, shards: int = SHARDS) -> DataFrame:
@@ -113,5 +144,6 @@ def write(docs: DataFrame, path: str, shards: int = SHARDS) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows = keyed(docs).withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).drop("text")
-    return assign_keyed(rows).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    rows, group = keyed(docs)
+    rows = rows.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).drop("text")
+    return assign_keyed(rows, group).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

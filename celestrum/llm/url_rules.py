@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from celestrum.llm import shared
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows of one host that one sweep takes; hosts with more are dealt over several.
@@ -44,10 +46,12 @@ def apply_rules(urls: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     the longest host and path together wins; of equally long ones that with the
     longer host. A rule given twice counts once; if its verdicts differ, it
     blocks. Null hosts or paths in rules are ignored; null in urls: ''. Rows,
-    repeated ones too, stay as they are; columns named rule or verdict are replaced.
+    repeated ones too, stay as they are; columns named rule or verdict are replaced,
+    others stay, whatever their names.
     """
     urls = urls.drop("rule", "verdict")
-    base = urls.withColumns({"_h": F.coalesce("host", F.lit("")), "_p": F.coalesce("path", F.lit(""))})
+    h, p, w = shared.free(urls.columns, "_h", "_p", "_won")
+    base = urls.withColumns({h: F.coalesce("host", F.lit("")), p: F.coalesce("path", F.lit(""))})
     known = (
         rules.where(F.col("host").isNotNull() & F.col("path").isNotNull())
         .groupBy(F.col("host").alias("_rh"), F.col("path").alias("_rp"))
@@ -55,15 +59,16 @@ def apply_rules(urls: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         .withColumn("_key", reversed_host(F.col("_rh")))
     )
     deepest = known.agg(F.max(F.size(F.split("_rh", r"\.")))).first()[0] or 0
-    distinct = base.select("_h", "_p").distinct()
+    distinct = base.select(F.col(h).alias("_h"), F.col(p).alias("_p")).distinct()
     labels = F.split("_h", r"\.")
     points = (
         distinct.withColumn("_labels", F.reverse(labels))
         .withColumn("_n", F.explode(F.sequence(F.lit(1), F.least(F.size("_labels"), F.lit(max(1, deepest))))))
         .select("_h", "_p", F.array_join(F.slice("_labels", F.lit(1), F.col("_n")), ".").alias("_key"))
-        .join(known.select("_key").distinct(), "_key", "left_semi")
+        .join(known.groupBy("_key").agg(F.count("*").alias("_rules")), "_key")
     )
-    sweeps = points.groupBy("_key").agg(F.ceil(F.count("*") / F.lit(ROWS_PER_SWEEP)).cast("int").alias("_sweeps"))
+    # Rules go to each of a host's sweeps, so a sweep has as many URLs as rules at least: no more events than twice the URLs.
+    sweeps = points.groupBy("_key").agg(F.ceil(F.count("*") / F.greatest(F.lit(ROWS_PER_SWEEP), F.first("_rules"))).cast("int").alias("_sweeps"))
     opened = (
         known.join(sweeps, "_key")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_sweeps") - 1)))
@@ -71,14 +76,14 @@ def apply_rules(urls: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     )
     path_bytes = F.encode("_rp", "UTF-8")
     none = F.lit(None).cast("string")
+    no_rule = F.lit(None).cast(opened.schema["_rule"].dataType)
     events = (
         opened.select("_key", "_salt", path_bytes.alias("_at"), F.lit(0).alias("_kind"), F.lit(1).alias("_step"), "_rule", none.alias("_h"), none.alias("_p"))
         # 0xFF is in no UTF-8 text: the end of a prefix's interval comes after everything that starts with it.
-        .unionByName(opened.select("_key", "_salt", F.concat(path_bytes, F.unhex(F.lit("FF"))).alias("_at"), F.lit(2).alias("_kind"), F.lit(-1).alias("_step"), F.lit(None).cast(opened.schema["_rule"].dataType).alias("_rule"), none.alias("_h"), none.alias("_p")))
-        .unionByName(
-            points.join(sweeps, "_key")
-            .select("_key", F.pmod(F.xxhash64("_h", "_p"), F.col("_sweeps")).cast("int").alias("_salt"), F.encode("_p", "UTF-8").alias("_at"), F.lit(1).alias("_kind"), F.lit(0).alias("_step"), F.lit(None).cast(opened.schema["_rule"].dataType).alias("_rule"), "_h", "_p")
-        )
+        .unionByName(opened.select("_key", "_salt", F.concat(path_bytes, F.unhex(F.lit("FF"))).alias("_at"), F.lit(2).alias("_kind"), F.lit(-1).alias("_step"), no_rule.alias("_rule"), none.alias("_h"), none.alias("_p")))
+        .unionByName(points.join(sweeps, "_key").select("_key", F.pmod(F.xxhash64("_h", "_p"), F.col("_sweeps")).cast("int").alias("_salt"), F.encode("_p", "UTF-8").alias("_at"), F.lit(1).alias("_kind"), F.lit(0).alias("_step"), no_rule.alias("_rule"), "_h", "_p"))
+        # Parts of the union may be dealt by the key alone, which the windows would take as good enough: a host's sweeps go apart here.
+        .repartition("_key", "_salt")
     )
     sweep = Window.partitionBy("_key", "_salt").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     level = Window.partitionBy("_key", "_salt", "_height").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
@@ -86,13 +91,13 @@ def apply_rules(urls: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         events.withColumn("_height", F.sum("_step").over(sweep))
         .withColumn("_top", F.last("_rule", ignorenulls=True).over(level))
         .where((F.col("_kind") == 1) & (F.col("_height") > 0))
-        .groupBy("_h", "_p")
-        .agg(F.max("_top").alias("_won"))
+        .groupBy(F.col("_h").alias(h), F.col("_p").alias(p))
+        .agg(F.max("_top").alias(w))
     )
     return (
-        base.join(won, ["_h", "_p"], "left")
-        .withColumns({"rule": F.col("_won.rule"), "verdict": F.coalesce("_won.verdict", F.lit(default))})
-        .drop("_h", "_p", "_won")
+        base.join(won, [h, p], "left")
+        .withColumns({"rule": F.col(f"{w}.rule"), "verdict": F.coalesce(F.col(f"{w}.verdict"), F.lit(default))})
+        .drop(h, p, w)
     )
 
 

@@ -46,6 +46,27 @@ def test_url_rules(spark, monkeypatch):
     assert url_rules.apply_rules(df.limit(0), table).count() == 0
 
 
+def test_url_rules_of_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a.org", "/x", 5, 6, 7), (2, "b", "", 8, 9, 10)], "_key long, host string, path string, _h long, _p long, _won long")
+    rules = spark.createDataFrame([("org", "/", "block")], "host string, path string, verdict string")
+    got = sorted(tuple(r) for r in url_rules.apply_rules(df, rules).collect())
+    assert got == [(1, "a.org", "/x", 5, 6, 7, "org/", "block"), (2, "b", "", 8, 9, 10, None, "allow")]
+
+
+def test_sweeps_of_a_host_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(url_rules, "ROWS_PER_SWEEP", 500)
+    urls = spark.range(12_000).select(F.concat(F.lit("h"), "id", F.lit(".com")).alias("host"), F.concat(F.lit("/fr/"), "id").alias("path"))
+    rules = spark.createDataFrame([("com", "/fr/", "allow"), ("com", "/de/", "block")], "host string, path string, verdict string")
+    got = url_rules.apply_rules(urls, rules)
+    assert got.where("rule = 'com/fr/'").count() == 12_000
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    window = plan[plan.index("Window") :]
+    assert "_key" in window and "hashpartitioning(_key" in window
+    exchange = window[window.index("Exchange hashpartitioning") :].splitlines()[0]
+    assert "_key" in exchange and "_salt" in exchange, exchange
+
+
 def test_url_parts(spark):
     urls = ["HTTP://EXAMPLE.Org/A?b#c", "x", None, "a://b", "a://b?c/d", "s://h#f://g/", "\n://Ü.com\n/p\nq", "http://"]
     df = spark.createDataFrame([(u,) for u in urls], "url string").select(url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url")))
@@ -131,8 +152,9 @@ def test_packing_is_a_round_trip(spark, texts, docs):
     assert packing.pack(docs.limit(0), packing.default_tokenizer()).count() == 0
 
 
-def test_sharding(spark, texts, docs):
-    rows = sharding.assign(docs, shards=7).collect()
+@pytest.mark.parametrize(("groups_per_task", "fan"), [(20_000, 500), (9, 3), (2, 2)])
+def test_sharding(spark, texts, docs, groups_per_task, fan):
+    rows = sharding.assign(docs, 7, groups_per_task=groups_per_task, fan=fan).collect()
     assert len(rows) == len(texts)
     size = {k: len((t or "").encode()) + 16 for k, t in enumerate(texts)}
     of_text = {}
@@ -148,6 +170,35 @@ def test_sharding(spark, texts, docs):
     assert sharding.assign(docs.limit(0)).count() == 0
 
 
+def test_one_task_shards_as_differencing_over_all_groups(spark, texts, docs):
+    rows = sharding.assign(docs, 7).collect()
+    groups = {}
+    for t in texts:
+        groups[t or ""] = groups.get(t or "", 0) + len((t or "").encode()) + 16
+    sizes = list(groups.values())
+    want = np.bincount(differencing.difference(sizes, 7), weights=sizes, minlength=7)
+    got = np.bincount([r["shard"] for r in rows], weights=[r["size"] for r in rows], minlength=7)
+    assert sorted(want) == sorted(got)
+
+
+def test_a_tree_of_partial_partitions_is_differencing_of_them(spark):
+    """Each step against the textbook on its nodes, and the whole nearly as even as one step."""
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 5000, 3000)
+    groups = spark.createDataFrame([(f"{k:05d}", int(s)) for k, s in enumerate(sizes)], "group string, bytes long")
+    got = sharding.shards_of(groups, 10, groups_per_task=100, fan=4).toPandas()
+    assert len(got) == 3000 and got.group.is_unique
+    sums = np.bincount(got.shard, weights=sizes[got.group.astype(int)], minlength=10)
+    assert sums.max() - sums.min() < 0.001 * sums.mean()
+
+
+def test_sharding_of_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "a", 7, 8, 9), (2, "a", 7, 8, 9), (None, None, 1, 2, 3), (None, None, 1, 2, 3)], "doc_id long, text string, _group long, _bucket long, _k long")
+    got = sorted(sharding.assign(rows, 2).collect(), key=repr)
+    assert [(r["doc_id"], r["_group"], r["_bucket"], r["_k"]) for r in got] == [(1, 7, 8, 9), (2, 7, 8, 9), (None, 1, 2, 3), (None, 1, 2, 3)]
+    assert {(r["shard"], r["slot"]) for r in got} == {(0, 0), (0, 1), (1, 0), (1, 1)}
+
+
 def test_shards_of_many_documents_are_nearly_equal(spark):
     d = registry.QUERIES["op6_sharding"](spark, "/root/testdata/sf0.01").toPandas()
     sums = d.groupby("shard")["size"].sum()
@@ -190,13 +241,14 @@ def test_quality_sample_goes_on_after_a_long_text(spark, monkeypatch):
 # Top-k
 
 
-def test_top_k_is_exact(spark):
+@pytest.mark.parametrize(("query_block", "wave"), [(2048, 256), (3, 2)])
+def test_top_k_is_exact(spark, query_block, wave):
     rng = np.random.default_rng(2)
     v = (rng.standard_normal((400, 24)) * rng.uniform(0.2, 2, (400, 1))).astype(np.float32)
     v[100:140] = v[60:100]
     rows = [(k, v[k].tolist(), 1) for k in range(400)] + [(500, None, 1), (550, [1.0, None], 1), (600, [float("nan")] * 24, 1), (650, [float("inf")] * 24, 1), (None, [1.0] * 24, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int").repartition(5)
-    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.search(df, F.col("vec_id") % 50 == 0).collect())
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.search(df, F.col("vec_id") % 50 == 0, query_block=query_block, wave=wave).collect())
     whole = np.floor(256 * v.astype(np.float64))
     want = []
     for q in range(0, 400, 50):
@@ -205,16 +257,38 @@ def test_top_k_is_exact(spark):
         want += [(q, n + 1, k, int(s[k])) for n, k in enumerate(order)]
     assert got == sorted(want)
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    few = spark.createDataFrame([(0, [1.0, 2.0]), (0, [1.0, 2.0]), (3, [1.0]), (3, [1.0])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in topk.search(few, F.col("vec_id") % 50 == 0).orderBy("rank").collect()] == [(0, 1, 3, 65536), (0, 2, 3, 65536)]
 
 
-def test_pivots_rule_rows_out():
+def test_bounds_hold_and_rule_rows_out():
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((8, 16)) * 200
     v = np.floor(centres[rng.integers(0, 8, 4000)] + rng.standard_normal((4000, 16)) * 5)
     p = topk.choose_pivots(v[:500], 16)
-    table = topk.distances(v, p)
-    _, _, looked_at = topk.best(v[0], table[0], 0, np.arange(4000), v, (v**2).sum(axis=1), table, 5)
-    assert looked_at < 2500
+    rows = topk.Candidates(np.arange(4000), v, p)
+    queries, own = v[:40], np.arange(40)
+    bound = rows.bounds(queries, topk.distances(queries, p))
+    for b in range(len(rows.first)):
+        assert (queries @ rows.vectors[rows.first[b] : rows.last[b]].T <= bound[:, b : b + 1]).all()
+    best = topk.Best(40, 5)
+    done = topk.evaluate(best, own, queries, topk.distances(queries, p), rows)
+    assert done < 0.3 * 40 * 4000
+    scores = queries @ v.T
+    scores[own, own] = -np.inf
+    for q in range(40):
+        want = np.lexsort((np.arange(4000), -scores[q]))[:5]
+        assert best.ids[q].tolist() == want.tolist() and best.scores[q].tolist() == scores[q][want].tolist()
+
+
+def test_share_of_products_computed(spark):
+    """How much the pivots spare on the table's vectors, which are hardly clustered."""
+    counter = spark.sparkContext.accumulator(0)
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    n = topk.search(vectors, F.col("vec_id") % 50 == 0, counter=counter).count()
+    total = vectors.count() * n / 5
+    print(f"products computed: {counter.value / total:.2f} of all")
+    assert 0 < counter.value <= total * 1.01
 
 
 # HTML
@@ -249,6 +323,83 @@ def test_main_text():
     assert html_text.main_text("<p>Only some words.</p><p>And more of them.</p>") == "Only some words.\nAnd more of them."
 
 
+def paragraphs(*texts, tag="p"):
+    return "".join(f"<{tag}>{t}</{tag}>" for t in texts)
+
+
+PROSE = ("The river rose for three days. Nobody had seen it so high.", "Short one.", "By the fourth morning the bridge was gone, and so was the mill.", "It rained on.")
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<body><div class="page has-sidebar">%s</div></body>', PROSE),
+        ('<body><div class="with-comments no-sidebar"><h1>Flood</h1>%s</div></body>', ("Flood", *PROSE)),
+        ('<article><h1>Flood</h1><div class="share-price-story">%s</div></article>', ("Flood", *PROSE)),
+        ('<article><div class="article-header"><h1>Flood</h1></div>%s</article>', ("Flood", *PROSE)),
+        ('<article><h1>Flood</h1><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be so.</p>%s</article>', ("Flood", "Let x=1 be so.", *PROSE)),
+        ("<article>%s<noscript><p>Plain words.</p></noscript></article>", (*PROSE, "Plain words.")),
+        ('<form id="aspnet"><div><h1>Flood</h1>%s</div></form>', ("Flood", *PROSE)),
+        ("<html><head><title>T</title><meta charset=x><div><h1>Flood</h1>%s</div>", ("Flood", *PROSE)),
+        ('<main>%s<section id="comments"><p>So sad. I was there.</p><p>Me too! It was bad.</p></section></main>', PROSE),
+        ('<article>%s<article class="comment"><p>So sad. I was there.</p></article></article>', PROSE),
+        ('<div class="content">%s</div><div class="sidebar-right"><p>Popular posts. Read them all today.</p></div>', PROSE),
+        ("<div><address>%s</address></div>", ("".join(f"{t} " for t in PROSE).strip(),)),
+    ],
+)
+def test_articles_are_whole(page, want):
+    text = paragraphs(*PROSE) if "<address>" not in page else " ".join(PROSE)
+    assert html_text.main_text(page % text) == "\n".join(want)
+
+
+def price(blocks, costs, edges, label):
+    return sum(max(c, 0) if not x else max(-c, 0) for c, x in zip(costs, label, strict=True)) + sum(w for a, b, w in edges if label[a] != label[b])
+
+
+def test_the_flow_decides_real_pages(spark, monkeypatch):
+    """On pages of the table the maximum flow runs, overturns what the classifier says, and the labels are the cheapest there are."""
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    weights, flows, cuts = html_text.fit(pages[::2]), [], []
+    flow, cut = html_text._flow, html_text.minimum_cut
+    monkeypatch.setattr(html_text, "_flow", lambda *a: flows.append(1) or flow(*a))
+    monkeypatch.setattr(html_text, "minimum_cut", lambda costs, edges: cuts.append((costs, edges)) or cut(costs, edges))
+    overturned = tried = 0
+    for page in pages[1::2]:
+        blocks, keep, odds = html_text.labelled(page, weights)
+        overturned += sum((o > 0) != k for o, k in zip(odds, keep, strict=True))
+        costs, edges = cuts.pop()
+        n = len(blocks)
+        if n <= 11:
+            tried += 1
+            fixed = [c > 0 for c in costs[n:]]
+            best = min(price(blocks, costs, edges, [*(bool(m >> k & 1) for k in range(n)), *fixed]) for m in range(1 << n))
+            assert price(blocks, costs, edges, [*keep, *fixed]) == pytest.approx(best)
+    assert len(flows) == len(pages[1::2]) and overturned > len(flows) / 2 and tried
+
+
+def test_a_fitted_classifier_tells_blocks_of_other_pages(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    weights = html_text.fit(pages[::2])
+    loss = {"fitted": 0.0, "prior": 0.0}
+    right = total = 0
+    for page in pages[1::2]:
+        blocks, elements = html_text.parse(page)
+        mark, _, _ = html_text.marks(blocks, elements)
+        x, y = html_text._features(blocks), np.array([mark[b.element] > 0 for b in blocks])
+        share = np.where(y, 0.5 / max(1, y.sum()), 0.5 / max(1, (~y).sum()))
+        for name, w in (("fitted", weights), ("prior", np.array(html_text.PRIOR))):
+            loss[name] += (share * np.log1p(np.exp(np.where(y, -(x @ w), x @ w)))).sum()
+        right += ((x @ weights > 0) == y).sum()
+        total += len(y)
+    assert loss["fitted"] < loss["prior"] and right > 0.85 * total
+    assert (html_text.fit([]) == html_text.PRIOR).all() and (html_text.fit(["<p>No article.</p>", ""]) == html_text.PRIOR).all()
+
+
+def test_flows_of_long_and_deep_pages():
+    page = "<div>" * 3000 + "".join(f"<p>Line {k} of many. It goes on.</p>" for k in range(3000)) + "</span>" * 3000
+    assert html_text.main_text(page).count("\n") == 2999
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, None)], "page_id long, url string, html string, text string")
     rows = html_text.extract(df).collect()

@@ -145,6 +145,23 @@ def test_near_duplicates_of_odd_tables(spark, docs):
     assert near_dups.find_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_carry_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f", 7, 8, 9), (2, "a b c d e f", 1, 2, 3)], "doc_id long, text string, key long, at long, file long")
+    got = sorted(tuple(r) for r in near_dups.find_near_duplicates(rows, carry=("key", "at", "file")).select("doc_id", "component_id", "key", "at", "file").collect())
+    assert got == [(1, 1, 7, 8, 9), (2, 1, 1, 2, 3)]
+    with pytest.raises(ValueError, match="kept"):
+        near_dups.find_near_duplicates(rows.withColumnRenamed("key", "kept"), carry=("kept",))
+
+
+def test_words_of_a_long_text_are_those_of_its_pieces():
+    text = "Ab  cd " * 900_000 + "x" * 5_000_000 + " end"
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    w = bw.words(bw.Texts(0, data, np.array([0, len(data)])), bw.SPACED)
+    short = bw.words(next(bw.slices(pa.array(["Ab  cd " + "x" * 5_000_000 + " end"]), 1 << 30)), bw.SPACED)
+    assert len(w.hashes) == 1_800_002 and w.of_row.tolist() == [0, 1_800_002]
+    assert w.hashes[-4:].tolist() == short.hashes.tolist() and w.ends[-1] == len(data) and w.starts[2] == 7
+
+
 def test_agreement_misses_one_in_a_million():
     for percent in (80, 85):
         m, p = near_dups.agreement(percent), percent / 100
