@@ -39,6 +39,7 @@ def _features(texts: bw.Texts) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]
     w = bw.words(texts, bw.SPACED, fold=False)
     out.append(((w.hashes >> bw.U64(64 - BUCKET_BITS)).astype(np.int64), w.of_row[:-1], w.of_row[1:]))
     repeats = np.concatenate([[False], w.hashes[1:] == w.hashes[:-1]]) if len(w.hashes) else np.zeros(0, dtype=bool)
+    repeats[w.of_row[:-1][np.diff(w.of_row) > 0]] = False  # a row's first word has none before it
     out.append((np.where(repeats, _REPEATED, _NEW), w.of_row[:-1], w.of_row[1:]))
     for n in (3, 4):
         if len(data) < n:
