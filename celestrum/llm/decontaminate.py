@@ -10,7 +10,7 @@ that occurs.
 
 Benchmark items go to the workers in blocks of at most `BLOCK_BYTES` of text;
 each block is one pass over the documents, and with several blocks only the
-hit spans of documents that have any are gathered by document.
+hit spans of documents that have any are written and gathered by document.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from celestrum.llm import bytewords as bw
+from celestrum.llm import shared
 
 WINDOW = 13
 GRAM = 6
@@ -214,6 +215,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, cut: bool = False,
         one = sc.broadcast(block)
         # Equal texts have equal hits: one row of each is enough, and only rows with hits are gathered.
         found = tagged.select("_a", "_b", "text").mapInArrow(lambda it, one=one: _find(it, one.value, ["_a", "_b"]), "_a bigint, _b bigint, spans array<bigint>, items array<string>").dropDuplicates(["_a", "_b"])
+        # Written, so the block can go before the next one comes.
+        found = shared.written(found, "hits")
+        one.unpersist()
         hits = found if hits is None else hits.unionByName(found)
     joined = hits.groupBy("_a", "_b").agg(F.flatten(F.collect_list("spans")).alias("_spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_items"))
     return tagged.join(joined, ["_a", "_b"], "left").drop("_a", "_b").mapInArrow(lambda it: _mark(it, None, columns, cut), fields)

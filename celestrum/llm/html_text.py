@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from celestrum.llm import shared
+
 #: The classifier is fitted on at most so many pages, of at most so many characters each.
 SAMPLE_PAGES = 400
 SAMPLE_CHARS = 100_000
@@ -424,7 +426,7 @@ def main_text(page: str | None, weights: np.ndarray | None = None) -> str:
 def learn(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> np.ndarray:
     """Weights fitted on the sample_pages pages with the least hashes that have an article or main element and at most SAMPLE_CHARS characters."""
     whole = pages.select(F.col("html").cast("string").alias("html")).where((F.length("html") <= SAMPLE_CHARS) & F.lower("html").rlike("<(article|main)[\\s>]"))
-    rows = whole.orderBy(F.xxhash64("html"), "html").limit(sample_pages).collect()
+    rows = shared.sample(whole, sample_pages, "html").collect()
     return fit([r["html"] for r in rows])
 
 

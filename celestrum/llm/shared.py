@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def root(spark: SparkSession) -> str:
@@ -45,6 +46,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sample(df: DataFrame, n: int, *key: str) -> DataFrame:
+    """At most n rows, those with the least hashes of the key, one of each key.
+
+    Hashes are first held against a bound that about twice as many pass, so no
+    task hands on more than its share of those, however many tasks there are.
+    """
+    h = F.shiftrightunsigned(F.xxhash64(*key), 1)
+    total = df.count()
+    if total > 2 * n:
+        df = df.where(h <= int(2 * n / total * (2**63 - 1)))
+    return df.dropDuplicates(list(key)).orderBy(h, *key).limit(n)
+
+
 def free(columns: list[str], *names: str) -> list[str]:
     """The names, each with as many underscores before it as no column has (column names ignore case)."""
     taken, out = {c.lower() for c in columns}, []

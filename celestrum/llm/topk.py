@@ -211,7 +211,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, pivots: int = PIVOTS, query
     queries = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     stored = queries.repartition(blocks, "block").groupBy("block").applyInArrow(lambda t: _store_queries(t, path, dim), "n long").agg(F.sum("n")).first()[0]
     there = mapped.manifest(path, "queries", blocks, stored or 0)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).toArrow().combine_chunks()
+    sample = shared.sample(rows, PIVOT_SAMPLE, "vec_id").toArrow().combine_chunks()
     chosen = choose_pivots(_matrix(sample.column(1).combine_chunks(), dim) if sample.num_rows else np.zeros((0, dim)), pivots)
     found = None
     for at in range(0, blocks, wave):

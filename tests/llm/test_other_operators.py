@@ -1,6 +1,8 @@
 """URL rules, packing, sharding, quality, top-k, HTML and the differencing against brute force, round trips and held-out accuracy."""
 
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -9,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from celestrum.llm import bytewords as bw
-from celestrum.llm import differencing, html_text, packing, quality, registry, sharding, topk, url_rules
+from celestrum.llm import differencing, html_text, packing, quality, registry, sharding, shared, topk, url_rules
 from tests.oracle import assert_same
 
 SF = "/root/testdata/sf0.001"
@@ -216,6 +218,43 @@ def test_quality_tells_junk_from_prose(spark):
     assert len(m) > 80 and (m.predicted == m.quality).mean() > 0.95 and d.score.between(0, 1).all()
 
 
+def test_scores_are_those_of_the_features_one_by_one(spark, docs, texts):
+    rng = np.random.default_rng(5)
+    model = rng.standard_normal(1 << quality.BUCKET_BITS).astype(np.float32)
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs.unionByName(docs.limit(3)), model).collect()}
+    for k, t in enumerate(texts):
+        data, found = (t or "").encode(), [0]
+        words = [w for w in re.split(rb"[\x20\x09-\x0D]+", data) if w]
+        for j, w in enumerate(words):
+            found.append(int(bw.words(next(bw.slices(pa.array([w.decode()]))), bw.SPACED, fold=False).hashes[0]) >> (64 - quality.BUCKET_BITS))
+            found.append(1 if j and words[j - 1] == w else 2)
+        for n in (3, 4):
+            found += [((int.from_bytes(data[j : j + n], "little") + n) * 2654435761 % (1 << 32)) >> (32 - quality.BUCKET_BITS) for j in range(len(data) - n + 1)]
+        mean = float(np.mean(model[found].astype(np.float64)))
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-mean)), abs=1e-6)
+
+
+def test_a_fitted_model_falls_in_loss():
+    texts = ["good words here now", "bad bad bad bad", "fine text of words", "junk junk junk"] * 20
+    labels = [1, 0, 1, 0] * 20
+    model = quality.fit(texts, labels)
+    scores = np.concatenate([b.column("score").to_numpy() for b in quality._score(iter([pa.RecordBatch.from_pydict({"text": pa.array(texts)})]), model, ["text"])])
+    assert ((scores >= 0.5) == np.array(labels)).all()
+
+
+def test_a_sample_has_the_least_hashes(spark):
+    rows = spark.range(5000).select((F.col("id") % 2500).alias("k"))
+    got = [r["k"] for r in shared.sample(rows, 100, "k").collect()]
+    want = [r["k"] for r in rows.distinct().orderBy(F.shiftrightunsigned(F.xxhash64("k"), 1)).limit(100).collect()]
+    assert len(got) == 100 and got == want and shared.sample(rows, 9000, "k").count() == 2500
+
+
+def test_packing_of_null_ids(spark):
+    rows = spark.createDataFrame([(None, "some text"), (None, "some text"), (3, None)], "doc_id long, text string")
+    got = packing.pack(rows, packing.default_tokenizer()).collect()
+    assert sorted((r["doc_id"] is None, r["length"]) for r in got) == [(False, 1), (True, 3), (True, 3)]
+
+
 def test_quality_of_odd_tables(spark, docs):
     labels = spark.createDataFrame([(0, 1), (0, 0), (None, 1), (6, 1), (7, 1), (9, 3)], "doc_id long, quality int")
     model = quality.learn(docs, labels)  # one class alone

@@ -43,3 +43,14 @@ def test_cutting_drops_only_what_was_cut(spark):
     docs = spark.createDataFrame([(k, t, "en", "s", n) for k, t, n in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeats(spark, docs, SF).collect()}
     assert got == {1: "", 2: "", 3: "   ", 4: None, 5: long, 7: "x"}
+
+
+def test_stages_of_an_empty_table_and_of_repeated_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for table in (docs.limit(0), docs.limit(12).unionByName(docs.limit(12))):
+        ids = {r["doc_id"] for r in table.collect()}
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            table = shared.written(stage(spark, table, SF), f"odd{k}")
+            kept = [r["doc_id"] for r in table.collect()]
+            assert set(kept) <= ids and (k in (0, 4) or len(kept) == len(set(kept)))
+        assert bool(ids) == bool(kept)
