@@ -43,6 +43,10 @@ def _lit(v) -> tuple[Column, Column, Column]:
     return tuple(F.lit(float(x)) for x in v)
 
 
+def _angle(axis: tuple[float, float, float], vector) -> Column:
+    return F.degrees(F.acos(coords.clamp(coords.dot(_lit(axis), vector))))
+
+
 class Bound:
     """A region: contains(vector) -> boolean Column, area, and extent (lambda_min, lambda_max, eta_min, eta_max), by default all of the sky."""
 
@@ -55,6 +59,10 @@ class Bound:
     def extent(self) -> tuple[float, float, float, float]:
         return -90.0, 90.0, -180.0, 180.0
 
+    def may_touch(self, radius: Column, vector=XYZ) -> Column | None:
+        """False only where nothing of the bound is within `radius` degrees of the position; None if the bound can't tell."""
+        return None
+
     def __and__(self, other: Bound) -> Bound:
         return Combined(self, other, True)
 
@@ -74,6 +82,12 @@ class Combined(Bound):
         a, b = self.a.contains(vector), self.b.contains(vector)
         return a & b if self.both else a | b
 
+    def may_touch(self, radius: Column, vector=XYZ) -> Column | None:
+        a, b = self.a.may_touch(radius, vector), self.b.may_touch(radius, vector)
+        if self.both:
+            return b if a is None else a if b is None else a & b
+        return None if a is None or b is None else a | b
+
     @property
     def area(self) -> float:
         return min(self.a.area, self.b.area) if self.both else self.a.area + self.b.area
@@ -97,6 +111,9 @@ class Circle(Bound):
     def contains(self, vector=XYZ) -> Column:
         return coords.dot(_lit(self.axis), vector) >= math.cos(math.radians(self.radius)) - TOLERANCE
 
+    def may_touch(self, radius: Column, vector=XYZ) -> Column:
+        return _angle(self.axis, vector) <= radius + self.radius + 1e-9
+
     def complement(self) -> Circle:
         x, y, z = self.axis
         return Circle((math.degrees(math.atan2(-y, -x)) + coords.NODE_DEG) % 360.0, -math.degrees(math.asin(z)), 180.0 - self.radius)
@@ -129,6 +146,10 @@ class Annulus(Bound):
         d = coords.dot(_lit(_unit(self.theta, self.phi, self.system)), vector)
         return (d >= math.cos(math.radians(self.outer)) - TOLERANCE) & (d <= math.cos(math.radians(self.inner)) + TOLERANCE)
 
+    def may_touch(self, radius: Column, vector=XYZ) -> Column:
+        d = _angle(_unit(self.theta, self.phi, self.system), vector)
+        return (d <= radius + self.outer + 1e-9) & (d >= self.inner - radius - 1e-9)
+
     @property
     def extent(self) -> tuple[float, float, float, float]:
         return Circle(self.theta, self.phi, self.outer, self.system).extent
@@ -156,6 +177,9 @@ class Wedge(Bound):
         from_low = F.pmod(angle - low, F.lit(360.0))
         return Circle(self.theta, self.phi, self.radius, self.system).contains(vector) & (from_low <= high - low + TOLERANCE)
 
+    def may_touch(self, radius: Column, vector=XYZ) -> Column:
+        return Circle(self.theta, self.phi, self.radius, self.system).may_touch(radius, vector)
+
     @property
     def extent(self) -> tuple[float, float, float, float]:
         return Circle(self.theta, self.phi, self.radius, self.system).extent
@@ -197,6 +221,12 @@ class ConvexPolygon(Bound):
             out = out & (x * plane[0] + y * plane[1] + z * plane[2] >= -TOLERANCE)
         return out
 
+    def may_touch(self, radius: Column, vector=XYZ) -> Column:
+        out, x, y, z = F.lit(True), *(coords.column(v) for v in vector)
+        for plane in self._planes():
+            out = out & (F.degrees(F.asin(coords.clamp(x * plane[0] + y * plane[1] + z * plane[2]))) >= -radius - 1e-9)
+        return out
+
 
 @dataclass(frozen=True)
 class LoopPolygon(Bound):
@@ -222,6 +252,18 @@ class LoopPolygon(Bound):
                 crossings = crossings + F.when(hit, 1).otherwise(0)
         return crossings % 2 == 1
 
+    def may_touch(self, radius: Column, vector=XYZ) -> Column:
+        """Inside, or near an edge: nearer than the edge's half and the radius to its middle."""
+        out = self.contains(vector)
+        for loop in self.loops:
+            at = [_unit(a, b, self.system) for a, b in loop]
+            for a, b in zip(at, at[1:] + at[:1], strict=True):
+                middle = tuple(u + v for u, v in zip(a, b, strict=True))
+                size = math.sqrt(sum(v * v for v in middle))
+                half = math.degrees(math.acos(max(-1.0, min(1.0, sum(u * v for u, v in zip(a, b, strict=True)))))) / 2
+                out = out | (_angle(tuple(v / size for v in middle), vector) <= radius + half + 1e-9)
+        return out
+
 
 @dataclass(frozen=True)
 class LatitudeBand(Bound):
@@ -237,6 +279,10 @@ class LatitudeBand(Bound):
         lat = coords.angles(self.system, *vector)[1]
         return coords.le(lat, F.lit(self.high)) & coords.ge(lat, F.lit(self.low))
 
+    def may_touch(self, radius: Column, vector=XYZ) -> Column:
+        lat = coords.angles(self.system, *vector)[1]
+        return (lat <= self.high + radius + 1e-9) & (lat >= self.low - radius - 1e-9)
+
 
 @dataclass(frozen=True)
 class LongitudeBand(Bound):
@@ -255,6 +301,15 @@ class LongitudeBand(Bound):
         after, before = coords.ge(lon, F.lit(self.low)), coords.le(lon, F.lit(self.high))
         return after & before if self.low <= self.high else after | before
 
+    def may_touch(self, radius: Column, vector=XYZ) -> Column:
+        lon, lat = coords.angles(self.system, *vector)
+        out = self.contains(vector)
+        for edge in (self.low, self.high):
+            turn = F.abs(F.pmod(lon - edge + 180.0, F.lit(360.0)) - 180.0)
+            away = F.degrees(F.asin(coords.clamp(F.cos(F.radians(lat)) * F.sin(F.radians(turn)))))
+            out = out | (F.when(turn < 90.0, away).otherwise(90.0 - F.abs(lat)) <= radius + 1e-9)
+        return out
+
 
 @dataclass(frozen=True)
 class LatLonBox(Bound):
@@ -270,3 +325,6 @@ class LatLonBox(Bound):
 
     def contains(self, vector=XYZ) -> Column:
         return LatitudeBand(self.lat_min, self.lat_max, self.system).contains(vector) & LongitudeBand(self.lon_min, self.lon_max, self.system).contains(vector)
+
+    def may_touch(self, radius: Column, vector=XYZ) -> Column:
+        return LatitudeBand(self.lat_min, self.lat_max, self.system).may_touch(radius, vector) & LongitudeBand(self.lon_min, self.lon_max, self.system).may_touch(radius, vector)

@@ -39,46 +39,34 @@ def resolve(df: DataFrame, merge: bool = True) -> DataFrame:
 
 
 def merge_siblings(df: DataFrame) -> DataFrame:
-    low, high = df.agg(F.min("level"), F.max("level")).first()
-    if low is None:
-        return df
-    done, carried = None, None
-    for level in range(high, cells.MIN_LEVEL - 1, -1):
-        if level < low and carried is None:
-            break
-        now = df.where(F.col("level") == level).select(*KEY, "weight")
-        if carried is not None:
-            now = now.unionByName(carried)
-        if level == cells.MIN_LEVEL:
-            done = now if done is None else done.unionByName(now)
-            break
-        quad = now.groupBy(_up("x", F.lit(1)).alias("px"), _up("y", F.lit(1)).alias("py")).agg(F.count("*").alias("n"), (F.max("weight") - F.min("weight")).alias("spread"), F.min("weight").alias("w"), F.collect_list(F.struct(*KEY, "weight")).alias("own"))
-        full = (F.col("n") == 4) & (F.col("spread") < WEIGHT_TOLERANCE)
-        kept = quad.where(~full).select(F.inline("own"))
-        done = kept if done is None else done.unionByName(kept)
-        carried = quad.where(full).select(F.lit(level - 1).alias("level"), F.col("px").alias("x"), F.col("py").alias("y"), F.col("w").alias("weight"))
-        if level <= low and carried.isEmpty():
-            carried = None
-            break
-    return done if carried is None or level == cells.MIN_LEVEL else done.unionByName(carried)
+    """Cells of equal weight that fill a coarser cell become it, the coarsest there is.
+
+    Of every cell that holds some, the shares held are summed (powers of a quarter, so sums are exact): two shuffles whatever the levels.
+    """
+    at = ["a_level", "a_x", "a_y"]
+    up = ancestors(df.select(*KEY, "weight"))
+    full = up.groupBy(*at).agg(F.sum(F.pow(F.lit(0.25), F.col("level") - F.col("a_level"))).alias("_share"), (F.max("weight") - F.min("weight")).alias("_spread"), F.min("weight").alias("_least"))
+    full = full.where((F.col("_share") > 1 - 1e-12) & (F.col("_spread") < WEIGHT_TOLERANCE))
+    best = up.join(full, at).groupBy(*KEY).agg(F.min(F.struct(*at, "_least")).alias("b"))
+    return best.select(F.col("b.a_level").alias("level"), F.col("b.a_x").alias("x"), F.col("b.a_y").alias("y"), F.col("b._least").alias("weight")).distinct()
 
 
 def find_location(points: DataFrame, area: DataFrame, level: int, how: str = "left") -> DataFrame:
     """points' columns and map_weight of the coarsest cell that holds the point (null outside; how='left_semi': those inside only).
 
-    level: the map's finest. Points have ux, uy, uz.
+    level: the map's finest. Points have ux, uy, uz. The different cells of the points are looked up once, at all the
+    map's levels together, and joined back: as many shuffles for one level as for fourteen.
     """
-    spot = cells.with_cell(points, 1 << level, ("x", "y")).withColumn("level", F.lit(level))
     keyed = area.select(F.col("level").alias("a_level"), F.col("x").alias("a_x"), F.col("y").alias("a_y"), F.col("weight").alias("map_weight"))
-    levels = [r[0] for r in area.select("level").distinct().collect()]  # at most 14
-    out, lookup = spot, None
-    for a in sorted(levels):
-        here = keyed.where(F.col("a_level") == a).select(F.col("a_x").alias(f"_x{a}"), F.col("a_y").alias(f"_y{a}"), F.col("map_weight").alias(f"_w{a}"))
-        out = out.withColumns({f"_x{a}": _up("x", F.lit(level - a)), f"_y{a}": _up("y", F.lit(level - a))}).join(here, [f"_x{a}", f"_y{a}"], "left").drop(f"_x{a}", f"_y{a}")
-        lookup = F.col(f"_w{a}") if lookup is None else F.coalesce(lookup, F.col(f"_w{a}"))
-    out = out.withColumn("map_weight", lookup if lookup is not None else F.lit(None).cast("double"))
-    out = out.select(*points.columns, "map_weight")
-    return out.where(F.col("map_weight").isNotNull()).drop("map_weight") if how == "left_semi" else out
+    levels = sorted(r[0] for r in area.select("level").distinct().collect())  # at most 14
+    spot = cells.with_cell(points, 1 << level, ("_x", "_y"))
+    some = spot.select("_x", "_y").distinct().withColumn("a_level", F.explode(F.array(*[F.lit(a) for a in levels]).cast("array<int>")))
+    some = some.withColumns({"a_x": _up("_x", F.lit(level) - F.col("a_level")), "a_y": _up("_y", F.lit(level) - F.col("a_level"))})
+    found = some.join(keyed, ["a_level", "a_x", "a_y"]).groupBy("_x", "_y").agg(F.min(F.struct("a_level", "map_weight")).alias("_m"))
+    found = found.select("_x", "_y", F.col("_m.map_weight").alias("map_weight"))
+    if how == "left_semi":
+        return spot.join(found, ["_x", "_y"], "left_semi").select(*points.columns)
+    return spot.join(found, ["_x", "_y"], "left").select(*points.columns, "map_weight")
 
 
 def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -107,25 +95,20 @@ def ingest(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def exclude(a: DataFrame, b: DataFrame) -> DataFrame:
-    """What of a is not in b. Cells of a that b covers in part are divided down to where they are clear of it, level by level."""
-    finest = b.agg(F.max("level")).first()[0]
-    if finest is None:
-        return a.select(*KEY, "weight")
-    cover = b.select(F.col("level").alias("a_level"), F.col("x").alias("a_x"), F.col("y").alias("a_y")).distinct()
+    """What of a is not in b. A cell of a that b covers in part is divided as far as it must be.
+
+    What is left of it are the children, clear of b, of those cells in it that hold some of b: all are found at once, not level by level.
+    """
     at = ["a_level", "a_x", "a_y"]
-    inside = ancestors(a).join(cover, at, "left_semi").select(*KEY).distinct()
+    back = {"a_level": "level", "a_x": "x", "a_y": "y"}
+    cover = b.select(F.col("level").alias("a_level"), F.col("x").alias("a_x"), F.col("y").alias("a_y")).distinct()
+    inside = ancestors(a.select(*KEY)).join(cover, at, "left_semi").select(*KEY).distinct()
     left = a.select(*KEY, "weight").join(inside, KEY, "left_anti")
-    holders = ancestors(b.select(*KEY), own=False).select(*at).distinct().withColumnsRenamed({"a_level": "level", "a_x": "x", "a_y": "y"})
-    taken = cover.withColumnsRenamed({"a_level": "level", "a_x": "x", "a_y": "y"})
-    out = left.join(holders, KEY, "left_anti")
-    partial = left.join(holders, KEY, "left_semi")
-    lowest = a.agg(F.min("level")).first()[0]
-    for _ in range((lowest if lowest is not None else finest), finest):
-        quads = partial.select((F.col("level") + 1).alias("level"), F.explode(cells.children(1)).alias("c"), "weight").select("level", "c.x", "c.y", "weight")
-        quads = quads.join(taken, KEY, "left_anti")
-        out = out.unionByName(quads.join(holders, KEY, "left_anti"))
-        partial = quads.join(holders, KEY, "left_semi")
-    return out
+    holders = ancestors(b.select(*KEY), own=False).select(*at).distinct().withColumnsRenamed(back)
+    touched = holders.unionByName(cover.withColumnsRenamed(back)).distinct()
+    parts = ancestors(holders).join(left.withColumnsRenamed({"level": "a_level", "x": "a_x", "y": "a_y"}), at).select(*KEY, "weight")
+    pieces = parts.select((F.col("level") + 1).alias("level"), F.explode(cells.children(1)).alias("c"), "weight").select("level", "c.x", "c.y", "weight").join(touched, KEY, "left_anti")
+    return left.join(holders, KEY, "left_anti").unionByName(pieces)
 
 
 def combine(a: DataFrame, b: DataFrame, f, drop_single: bool = True) -> DataFrame:
@@ -232,43 +215,63 @@ def _level_of_area(area: float) -> int:
     return level
 
 
-def pixelize(spark, bound, level: int, start: int = 4, weight: float = 1.0) -> DataFrame:
-    """The region as a map of cells down to `level`: cells whose 17 probe points are all inside are kept, those partly inside are divided; at the last level those with most of their score inside stay.
+def _probes() -> tuple[Column, float]:
+    """Offsets in the cell and weights of the probe points: centre, then the middle ring, the sides and the corners."""
+    ring = [(0.5, 0.5, 4)] + [(x, y, 3) for x, y in ((0.25, 0.25), (0.75, 0.25), (0.25, 0.75), (0.75, 0.75))] + [(x, y, 3) for x, y in ((0.5, 0.25), (0.5, 0.75), (0.25, 0.5), (0.75, 0.5))] + [(x, y, 2) for x, y in ((0.5, 0.0), (0.5, 1.0), (0.0, 0.5), (1.0, 0.5))] + [(x, y, 1) for x, y in ((0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (1.0, 1.0))]
+    whole = float(sum(w for *_, w in ring))
+    return F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(w / whole).alias("w")) for dx, dy, w in ring]), whole
+
 
-    It begins at `start`, or at a finer level (`level` at most) where cells have a hundredth of the bound's area, so that none of a
-    small region lies between probe points. Only cells that its extent touches are looked at then; of a bound without an extent
-    (polygons, bands, combinations) parts much smaller than a cell of level `start` + 2 can still be missed: give a finer start.
+def pixelize(spark, bound, level: int, start: int = 4, weight: float = 1.0, top_up: bool = False) -> DataFrame:
+    """The region as a map of cells down to `level`: cells whose 17 probe points are all inside are kept, others divided as long as the bound may touch them; at the last level those with most of their score inside stay.
+
+    Whether a bound may touch a cell follows from its distance to the cell's centre (`may_touch`), so nothing that lies between
+    probe points is lost; for a bound that can't tell, cells without a probe point inside are left from two levels below
+    the start on, which is a finer one the smaller the bound is. With top_up the last level's cells are taken by falling score as long
+    as the map's area stays within the bound's, whole classes of equal scores at a time (scores have some dozens of values).
     """
     from celestrum.functions.coords import survey_to_xyz
 
     lam_min, lam_max, eta_min, eta_max = _around(bound)
+    knows = bound.may_touch(F.lit(0.0)) is not None
     by_area = min(level, _level_of_area(bound.area))
     small = by_area > start and (lam_min, lam_max, eta_min, eta_max) != (-90.0, 90.0, -180.0, 180.0)
-    start = by_area if small else start
+    start = min(level, by_area if small else start)
     nx, ny = cells.NX0 << start, cells.NY0 << start
     now = spark.range(ny).select(F.col("id").alias("y")).where((cells.edge_lambda(1 << start, F.col("y") + 1) <= lam_max) & (cells.edge_lambda(1 << start, F.col("y")) >= lam_min)).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nx - 1).cast("long")))).withColumn("level", F.lit(start))
     if small and eta_max - eta_min != 360.0:
         half = 180.0 / nx + 1e-9
         now = now.where(F.pmod(cells.edge_eta(1 << start, F.col("x") + 0.5) - eta_min + half, F.lit(360.0)) <= (eta_max - eta_min) % 360.0 + 2 * half)
-    out = None
-    # Offsets in the cell and weights of the probe points: centre, then the middle ring, the sides and the corners.
-    ring = [(0.5, 0.5, 4)] + [(x, y, 3) for x, y in ((0.25, 0.25), (0.75, 0.25), (0.25, 0.75), (0.75, 0.75))] + [(x, y, 3) for x, y in ((0.5, 0.25), (0.5, 0.75), (0.25, 0.5), (0.75, 0.5))] + [(x, y, 2) for x, y in ((0.5, 0.0), (0.5, 1.0), (0.0, 0.5), (1.0, 0.5))] + [(x, y, 1) for x, y in ((0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (1.0, 1.0))]
-    whole = float(sum(w for *_, w in ring))
-    probes = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(w / whole).alias("w")) for dx, dy, w in ring])
+    out, last = None, None
+    probes, _ = _probes()
     for at in range(start, level + 1):
+        if knows:
+            now = now.where(bound.may_touch(cells.reach(1 << at), cells.center_xyz(1 << at)))
+
         def inside(p, at=at):
             v = survey_to_xyz(cells.edge_lambda(1 << at, F.col("y") + p["dy"]), cells.edge_eta(1 << at, F.col("x") + p["dx"]))
             return F.when(bound.contains(v), p["w"]).otherwise(0.0)
 
-        score = F.aggregate(probes, F.lit(0.0), lambda sums, p: sums + inside(p))  # noqa: B023
-        now = now.withColumn("score", score)
-        keep = F.col("score") > 1 - 1e-9 if at < level else F.col("score") >= 0.5
+        now = now.withColumn("score", F.aggregate(probes, F.lit(0.0), lambda sums, p: sums + inside(p)))  # noqa: B023
+        if at == level:
+            last = now.where(F.col("score") > 0) if top_up else now.where(F.col("score") >= 0.5)
+            break
+        keep = F.col("score") > 1 - 1e-9
         kept = now.where(keep).select("level", "x", "y")
         out = kept if out is None else out.unionByName(kept)
-        # A small region may lie between a coarse cell's probe points: up to two levels below the start all cells go on.
-        divide = (F.col("score") > 0) & ~keep if at > start + 1 else ~keep
+        divide = ~keep if knows or at <= start + 1 else (F.col("score") > 0) & ~keep
         now = now.where(divide).select((F.col("level") + 1).alias("level"), F.explode(cells.children(1)).alias("c")).select("level", "c.x", "c.y")
-    return out.withColumn("weight", F.lit(weight))
+    if top_up:
+        done = 0.0 if out is None else out.agg(F.sum(cells.level_area(F.col("level")))).first()[0] or 0.0
+        least = 2.0
+        for r in last.groupBy(F.round("score", 9).alias("s")).count().orderBy(F.desc("s")).collect():  # some dozens of rows
+            done += r["count"] * cells.cell_area(1 << level)
+            if done > bound.area + cells.cell_area(1 << level) / 2:
+                break
+            least = r["s"]
+        last = last.where(F.col("score") >= least - 1e-9)
+    last = last.select("level", "x", "y")
+    return (last if out is None else out.unionByName(last)).withColumn("weight", F.lit(weight))
 
 
 def expand(a: DataFrame, level: int) -> DataFrame:
@@ -277,3 +280,29 @@ def expand(a: DataFrame, level: int) -> DataFrame:
     xs = F.sequence(F.col("x") * side, (F.col("x") + 1) * side - 1)
     ys = F.sequence(F.col("y") * side, (F.col("y") + 1) * side - 1)
     return a.select(F.explode(xs).alias("x"), ys.alias("_ys"), "weight").select("x", F.explode("_ys").alias("y"), "weight")
+
+
+def dump(a: DataFrame, level: int, superpixel: int | None = None) -> DataFrame:
+    """The map's cells at one level, none of the map's finer, of one superpixel or all: superpixel, hpixel, weight in the order of both."""
+    fine = expand(a, level)
+    r = 1 << level
+    out = fine.select(cells.superpixnum(r).alias("superpixel"), cells.hpixnum(r).alias("hpixel"), "weight")
+    return out if superpixel is None else out.where(F.col("superpixel") == superpixel)
+
+
+def clear(a: DataFrame) -> DataFrame:
+    return a.limit(0)
+
+
+def occupied_superpixels(a: DataFrame) -> DataFrame:
+    """superpixel, area of those that the map has area in."""
+    return a.groupBy(cells.superpixnum_at(F.col("level")).alias("superpixel")).agg(F.sum(cells.level_area(F.col("level"))).alias("area"))
+
+
+def same_geometry(a: DataFrame, b: DataFrame, weights: bool = False) -> bool:
+    """Whether two maps, resolved, have the same cells (and weights up to the tolerance)."""
+    left, right = a.select(*KEY, F.col("weight").alias("_wa")), b.select(*KEY, F.col("weight").alias("_wb"))
+    far = F.col("_wa").isNull() | F.col("_wb").isNull()
+    if weights:
+        far = far | (F.abs(F.col("_wa") - F.col("_wb")) >= WEIGHT_TOLERANCE)
+    return left.join(right, KEY, "full").where(far).isEmpty()

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from celestrum.functions import cells
-from celestrum.operators import field_map, points
+from celestrum.operators import blocks, field_map
+from celestrum.sources import scratch
 
 #: Cells of the pixel estimator are at most so large against the smallest angle of a bin.
 CELL_TO_ANGLE = 0.5
@@ -77,6 +78,15 @@ class Bins:
             out = F.when((value >= self.edges[k]) & (value < self.edges[k + 1]), k).otherwise(out)
         return out
 
+    @staticmethod
+    def resolution_order() -> list[Column]:
+        """Orders a table of bins: fine resolutions first, then by angle."""
+        return [F.desc("resolution"), F.col("theta_min")]
+
+    @staticmethod
+    def angle_order() -> list[Column]:
+        return [F.col("theta_min")]
+
     def table(self, spark) -> DataFrame:
         return spark.createDataFrame([(k, a, b, c, r) for k, (a, b, c, r) in enumerate(zip(self.edges, self.edges[1:], self.centers, self.resolutions, strict=False))], "bin int, theta_min double, theta_max double, theta double, resolution int")
 
@@ -101,18 +111,25 @@ def pair_counts(galaxies: DataFrame, randoms: DataFrame, bins: Bins, others: Dat
     """
     auto = others is None
     others, other_randoms = (galaxies, randoms) if auto else (others, other_randoms)
+    weighed = {id(df): df if weight else df.withColumn("weight", F.lit(1.0)) for df in (galaxies, randoms, others, other_randoms)}
+    packed = {}
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col("weight").alias(f"w_{name}"), *([F.col("region").alias(f"region_{name}")] if regions else []), "ux", "uy", "uz")
+    def side(df: DataFrame) -> DataFrame:
+        if id(df) not in packed:
+            region = F.coalesce(F.col("region").cast("int"), F.lit(-1)) if regions else F.lit(-1)
+            packed[id(df)] = blocks.blocked(weighed[id(df)].select("ux", "uy", "uz", F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("weight"), region.alias("region")).dropna(subset=["ux", "uy", "uz"]))
+        return packed[id(df)]
 
-    by = ["region_a", "region_b"] if regions else []
-    w = F.col("w_a") * F.col("w_b") if weight else F.lit(1.0)
     kinds = {"DD": (galaxies, others, 1), "DR": (galaxies, other_randoms, iterations), "RD": (randoms, others, iterations), "RR": (randoms, other_randoms, iterations**2)}
+    by = ["bin", "region_a", "region_b"] if regions else ["bin"]
     out = None
     for kind, (a, b, divide) in kinds.items():
         if auto and kind == "RD":
             continue
-        one = points.binned_pairs(side(a, "a"), side(b, "b"), list(bins.edges), w, by).withColumn("weight", F.col("weight") / divide)
+        one = blocks.pairs_of_blocks(side(a), side(b), list(bins.edges)).groupBy(*by).agg(F.sum("n_pairs").alias("n_pairs"), (F.sum("weight") / divide).alias("weight"))
+        if auto and kind == "DR":
+            # Bins times pairs of regions; read twice.
+            one = scratch.written(one, "pairs")
         made = [one.withColumn("kind", F.lit(kind))]
         if auto and kind == "DR":
             names = {"region_a": "region_b", "region_b": "region_a"}
@@ -176,21 +193,75 @@ def pixel_correlation(field: DataFrame, kind: str, level: int, bins: Bins, other
 
 def weighted_cross_correlation(probes: DataFrame, targets: DataFrame, bins: Bins) -> DataFrame:
     """bin, weight, n_pairs, mean: the mean product of weights over pairs."""
-    a = probes.select(F.col("weight").alias("w_a"), "ux", "uy", "uz")
-    b = targets.select(F.col("weight").alias("w_b"), "ux", "uy", "uz")
-    return points.binned_pairs(a, b, list(bins.edges), F.col("w_a") * F.col("w_b")).withColumn("mean", F.col("weight") / F.col("n_pairs"))
+    return blocks.binned_pairs(probes, targets, list(bins.edges)).withColumn("mean", F.col("weight") / F.col("n_pairs"))
+
+
+def _estimated(counts: DataFrame, n_regions: int) -> DataFrame:
+    """bin, wtheta, error: Landy-Szalay with the Poisson error, or mean and error of the leave-one-out samples."""
+    if not n_regions:
+        return angular_correlation(counts).select("bin", "wtheta", "error")
+    rr = F.when(F.col("RR") != 0, F.col("RR"))
+    samples = leave_one_out(counts, n_regions).select("bin", "region", landy_szalay(F.col("DD"), F.col("DR"), F.col("RD"), rr).alias("wtheta"))
+    return jackknife(samples).select("bin", F.col("mean").alias("wtheta"), "error")
 
 
 def auto_correlation(galaxies: DataFrame, randoms: DataFrame, bins: Bins, iterations: int = 1, n_regions: int = 0) -> DataFrame:
     """bin, theta, wtheta, error. With regions (columns region of both) the mean and error of the leave-one-out samples."""
-    spark = galaxies.sparkSession
     counts = pair_counts(galaxies, randoms, bins, iterations=iterations, regions=n_regions > 0)
-    table = bins.table(spark).select("bin", "theta")
-    if not n_regions:
-        found = angular_correlation(counts).select("bin", "wtheta", "error")
-    else:
-        samples = leave_one_out(counts, n_regions)
-        rr = F.when(F.col("RR") != 0, F.col("RR"))
-        samples = samples.select("bin", "region", landy_szalay(F.col("DD"), F.col("DR"), F.col("RD"), rr).alias("wtheta"))
-        found = jackknife(samples).select("bin", F.col("mean").alias("wtheta"), "error")
+    return bins.table(galaxies.sparkSession).select("bin", "theta").join(_estimated(counts, n_regions), "bin", "left")
+
+
+def cross_correlation(galaxies: DataFrame, others: DataFrame, randoms: DataFrame, other_randoms: DataFrame, bins: Bins, iterations: int = 1, n_regions: int = 0) -> DataFrame:
+    """As auto_correlation, of two catalogs with their randoms; regions as there."""
+    counts = pair_counts(galaxies, randoms, bins, others, other_randoms, iterations, regions=n_regions > 0)
+    return bins.table(galaxies.sparkSession).select("bin", "theta").join(_estimated(counts, n_regions), "bin", "left")
+
+
+def hybrid_correlation(galaxies: DataFrame, randoms: DataFrame, field: DataFrame, kind: str, level: int, bins: Bins, iterations: int = 1) -> DataFrame:
+    """bin, theta, resolution, wtheta, error: bins with a resolution (wide ones, see with_resolutions) by cells of the field, the others by pairs.
+
+    The pixel estimator's error is that of its weight, 1 / sqrt(pixel_weight).
+    """
+    table = bins.table(galaxies.sparkSession).select("bin", "theta", "resolution")
+    pairs = [k for k, r in enumerate(bins.resolutions) if not r]
+    found = pixel_correlation(field, kind, level, bins).select("bin", "wtheta", (1.0 / F.sqrt("pixel_weight")).alias("error"))
+    for k, j in _runs(pairs):
+        some = Bins(bins.edges[k : j + 2], (0,) * (j + 1 - k))
+        one = angular_correlation(pair_counts(galaxies, randoms, some, iterations=iterations)).select((F.col("bin") + k).cast("int").alias("bin"), "wtheta", "error")
+        found = found.unionByName(one)
     return table.join(found, "bin", "left")
+
+
+def _runs(numbers: list[int]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for k in numbers:
+        if out and out[-1][1] == k - 1:
+            out[-1] = (out[-1][0], k)
+        else:
+            out.append((k, k))
+    return out
+
+
+def combine_fields(counts: DataFrame) -> DataFrame:
+    """bin, wtheta, error of several fields' counts (bin, field, DD, DR, RD, RR): each sample is the sum of all fields but one."""
+    kinds = ("DD", "DR", "RD", "RR")
+    total = counts.groupBy("bin").agg(*[F.sum(k).alias(f"t_{k}") for k in kinds])
+    rest = counts.join(total, "bin").select("bin", "field", *[(F.col(f"t_{k}") - F.col(k)).alias(k) for k in kinds])
+    rr = F.when(F.col("RR") != 0, F.col("RR"))
+    samples = rest.select("bin", F.col("field").alias("region"), landy_szalay(F.col("DD"), F.col("DR"), F.col("RD"), rr).alias("wtheta"))
+    return jackknife(samples).select("bin", F.col("mean").alias("wtheta"), "error")
+
+
+def shuffled_weights(catalog: DataFrame, seed: int = 1) -> DataFrame:
+    """The catalog with its weights dealt anew over its rows: the k-th row by one hash gets the weight of the k-th by another.
+
+    Rows are numbered in buckets of their hashes, so no sort is global: weights stay in their bucket of a few thousand.
+    """
+    from pyspark.sql import Window
+
+    n = max(1, catalog.count() // 4096)
+    keyed = catalog.withColumn("_b", F.pmod(F.xxhash64("ux", "uy", "uz", "weight"), F.lit(n)))
+    by = lambda k: Window.partitionBy("_b").orderBy(F.xxhash64(F.lit(seed), F.lit(k), "ux", "uy", "uz", "weight"), "ux", "uy", "uz", "weight")
+    rows = keyed.withColumn("_n", F.row_number().over(by(1)))
+    weights = keyed.select("_b", "weight", F.row_number().over(by(2)).alias("_n"))
+    return rows.drop("weight").join(weights, ["_b", "_n"]).drop("_b", "_n").select(*catalog.columns)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from celestrum.functions import cells, coords
 from celestrum.functions.coords import TOLERANCE, column
+from celestrum.sources import scratch
 
 XYZ = ("ux", "uy", "uz")
 PROBE = ("_px", "_py", "_pz")
@@ -102,25 +103,28 @@ def closest_match(probes: DataFrame, targets: DataFrame, by: list[str], target_i
 def k_nearest(probes: DataFrame, targets: DataFrame, by: list[str], target_id: str, k: int, start: float | None = None) -> DataFrame:
     """The k nearest targets of each probe: by, rank (from 1, nearest first), target_id, separation.
 
-    Rings grow until each probe has k targets within its ring, which certifies
-    them; a ring as wide as the sky holds all. Rounds are few: the radius doubles.
+    Rings grow until each probe has k targets (or all, if they are fewer) within its
+    ring, which certifies them; a ring as wide as the sky holds all. Rounds are few:
+    the radius doubles.
     """
+    n = targets.count()
+    k = min(k, n)
     if start is None:
-        n = max(1, targets.count())
-        start = min(180.0, 2.0 * math.degrees(math.acos(max(-1.0, 1.0 - 2.0 * min(1.0, (k + 1) / n)))))
+        start = min(180.0, 2.0 * math.degrees(math.acos(max(-1.0, 1.0 - 2.0 * min(1.0, (k + 1) / max(1, n))))))
     rank = Window.partitionBy(*by).orderBy("separation", target_id)
     open_, out, radius = probes, None, start
     while True:
         near = candidates(open_, targets, radius).where(within(0.0, radius, True)).withColumn("separation", F.round(coords.angular_distance(PROBE, XYZ), 9))
         ranked = near.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select(*by, "rank", target_id, "separation")
-        if radius >= 180.0:
-            done = ranked
-        else:
-            full = ranked.where(F.col("rank") == k).select(*by)
-            done = ranked.join(full, by, "left_semi")
-            open_ = open_.join(full, by, "left_anti")
+        if radius >= 180.0 or n == 0:
+            return ranked if out is None else out.unionByName(ranked)
+        # Each round is a table, so the next ones don't compute it again.
+        ranked = scratch.written(ranked, "nearest")
+        full = ranked.where(F.col("rank") == k).select(*by)
+        done = ranked.join(full, by, "left_semi")
         out = done if out is None else out.unionByName(done)
-        if radius >= 180.0 or open_.isEmpty():
+        open_ = scratch.written(open_.join(full, by, "left_anti"), "open")
+        if open_.isEmpty():
             return out
         radius = min(180.0, 2.0 * radius)
 

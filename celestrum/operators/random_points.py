@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from celestrum.functions import cells
+from celestrum.functions import cells, coords
 from celestrum.functions.coords import survey_to_xyz
 
+#: Draws of which one at least must be inside, else a bound counts as empty.
+HOPELESS = 100_000_000
+
 
 def uniform(seed: int, stream: int, *key) -> Column:
     """In (0, 1), a function of the key alone."""
@@ -48,28 +52,49 @@ def over_map(area: DataFrame, n: int, seed: int = 1, weighted: bool = False) ->
     draws = spark.range(n).withColumn("u", uniform(seed, 3, "id") * float(ranges[0][2]))
     at = F.size(F.filter(starts, lambda a: a <= F.col("u")))
     draws = draws.withColumn("k", at).select("id", F.element_at(names, F.col("k")).alias("s"), (F.col("u") - F.element_at(starts, F.col("k"))).alias("v"))
-    # Of a superpixel's cells the draw takes the one whose share holds it; the last if rounding leaves none.
-    ordered = own.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("low", "level", "x", "y"))).alias("own"))
-    chosen = draws.join(ordered, "s").select("id", F.element_at(F.filter("own", lambda c: c["low"] <= F.col("v")), -1).alias("c"))
+    # Of a superpixel's cells the draw takes the last that begins at or before it: cells and draws in one order, each draw after its cell.
+    cell = F.struct("level", "x", "y")
+    order = Window.partitionBy("s").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    ends = own.select("s", F.col("low").alias("at"), F.lit(0).alias("kind"), cell.alias("cell"), F.lit(None).cast("long").alias("id"))
+    both = ends.unionByName(draws.select("s", F.col("v").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(ends.schema["cell"].dataType).alias("cell"), "id"))
+    chosen = both.withColumn("c", F.last("cell", ignorenulls=True).over(order)).where("id IS NOT NULL").select("id", "c")
     resolution = F.pow(F.lit(2.0), F.col("c.level"))
     flat = chosen.select("id", F.col("c.x").alias("x"), F.col("c.y").alias("y"), resolution.alias("_r"))
     return in_cells(flat, "id", F.col("_r"), seed).select("id", "ux", "uy", "uz")
 
 
 def in_bound(spark, bound, n: int, seed: int = 1) -> DataFrame:
-    """id, ux, uy, uz: n points in a region, drawn in its latitude-longitude extent and kept if inside; as many draws as it takes."""
+    """id, ux, uy, uz: n points in a region, drawn in its latitude-longitude extent and kept if inside; as many draws as it takes, or an error if none of very many is."""
     lam_min, lam_max, eta_min, eta_max = bound.extent
     z0, z1 = math.sin(math.radians(lam_min)), math.sin(math.radians(lam_max))
     width = (eta_max - eta_min) % 360.0 or 360.0
     box = (z1 - z0) / 2.0 * width / 360.0 * cells.SKY_DEG2
-    draws, out = int(n * max(1.0, box / max(bound.area, 1e-12)) * 1.2) + 100, None
+    draws = int(n * max(1.0, box / max(bound.area, 1e-12)) * 1.2) + 100
     while True:
         rows = spark.range(draws)
         ux, uy, uz = survey_to_xyz(F.degrees(F.asin(F.lit(z0) + (z1 - z0) * uniform(seed, 4, "id"))), F.lit(eta_min) + width * uniform(seed, 5, "id"))
         out = rows.withColumns({"ux": ux, "uy": uy, "uz": uz}).where(bound.contains())
-        if out.count() >= n or draws > 1000 * (n + 100):
+        found = out.count()
+        if found >= n:
             return out.orderBy("id").limit(n)
-        draws *= 2
+        if not found and draws > HOPELESS:
+            raise ValueError(f"none of {draws} points of its extent is in {bound}")
+        draws = int(draws * min(64.0, 1.3 * n / found + 1)) if found else draws * 16
+
+
+def as_arrays(points: DataFrame, system: str = "equatorial") -> tuple[np.ndarray, np.ndarray]:
+    """Longitudes and latitudes (survey: lambda and eta) on the driver, for samples that fit there."""
+    lon, lat = coords.angles(system)
+    first = (lat, lon) if coords.sphere(system) == "survey" else (lon, lat)
+    rows = points.orderBy("id").select(first[0].alias("a"), first[1].alias("b")).toPandas()
+    return rows["a"].to_numpy(), rows["b"].to_numpy()
+
+
+def in_quadrant(spark, circle, quadrant: int, n: int, seed: int = 1) -> DataFrame:
+    """n points in a quarter of a circle, by position angle from 0 degrees on: quadrants 0 to 3."""
+    from celestrum.functions.bounds import Wedge
+
+    return in_bound(spark, Wedge(circle.theta, circle.phi, circle.radius, 90.0 * quadrant, 90.0 * (quadrant + 1), circle.system), n, seed)
 
 
 def with_copied(points: DataFrame, catalog: DataFrame, columns: list[str], seed: int = 1, buckets: int = 256) -> DataFrame:

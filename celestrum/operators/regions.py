@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from celestrum.functions import cells
+from celestrum.sources import scratch
 
 CELLS_PER_REGION = 50
 MAX_RESOLUTION = 2048
@@ -22,38 +22,40 @@ def region_resolution(area: float, n_regions: int) -> int:
     return r
 
 
+def sections(covered: DataFrame, resolution: int, n_regions: int) -> DataFrame:
+    """stripe, section: runs of neighbouring stripes, divided so that regions are about square. There are at most 36 x 2048 stripes."""
+    stripes = covered.select(cells.stripe(resolution).alias("stripe")).distinct()
+    n = stripes.count()
+    width = max(1, int(round(n / max(1.0, np.sqrt(n_regions)))))
+    order = Window.orderBy("stripe")
+    island = stripes.withColumn("_i", F.sum(F.when(F.col("stripe") - F.lag("stripe").over(order) > 1, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    place = island.withColumn("_p", F.row_number().over(Window.partitionBy("_i").orderBy("stripe")) - 1)
+    return place.withColumn("section", F.sum(F.when(F.col("_p") % width == 0, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).select("stripe", F.col("section").cast("int").alias("section"))
+
+
 def regionate(covered: DataFrame, resolution: int, n_regions: int) -> DataFrame:
     """x, y, region, area for the cells of a coverage (x, y, weight: the fraction covered).
 
-    Cells are walked stripe by stripe within sections of neighbouring stripes, and
-    a region is closed when its area with three quarters of a mean cell would pass
-    the target; the number of regions may differ from the request. The walk needs
-    one ordered pass and takes one task; a coverage has some ten thousand cells.
+    Cells are in order of section (neighbouring stripes), row and column, and a
+    region is closed when its area with three quarters of a mean cell would pass
+    the target: the region follows from the area before the cell. That is a running
+    sum over the rows of sections (some ten thousand numbers) and one within each of them.
     """
     if resolution > MAX_RESOLUTION:
         raise ValueError(f"regions have at most resolution {MAX_RESOLUTION}")
-    one = cells.cell_area(resolution)
-
-    def walk(df: pd.DataFrame) -> pd.DataFrame:
-        total = df["area"].sum()
-        target, average = total / n_regions, total / len(df)
-        stripes = np.sort(df["stripe"].unique())
-        # Sections: runs of neighbouring stripes, divided into as many as make regions about square.
-        width = max(1, int(round(len(stripes) / max(1.0, np.sqrt(n_regions)))))
-        island = np.cumsum(np.concatenate([[0], np.diff(stripes) > 1]))
-        place = np.arange(len(stripes)) - np.concatenate([[0], np.flatnonzero(np.diff(island)) + 1])[island]
-        section = pd.Series(np.cumsum(np.concatenate([[0], (np.diff(island) > 0) | (place[1:] % width == 0)])), index=stripes)
-        df = df.assign(section=df["stripe"].map(section)).sort_values(["section", "y", "x"], kind="stable")
-        region, sums, out = 0, 0.0, []
-        for a in df["area"]:
-            if sums > 0 and sums + 0.75 * average >= target * (region + 1) and region < n_regions - 1:
-                region += 1
-            sums += a
-            out.append(region)
-        return df.assign(region=np.array(out, dtype="int32"))[["x", "y", "region", "area"]]
-
-    keyed = covered.select("x", "y", (F.col("weight") * one).alias("area"), cells.stripe(resolution).alias("stripe")).withColumn("_all", F.lit(1))
-    return keyed.groupBy("_all").applyInPandas(lambda df: walk(df.drop(columns="_all")), "x long, y long, region int, area double")
+    own = scratch.written(covered.select("x", "y", (F.col("weight") * cells.cell_area(resolution)).alias("area"), cells.stripe(resolution).alias("stripe")), "cells")
+    total, n = own.agg(F.sum("area"), F.count("*")).first()
+    if not n:
+        return own.select("x", "y", F.lit(0).alias("region"), "area")
+    target, average = total / n_regions, total / n
+    own = own.join(F.broadcast(sections(own, resolution, n_regions)), "stripe")
+    rows = own.groupBy("section", "y").agg(F.sum("area").alias("_row"))
+    upto = Window.orderBy("section", "y").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_start", F.coalesce(F.sum("_row").over(upto), F.lit(0.0))).drop("_row")
+    before = F.coalesce(F.sum("area").over(Window.partitionBy("section", "y").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    placed = own.withColumn("_before", before).join(F.broadcast(rows), ["section", "y"]).withColumn("_before", F.col("_before") + F.col("_start"))
+    region = F.least(F.lit(n_regions - 1), F.floor((F.col("_before") + 0.75 * average) / target))
+    return placed.select("x", "y", F.when(F.col("_before") > 0, region).otherwise(0).cast("int").alias("region"), "area")
 
 
 def block_regions(covered: DataFrame, columns: int, rows: int, resolution: int) -> DataFrame:

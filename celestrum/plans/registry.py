@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from celestrum.functions import bounds, cells, coords, text
 from celestrum.functions.cosmo import Cosmology
-from celestrum.operators import area_map, correlation, field_map, points, random_points, regions
+from celestrum.operators import area_map, blocks, correlation, field_map, points, random_points, regions
 from celestrum.plans.fixtures import ETA, catalog, catalog_sql, center_sql, fine_sql, sky_map, sky_map_sql, x_sql, y_sql
 
 QUERIES: dict = {}
@@ -294,9 +294,7 @@ _BIN = "CASE " + " ".join(f"WHEN {DOT} <= cos(radians({a}e0)) + 1e-15 AND {DOT}
 
 @query("e5_l19_binned_pairs", f"SELECT bin, count(*) AS n_pairs, {rs('sum(w)', 0)} AS weight FROM (SELECT {_BIN} AS bin, a.weight * b.weight AS w FROM {CUSTOMER} a, {ORDERS} b) WHERE bin IS NOT NULL GROUP BY bin")
 def _(spark, d):
-    a = customer(spark, d).select(F.col("weight").alias("wa"), *XYZ)
-    b = orders(spark, d).select(F.col("weight").alias("wb"), *XYZ)
-    out = points.binned_pairs(a, b, list(_EDGES), F.col("wa") * F.col("wb"))
+    out = blocks.binned_pairs(customer(spark, d), orders(spark, d), list(_EDGES))
     return out.select("bin", "n_pairs", r(F.col("weight"), 0).alias("weight"))
 
 
@@ -312,9 +310,8 @@ def _with_region(df):
 @query("e6_region_pairs", f"""SELECT bin, region_a, region_b, count(*) AS n_pairs FROM (SELECT {_BIN} AS bin, a.region AS region_a, b.region AS region_b
   FROM (SELECT *, {_region_sql('')} AS region FROM {SUPPLIER}) a, (SELECT *, {_region_sql('')} AS region FROM {ORDERS}) b) WHERE bin IS NOT NULL GROUP BY ALL""")
 def _(spark, d):
-    a = _with_region(supplier(spark, d)).select(F.col("region").alias("region_a"), *XYZ)
-    b = _with_region(orders(spark, d)).select(F.col("region").alias("region_b"), *XYZ)
-    return points.binned_pairs(a, b, list(_EDGES), None, ["region_a", "region_b"]).drop("weight")
+    out = blocks.binned_pairs(_with_region(supplier(spark, d)), _with_region(orders(spark, d)), list(_EDGES), regions=True)
+    return out.select("bin", "region_a", "region_b", "n_pairs")
 
 
 @query("e7_neighbour_lists", f"SELECT a.k, b.k AS ck, {rs(f'degrees(atan2({_NORM}, {DOT}))')} AS separation FROM {SUPPLIER} a JOIN {CUSTOMER} b ON {DOT} > cos(radians(3e0)) + 1e-15")

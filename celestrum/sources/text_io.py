@@ -93,3 +93,23 @@ def write_covariance(df: DataFrame, path: str, bins) -> None:
     centers = F.array(*[F.lit(c) for c in bins.centers])
     at = lambda c: F.get(centers, F.col(c))
     df.coalesce(1).sortWithinPartitions("bin_a", "bin_b").select(F.concat_ws(" ", *[F.format_string("%.6g", c.cast("double")) for c in (at("bin_a"), at("bin_b"), F.col("covariance"))])).write.text(path)
+
+
+def write_ids(df: DataFrame, path: str, columns: tuple[str, ...] = ()) -> None:
+    """Lines of `id weight` and the named columns: points or cells of the Hilbert curve."""
+    df.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in ("id", "weight", *columns)])).write.text(path)
+
+
+def read_ids(spark: SparkSession, path: str, columns: tuple[str, ...] = ()) -> DataFrame:
+    """id, weight (1 where missing) and the named columns as integers; lines without an id are dropped."""
+    more = [_number(k + 2, "bigint").alias(c) for k, c in enumerate(columns)]
+    return _fields(spark, path).select(_number(0, "bigint").alias("id"), F.coalesce(_number(1), F.lit(1.0)).alias("weight"), *more).where(F.col("id").isNotNull())
+
+
+def read_regions(spark: SparkSession, path: str) -> list:
+    """(number, shape) of lines `number circle ra dec radius` or `number rectangle dec_min dec_max ra_min ra_max`, in order; others are left out. A list of shapes, which plans are made of, so it is on the driver."""
+    from celestrum.functions import bounds
+
+    shapes = {"circle": (bounds.Circle, 3), "rectangle": (bounds.LatLonBox, 4)}
+    rows = _fields(spark, path).select(_number(0, "int").alias("n"), F.get("f", F.lit(1)).alias("kind"), F.transform(F.slice("f", 3, 4), lambda v: v.try_cast("double")).alias("v")).where(F.col("n").isNotNull()).orderBy("n").collect()
+    return [(r["n"], shapes[r["kind"]][0](*r["v"])) for r in rows if r["kind"] in shapes and len(r["v"]) == shapes[r["kind"]][1] and None not in r["v"]]

@@ -2,7 +2,7 @@
 
 import pytest
 
-from celestrum.plans import registry
+from celestrum.plans import geometry, more, registry  # noqa: F401
 from tests.oracle import assert_same
 
 SF = "/root/testdata/sf0.001"
