@@ -133,8 +133,14 @@ class Sets:
     def __init__(self, folder: str) -> None:
         self.files = mapped.Recent(lambda name: np.frombuffer(mapped.whole(f"{folder}/{name}"), dtype=np.uint8))
 
-    def signature(self, file: int, at: int) -> np.ndarray:
-        return self.files[file][at : at + 4 * COORDINATES].view(np.uint32)
+    def signatures(self, file: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """A row for each place, file by file."""
+        out = np.empty((len(file), COORDINATES), dtype=np.uint32)
+        order = np.argsort(file, kind="stable")
+        names, first = np.unique(file[order], return_index=True)
+        for name, own in zip(names.tolist(), np.split(order, first[1:]), strict=False):
+            out[own] = self.files[name].view(np.uint32)[(at[own] // 4)[:, None] + np.arange(COORDINATES)]
+        return out
 
     def set(self, file: int, at: int, n: int) -> np.ndarray:
         at += 4 * COORDINATES
@@ -155,10 +161,10 @@ def _tokens(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Recor
     sets = Sets(folder)
     place = np.arange(COORDINATES, dtype=bw.U64) << bw.U64(32)
     for batch in batches:
-        rep, file, at = (batch.column(k).to_pylist() for k in range(3))
-        signed = np.array([sets.signature(f, a) for f, a in zip(file, at, strict=True)], dtype=bw.U64).reshape(-1, COORDINATES)
+        rep, file, at = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        signed = sets.signatures(file, at).astype(bw.U64)
         tokens = bw.mix((signed | place[None, :]).ravel()).view(np.int64)
-        yield pa.RecordBatch.from_pydict({"rep": pa.array(rep, type=pa.int64()), "tokens": pa.ListArray.from_arrays(np.arange(0, len(tokens) + 1, COORDINATES, dtype=np.int32), pa.array(tokens))})
+        yield pa.RecordBatch.from_pydict({"rep": pa.array(rep.astype(np.int64)), "tokens": pa.ListArray.from_arrays(np.arange(0, len(tokens) + 1, COORDINATES, dtype=np.int32), pa.array(tokens))})
 
 
 PAIRS = "a bigint, b bigint, sure boolean, a_file bigint, a_at bigint, a_n bigint, b_file bigint, b_at bigint, b_n bigint"
@@ -176,8 +182,8 @@ def _merge_lists(batches: Iterator[pa.RecordBatch], folder: str, percent: int, a
         size = len(rows)
         if size < 2:
             return
-        signed = np.array([sets.signature(f, a) for f, a in zip(file.tolist(), at.tolist(), strict=True)])
-        group = np.arange(size)
+        signed = sets.signatures(file, at)
+        group, groups = np.arange(size), size
         short = x == y == 0 and size <= longest
 
         def pair(i: int, j: int, sure: bool) -> tuple:
@@ -201,6 +207,9 @@ def _merge_lists(batches: Iterator[pa.RecordBatch], folder: str, percent: int, a
                 if group[i] != group[j] and linked(own, sets.set(int(file[j]), int(at[j]), int(n[j])), percent):
                     out.append(pair(i, j, True))
                     group[group == group[j]] = group[i]
+                    groups -= 1
+            if groups == 1:
+                return
 
     def batch_of() -> pa.RecordBatch:
         kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 6]
@@ -278,7 +287,9 @@ def find_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, c
     lists = lists.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("q")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
     lists = lists.select("token", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "rep", "chunk")
     lists = lists.join(reps.select(F.col("node").alias("rep"), "n", "file", "at"), "rep").select("token", "x", "y", "rep", "chunk", "n", "file", "at")
-    merged = lists.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(lambda it: _merge_lists(it, folder, percent, agree, short), PAIRS)
+    # Merging takes much time for its few bytes, so it is dealt finer than by size.
+    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    merged = lists.repartition(tasks, "token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(lambda it: _merge_lists(it, folder, percent, agree, short), PAIRS)
     merged = shared.written(merged, "merged")
     unsure = merged.where("NOT sure").select("a", "b", "a_file", "a_at", "a_n", "b_file", "b_at", "b_n").dropDuplicates(["a", "b"])
     links = merged.where("sure").select("a", "b").unionByName(unsure.mapInArrow(lambda it: _confirm(it, folder, percent), "a bigint, b bigint"))
