@@ -292,10 +292,11 @@ _EDGES = (0.5, 1.0, 2.0, 5.0, 10.0)
 _BIN = "CASE " + " ".join(f"WHEN {DOT} <= cos(radians({a}e0)) + 1e-15 AND {DOT} > cos(radians({b}e0)) + 1e-15 THEN {k}" for k, (a, b) in enumerate(zip(_EDGES, _EDGES[1:]))) + " END"
 
 
-@query("e5_l19_binned_pairs", f"SELECT bin, count(*) AS n_pairs, {rs('sum(w)', 0)} AS weight FROM (SELECT {_BIN} AS bin, a.weight * b.weight AS w FROM {CUSTOMER} a, {ORDERS} b) WHERE bin IS NOT NULL GROUP BY bin")
+@query("e5_l19_binned_pairs", f"SELECT bin, count(*) AS n_pairs, {rs('sum(w) / 1e6', 2)} AS weight FROM (SELECT {_BIN} AS bin, a.weight * b.weight AS w FROM {CUSTOMER} a, {ORDERS} b) WHERE bin IS NOT NULL GROUP BY bin")
 def _(spark, d):
     out = blocks.binned_pairs(customer(spark, d), orders(spark, d), list(_EDGES))
-    return out.select("bin", "n_pairs", r(F.col("weight"), 0).alias("weight"))
+    # In millions: sums of 1e14 in doubles are good to a few units.
+    return out.select("bin", "n_pairs", r(F.col("weight") / 1e6, 2).alias("weight"))
 
 
 def _region_sql(alias: str) -> str:
