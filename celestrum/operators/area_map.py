@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from celestrum.functions import cells
+from celestrum.sources import scratch
 
 KEY = ["level", "x", "y"]
 WEIGHT_TOLERANCE = 1e-6
@@ -252,7 +253,8 @@ def pixelize(spark, bound, level: int, start: int = 4, weight: float = 1.0, top_
             v = survey_to_xyz(cells.edge_lambda(1 << at, F.col("y") + p["dy"]), cells.edge_eta(1 << at, F.col("x") + p["dx"]))
             return F.when(bound.contains(v), p["w"]).otherwise(0.0)
 
-        now = now.withColumn("score", F.aggregate(probes, F.lit(0.0), lambda sums, p: sums + inside(p)))  # noqa: B023
+        # A table for each level, so none is computed again for the finer ones.
+        now = scratch.written(now.withColumn("score", F.aggregate(probes, F.lit(0.0), lambda sums, p: sums + inside(p))), "cells")  # noqa: B023
         if at == level:
             last = now.where(F.col("score") > 0) if top_up else now.where(F.col("score") >= 0.5)
             break
