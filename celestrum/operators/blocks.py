@@ -119,8 +119,8 @@ def pairs_of_blocks(left: DataFrame, right: DataFrame, edges: list[float]) -> Da
     widest = right.agg(F.max("radius")).first()[0] or 0.0
     reach_max = min(180.0, edges[-1] + widest + (left.agg(F.max("radius")).first()[0] or 0.0) + 1e-3)
     keys = ("regions", "counts", "weights")
-    probes = left.select(F.col("block").alias("a"), F.col("radius").alias("_ra"), *[F.col(c).alias(f"a_{c}") for c in keys], F.col("cx").alias("ux"), F.col("cy").alias("uy"), F.col("cz").alias("uz"))
-    targets = right.select(F.col("block").alias("b"), F.col("radius").alias("_rb"), *[F.col(c).alias(f"b_{c}") for c in keys], F.col("cx").alias("ux"), F.col("cy").alias("uy"), F.col("cz").alias("uz"))
+    probes = left.select(F.col("block").alias("a"), F.col("radius").alias("_ra"), F.col("cx").alias("ux"), F.col("cy").alias("uy"), F.col("cz").alias("uz"))
+    targets = right.select(F.col("block").alias("b"), F.col("radius").alias("_rb"), F.col("cx").alias("ux"), F.col("cy").alias("uy"), F.col("cz").alias("uz"))
     probes = probes.withColumn("_reach", F.least(F.lit(180.0), F.col("_ra") + (edges[-1] + widest + 1e-3)))
     near = candidates(probes, targets, F.col("_reach"), resolution_for(reach_max))
     angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_dot")))))
@@ -128,8 +128,9 @@ def pairs_of_blocks(left: DataFrame, right: DataFrame, edges: list[float]) -> Da
     number = F.lit(-1)
     for k in range(len(edges) - 1):
         number = F.when((F.col("_low") >= edges[k]) & (F.col("_high") < edges[k + 1]), k).otherwise(number)
-    near = scratch.written(near.select("a", "b", number.cast("int").alias("bin"), *[f"{s}_{c}" for s in "ab" for c in keys]), "near")
-    whole = near.where("bin >= 0").withColumn("p", F.explode(F.arrays_zip("a_regions", "a_counts", "a_weights"))).withColumn("q", F.explode(F.arrays_zip("b_regions", "b_counts", "b_weights")))
+    near = scratch.written(near.select("a", "b", number.cast("int").alias("bin")), "near")
+    totals = lambda df, s: df.select(F.col("block").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in keys])
+    whole = near.where("bin >= 0").join(totals(left, "a"), "a").join(totals(right, "b"), "b").withColumn("p", F.explode(F.arrays_zip("a_regions", "a_counts", "a_weights"))).withColumn("q", F.explode(F.arrays_zip("b_regions", "b_counts", "b_weights")))
     whole = whole.select("bin", F.col("p.a_regions").alias("region_a"), F.col("q.b_regions").alias("region_b"), (F.col("p.a_counts") * F.col("q.b_counts")).alias("n_pairs"), (F.col("p.a_weights") * F.col("q.b_weights")).alias("weight"))
     cut = near.where("bin < 0").select("a", "b").join(left.select(F.col("block").alias("a"), F.col("points").alias("pa")), "a").join(right.select(F.col("block").alias("b"), F.col("points").alias("pb")), "b").select("pa", "pb")
     counted = cut.repartition(int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(lambda it: _count(it, edges), "bin int, region_a int, region_b int, n_pairs long, weight double")
