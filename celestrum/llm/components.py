@@ -13,7 +13,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round points nodes to the least of their neighbours, first from the
     larger ones' side and then from the smaller ones', until no link changes;
-    rounds are tables in the shared folder.
+    rounds are tables in the shared folder. Joins are merge joins by hint, since
+    the size of a file of links says little about their number.
     """
     links = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links, before = shared.written(links, "links"), None
@@ -24,7 +25,7 @@ def components(links: DataFrame) -> DataFrame:
         before = now
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
+        large = both.where(F.col("b") > F.col("a")).hint("merge").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        small = large.hint("merge").join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         links = shared.written(small.where(F.col("a") != F.col("b")).distinct(), "links")

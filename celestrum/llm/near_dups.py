@@ -16,6 +16,10 @@ with each. Agreeing pairs are confirmed on the whole sets.
 
 Equal sets are one node from the start. Sets and signatures are in files of the
 shared folder, to which lists refer; no list holds a text.
+
+Joins are merge joins by hint: what is joined grows with the corpus, and Spark
+would broadcast it by way of the driver on estimates that don't see what an
+explode adds (the 64 pairs of a text) or how well a file compresses.
 """
 
 from __future__ import annotations
@@ -280,13 +284,13 @@ def find_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, c
     reps = shared.written(reps.withColumn("node", F.monotonically_increasing_id()), "reps")
     posted = reps.select("node", "file", "at").mapInArrow(lambda it: _tokens(it, folder), "rep bigint, tokens array<bigint>").select("rep", F.explode("tokens").alias("token"))
     often = posted.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
-    shared_tokens = posted.join(often, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("own"))
+    shared_tokens = posted.hint("merge").join(often, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("own"))
     # Pairs that no other set has are the rarest; they fill the front of the prefix, where nothing can meet them.
     rest = F.lit(prefix - COORDINATES) + F.size("own")
     lists = shared_tokens.where(rest > 0).select("rep", F.explode(F.slice("own", F.lit(1), rest)).alias("t")).select("rep", "t.token", F.ceil(F.col("t.often") / chunk).cast("int").alias("q"))
     lists = lists.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("q")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
     lists = lists.select("token", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "rep", "chunk")
-    lists = lists.join(reps.select(F.col("node").alias("rep"), "n", "file", "at"), "rep").select("token", "x", "y", "rep", "chunk", "n", "file", "at")
+    lists = lists.hint("merge").join(reps.select(F.col("node").alias("rep"), "n", "file", "at"), "rep").select("token", "x", "y", "rep", "chunk", "n", "file", "at")
     # Merging takes much time for its few bytes, so it is dealt finer than by size.
     tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     merged = lists.repartition(tasks, "token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(lambda it: _merge_lists(it, folder, percent, agree, short), PAIRS)
@@ -294,10 +298,10 @@ def find_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, c
     unsure = merged.where("NOT sure").select("a", "b", "a_file", "a_at", "a_n", "b_file", "b_at", "b_n").dropDuplicates(["a", "b"])
     links = merged.where("sure").select("a", "b").unionByName(unsure.mapInArrow(lambda it: _confirm(it, folder, percent), "a bigint, b bigint"))
     roots = components(links)
-    nodes = reps.select("key", "node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = reps.select("key", "node", "rep").hint("merge").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = nodes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    placed = nodes.join(least, "root").select("key", "component_id")
-    out = found.join(placed, "key", "left").select(*[F.col(o).alias(c) for c, o in zip(carry, own, strict=True)], "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    placed = nodes.hint("merge").join(least, "root").select("key", "component_id")
+    out = found.hint("merge").join(placed, "key", "left").select(*[F.col(o).alias(c) for c, o in zip(carry, own, strict=True)], "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

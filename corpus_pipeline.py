@@ -29,8 +29,8 @@ def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     tagged = docs.withColumns({"_id": name, "_tag": F.xxhash64("text")})
     found = near_dups.find_near_duplicates(tagged, shingle=5, percent=80, carry=("_tag",))
     kept = found.where("kept").select(name.alias("_id"), "_tag").distinct()
-    # The join and the dropping of repeated rows go by the same columns, so texts are dealt out once.
-    return tagged.join(kept, ["_id", "_tag"], "left_semi").dropDuplicates(["_id", "_tag"]).select(*COLUMNS)
+    # The join and the dropping of repeated rows go by the same columns, so texts are dealt out once. What is kept grows with the corpus and isn't broadcast.
+    return tagged.hint("merge").join(kept, ["_id", "_tag"], "left_semi").dropDuplicates(["_id", "_tag"]).select(*COLUMNS)
 
 
 def cut_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 from celestrum.llm import shared
-from tests.llm.test_text_operators import brute_groups, brute_hits, brute_repeats
+from tests.llm.test_text_operators import brute_groups, brute_hits, brute_repeats, planned
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,6 +37,14 @@ def test_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() == len(packed)
 
 
+def test_dropping_near_duplicates_broadcasts_nothing(spark, monkeypatch):
+    plans = planned(monkeypatch)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    shared.written(corpus_pipeline.drop_near_duplicates(spark, docs, SF), "result")
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 8
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_cutting_drops_only_what_was_cut(spark):
     long = "".join(f"{k} " for k in range(200))
     rows = [(1, "", 0), (2, "", None), (3, "   ", 3), (4, None, None), (5, long, len(long)), (6, long, len(long)), (7, "x", None)]

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 
 from celestrum.llm import bytewords as bw
-from celestrum.llm import decontaminate, mapped, near_dups, ngram, repeats
+from celestrum.llm import decontaminate, mapped, near_dups, ngram, repeats, shared
 from celestrum.llm.components import components
 
 WORDS = "alpha Beta gamma délta EPS zeta eta theta iota kappa lam mu".split()
@@ -153,6 +153,13 @@ def test_near_duplicates_carry_columns_of_any_name(spark):
         near_dups.find_near_duplicates(rows.withColumnRenamed("key", "kept"), carry=("kept",))
 
 
+def planned(monkeypatch) -> list[str]:
+    """The plans of tables that are written from now on."""
+    plans, write = [], shared.written
+    monkeypatch.setattr(shared, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    return plans
+
+
 def test_words_of_a_long_text_are_those_of_its_pieces():
     text = "Ab  cd " * 900_000 + "x" * 5_000_000 + " end"
     data = np.frombuffer(text.encode(), dtype=np.uint8)
