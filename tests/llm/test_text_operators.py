@@ -160,6 +160,13 @@ def planned(monkeypatch) -> list[str]:
     return plans
 
 
+def test_near_duplicates_broadcast_nothing(spark, monkeypatch):
+    plans = planned(monkeypatch)
+    shared.written(near_dups.query(spark, "/root/testdata/sf0.001"), "result")
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 7
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_words_of_a_long_text_are_those_of_its_pieces():
     text = "Ab  cd " * 900_000 + "x" * 5_000_000 + " end"
     data = np.frombuffer(text.encode(), dtype=np.uint8)
