@@ -14,6 +14,13 @@ signs.
 Contexts whose words are all very frequent are dealt over several buckets by the
 next word; their totals are added up when they are read. Of a context's 64-bit
 hash a bucket keeps the low half, sorted within cells that the high half gives.
+
+N-grams are sorted as single integers, since that takes far less time than
+sorting by columns: those of some texts by the places of their words among the
+different words of these texts, those of several tasks by one column after the
+other, the numbers of what is equal so far before it. Texts to score look up
+each different context once, and each different n-gram in it.
+
 Files are in the shared folder and are memory-mapped by the workers that score.
 Buckets are sized by the bytes of the training texts.
 """
@@ -39,8 +46,8 @@ BUCKET_TEXT = 32 << 20
 RANGE = 1 << 20
 #: Different keys that a task holds before it sends them.
 HELD = 1_000_000
-#: Cells of a bucket, in which contexts are sorted by the low halves of their hashes.
-CELLS = 1 << 14
+#: Least cells of a bucket, in which contexts are sorted by the low halves of their hashes; there are more if more than CELL contexts come to each.
+CELLS, CELL = 1 << 14, 8
 #: Contexts of words that all occur more often are dealt over several buckets: one for each so many. At most SPLITS words are so frequent.
 SPLIT, SPLITS = 4 << 20, 4096
 #: Next words up to which a context's totals are added up when it is read.
@@ -105,19 +112,53 @@ def _opened(sealed: bytes, width: int) -> list[np.ndarray]:
     return columns
 
 
+def _begins(values: np.ndarray) -> np.ndarray:
+    """Where other values begin than the one before."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[: len(values)])
+
+
+def _spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places begins[k], begins[k] + 1, ... of each k, sizes[k] of them."""
+    return np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
 def _summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Sorted different n-grams with their counts."""
     if not len(counts):
         return columns, counts
-    packs = columns
     if columns[0].dtype.itemsize == 4:
-        packs = [columns[k].astype(bw.U64) << bw.U64(32) | columns[k + 1].astype(bw.U64) if k + 1 < len(columns) else columns[k] for k in range(0, len(columns), 2)]
-    order = np.lexsort(packs[::-1]) if len(packs) > 1 else np.argsort(packs[0], kind="stable")
-    packs = [p[order] for p in packs]
-    first = np.flatnonzero(np.concatenate([[True], np.any([p[1:] != p[:-1] for p in packs], axis=0)]))
+        key = columns[0].astype(bw.U64)
+        if len(columns) > 1:
+            key = key << bw.U64(32) | columns[1]
+        order = np.argsort(key)
+        key = key[order]
+        for c in columns[2:]:
+            key = (np.cumsum(np.concatenate([[False], key[1:] != key[:-1]])).astype(bw.U64) << bw.U64(32)) | c[order]
+            again = np.argsort(key)
+            order, key = order[again], key[again]
+        first = _begins(key)
+    else:
+        order = np.lexsort(columns[::-1]) if len(columns) > 1 else np.argsort(columns[0])
+        first = np.flatnonzero(np.concatenate([[True], np.any([c[order[1:]] != c[order[:-1]] for c in columns], axis=0)]))
     return [c[order[first]] for c in columns], np.add.reduceat(counts[order], first, dtype=np.int64)
 
 
+def _packs(columns: list[np.ndarray], most: int) -> np.ndarray | None:
+    """Rows of numbers from 0 to `most` as single integers in the rows' order; none if 64 bits are too few."""
+    bits = most.bit_length()
+    if bits * len(columns) > 64:
+        return None
+    out = columns[0].astype(bw.U64)
+    for c in columns[1:]:
+        out = out << bw.U64(bits) | c.astype(bw.U64)
+    return out
+
+
+def _unpacked(packs: np.ndarray, width: int, most: int) -> list[np.ndarray]:
+    bits = most.bit_length()
+    return [(packs >> bw.U64(bits * k) & bw.U64((1 << bits) - 1)).astype(np.int64) for k in range(width - 1, -1, -1)]
+
+
 GRAMS = "bucket int, keys binary, counts binary, stats array<bigint>"
 
 
@@ -143,25 +184,30 @@ def _merged(table: pa.Table, width: int) -> tuple[int, list[np.ndarray], np.ndar
     return table.column("bucket")[0].as_py(), columns, counts, np.sum(table.column("stats").to_pylist(), axis=0, dtype=np.int64)
 
 
-def _count(batches: Iterator[pa.RecordBatch], order: int, grams_of, bucket_of, stats: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Counts of grams_of(tokens) over a task, sent whenever `most` different ones are held."""
-    held, n_fresh = [], 0
+def _count(batches: Iterator[pa.RecordBatch], order: int, counted, bucket_of, stats: int, most: int) -> Iterator[pa.RecordBatch]:
+    """counted(tokens of some texts) over a task, sent whenever more than `most` different ones are held."""
+    held, fresh, n_fresh = [], [], 0
 
     def merged():
-        return _summed([np.concatenate([c[k] for c, _ in held]) for k in range(len(held[0][0]))], np.concatenate([c for _, c in held]))
+        held.append(counted(fresh))
+        if len(held) > 1:
+            held[:] = [_summed([np.concatenate([c[k] for c, _ in held]) for k in range(len(held[0][0]))], np.concatenate([c for _, c in held]))]
+        return held[0]
 
     for batch in batches:
         for tokens in tokens_of(batch.column(batch.schema.get_field_index("text")), order):
-            grams = grams_of(tokens)
-            held.append(_summed(grams, np.ones(len(grams[0]), dtype=np.int64)))
-            n_fresh += len(held[-1][1])
-            if n_fresh > most // 2:
-                held, n_fresh = [merged()], 0
-                if len(held[0][1]) > most:
-                    yield _packed(*held[0], bucket_of(held[0][0]), [0] * stats)
+            fresh.append(tokens)
+            n_fresh += len(tokens.hashes)
+            if n_fresh > most + most // 2:
+                columns, counts = merged()
+                fresh, n_fresh = [], 0
+                if len(counts) > most:
+                    yield _packed(columns, counts, bucket_of(columns), [0] * stats)
                     held = []
+    if fresh:
+        merged()
     if held:
-        columns, counts = merged()
+        columns, counts = held[0]
         if len(counts):
             yield _packed(columns, counts, bucket_of(columns), [0] * stats)
 
@@ -246,74 +292,99 @@ def _part(context: np.ndarray, part: np.ndarray) -> np.ndarray:
 
 def _bisect(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Place of each wanted value among values[low:high], which are sorted; -1 where it isn't."""
-    if not len(values):
+    if not len(values) or not len(wanted):
         return np.full(len(wanted), -1, dtype=np.int64)
-    end, last = high, len(values) - 1
-    low, high = low.copy(), high.copy()
-    while (low < high).any():
-        middle = (low + high) >> 1
-        less = (low < high) & (values[np.minimum(middle, last)] < wanted)
-        low, high = np.where(less, middle + 1, low), np.where(less, high, np.minimum(middle, high))
-    return np.where((low < end) & (values[np.minimum(low, last)] == wanted), low, -1)
+    size, low = high - low, low.copy()
+    step = 1 << (max(int(size.max()), 1).bit_length() - 1)
+    while step:
+        # Those among fewer values need no look.
+        some = np.flatnonzero(size >= step)
+        some = some if 2 * len(some) < len(size) else slice(None)
+        probe = low[some] + step
+        low[some] = np.where((probe <= high[some]) & (np.take(values, probe - 1, mode="clip") < wanted[some]), probe, low[some])
+        step >>= 1
+    return np.where((low < high) & (np.take(values, low, mode="clip") == wanted), low, -1)
 
 
-def _cells(context: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cell of each context in its bucket, and the low half of its hash."""
-    return _bucket(context, buckets * CELLS) % CELLS, context.astype(np.uint32)
+def _cells(context: np.ndarray, buckets: int, cells: int) -> np.ndarray:
+    """Cell of each context in its bucket."""
+    return _bucket(context, buckets * cells) % cells
 
 
 def _stored(context: np.ndarray, word: np.ndarray, counts: np.ndarray, buckets: int) -> dict[str, np.ndarray]:
-    """The arrays of a bucket: contexts with one next word (lone) and those with several, each in cells; totals of those with many."""
-    cell, low = _cells(context, buckets)
-    order = np.lexsort((word, low, cell))
-    cell, low, word, counts = cell[order], low[order], word[order], _narrow(counts[order])
-    begins = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (low[1:] != low[:-1])]))
-    n = np.diff(np.append(begins, len(word)))
+    """The arrays of a bucket, of n-grams whose words ascend within a context.
+
+    Contexts are in cells; a bit tells those with several next words (many), and
+    how many have them is known before each 64 contexts. Then the word and count of
+    those with one next word (lone), words and counts of the others, and totals of
+    those with many.
+    """
+    n_cells = CELLS
+    while n_cells * CELL < len(_begins(context)) and 2 * n_cells * buckets <= 1 << 32:
+        n_cells *= 2
+    key = _cells(context, buckets, n_cells).astype(bw.U64) << bw.U64(32) | context & bw.U64(0xFFFFFFFF)
+    begins = _begins(key)
+    order = np.argsort(key[begins], kind="stable")
+    order = _spread(begins[order], np.diff(np.append(begins, len(key)))[order])
+    if ((key[order[1:]] == key[order[:-1]]) & (word[order[1:]] < word[order[:-1]])).any():  # contexts of one cell and low half
+        order = np.lexsort((word, key))
+    key, word, counts = key[order], word[order], _narrow(counts[order])
+    begins = _begins(key)
+    n, key = np.diff(np.append(begins, len(word))), key[begins]
     lone, many = begins[n == 1], begins[n > 1]
     size = n[n > 1]
     starts = np.cumsum(size) - size
-    flat = np.repeat(many - starts, size) + np.arange(int(size.sum()))
+    flat = _spread(many, size)
     long = np.flatnonzero(size > LONG)
     own = counts[flat].astype(np.int64)
     sums = lambda v: np.add.reduceat(v.astype(np.int64), starts)[long] if len(starts) else np.zeros(0, dtype=np.int64)
-    bounds = lambda at: np.searchsorted(cell[at], np.arange(CELLS + 1)).astype(np.uint32)
+    bits = np.packbits(np.append(n > 1, np.zeros(-len(n) % 64, dtype=bool)), bitorder="little").view("<u8")
+    ranks = np.cumsum(np.bitwise_count(bits), dtype=np.int64)
     return {
-        "lone_cells": bounds(lone), "lone": low[lone], "lone_word": word[lone], "lone_count": counts[lone],
-        "many_cells": bounds(many), "many": low[many], "first": np.append(starts, size.sum()).astype(np.uint32), "words": word[flat], "counts": counts[flat],
+        "cells": np.searchsorted(key, np.arange(n_cells + 1, dtype=bw.U64) << bw.U64(32)).astype(np.uint32), "contexts": key.astype(np.uint32),
+        "many": bits, "many_before": (np.concatenate([[0], ranks[:-1]])[: len(bits)]).astype(np.uint32),
+        "lone_word": word[lone], "lone_count": counts[lone], "first": np.append(starts, size.sum()).astype(np.uint32), "words": word[flat], "counts": counts[flat],
         "long": long.astype(np.uint32), "total": sums(own), "one": sums(own == 1), "two": sums(own == 2),
     }
 
 
-def _found(file: dict[str, np.ndarray], context: np.ndarray, word: np.ndarray | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the next words (0 where none is asked for), and of the contexts: total, how many next words come once, twice, more often."""
-    cell, low = _cells(context, buckets)
-    count, stats = np.zeros(len(context), dtype=np.int64), np.zeros((len(context), 4), dtype=np.int64)
-    bounds = file["lone_cells"].astype(np.int64)
-    k = _bisect(file["lone"], bounds[cell], bounds[cell + 1], low)
-    at, k = np.flatnonzero(k >= 0), k[k >= 0]
+def _found(file: dict[str, np.ndarray], context: np.ndarray, sizes: np.ndarray, word: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the next words, sizes[k] of them for the k-th context; of each context: total, how many next words come once, twice, more often."""
+    count, stats = np.zeros(len(word), dtype=np.int64), np.zeros((4, len(context)), dtype=np.int64)
+    cell = _cells(context, buckets, len(file["cells"]) - 1)
+    place = _bisect(file["contexts"], file["cells"][cell].astype(np.int64), file["cells"][cell + 1].astype(np.int64), context.astype(np.uint32))
+    at = np.flatnonzero(place >= 0)
+    place, of = place[at], np.cumsum(sizes) - sizes
+    block, bit = place >> 6, (place & 63).astype(bw.U64)
+    bits = file["many"][block]
+    several = (bits >> bit & bw.U64(1)).astype(bool)
+    rank = file["many_before"][block] + np.bitwise_count(bits & ((bw.U64(1) << bit) - bw.U64(1))).astype(np.int64)
+
+    lone = ~several
+    k, own_at = place[lone] - rank[lone], at[lone]
     own = file["lone_count"][k].astype(np.int64)
-    stats[at] = np.stack([own, own == 1, own == 2, own > 2], axis=1)
-    if word is not None:
-        count[at] = np.where(file["lone_word"][k] == word[at], own, 0)
-    bounds = file["many_cells"].astype(np.int64)
-    k = _bisect(file["many"], bounds[cell], bounds[cell + 1], low)
-    at, k = np.flatnonzero(k >= 0), k[k >= 0]
+    stats[:, own_at] = own, own == 1, own == 2, own > 2
+    asked = _spread(of[own_at], sizes[own_at])
+    count[asked] = np.where(np.repeat(file["lone_word"][k], sizes[own_at]) == word[asked], np.repeat(own, sizes[own_at]), 0)
+
+    k, own_at = rank[several], at[several]
     begin, end = file["first"][k].astype(np.int64), file["first"][k + 1].astype(np.int64)
     long = bw.found_in(k, file["long"].astype(np.int64))
     some = long >= 0
     m = long[some]
     total, one, two = file["total"][m], file["one"][m], file["two"][m]
-    stats[at[some]] = np.stack([total, one, two, (end - begin)[some] - one - two], axis=1)
+    stats[:, own_at[some]] = total, one, two, (end - begin)[some] - one - two
     short = np.flatnonzero(~some)
     if len(short):
-        size = (end - begin)[short]
-        starts = np.cumsum(size) - size
-        own = file["counts"][np.repeat(begin[short] - starts, size) + np.arange(int(size.sum()))].astype(np.int64)
-        stats[at[short]] = np.stack([np.add.reduceat(v.astype(np.int64), starts) for v in (own, own == 1, own == 2, own > 2)], axis=1)
-    if word is not None:
-        w = _bisect(file["words"], begin, end, word[at])
-        hit = w >= 0
-        count[at[hit]] = file["counts"][w[hit]]
+        n = (end - begin)[short]
+        starts = np.cumsum(n) - n
+        own = file["counts"][_spread(begin[short], n)]
+        total, one, two = (np.add.reduceat(v, starts, dtype=np.int64) for v in (own, own == 1, own == 2))
+        stats[:, own_at[short]] = total, one, two, n - one - two
+    asked = _spread(of[own_at], sizes[own_at])
+    w = _bisect(file["words"], np.repeat(begin, sizes[own_at]), np.repeat(end, sizes[own_at]), word[asked])
+    hit = w >= 0
+    count[asked[hit]] = file["counts"][w[hit]]
     return count, stats
 
 
@@ -350,27 +421,40 @@ class Reader:
         return out
 
     def followers(self, k: int, columns: list[np.ndarray], word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of contexts of k - 1 words and next words: counts, the contexts' totals and the weights they leave."""
-        context, parts = self.m.contexts(columns)
-        count, stats = self._look(k, _dealt(context, parts, word), word)
+        """Of contexts of k - 1 words, equal ones together, and next words: counts, the contexts' totals and the weights they leave."""
+        new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)])[: len(word)]
+        begins, of = np.flatnonzero(new), np.cumsum(new) - 1
+        context, parts = self.m.contexts([c[begins] for c in columns])
+        if (parts > 1).any():
+            dealt = _dealt(context[of], parts[of], word)
+            begins = np.flatnonzero(new | np.concatenate([[True], dealt[1:] != dealt[:-1]])[: len(word)])
+            context, parts, dealt = context[of[begins]], parts[of[begins]], dealt[begins]
+        else:
+            dealt = context
+        sizes = np.diff(np.append(begins, len(word)))
+        count, stats = self._look(k, dealt, begins, sizes, word)
         for c in np.unique(context[parts > 1]):
             at = np.flatnonzero(context == c)
             if (k, int(c)) not in self.totals:
                 every = _part(np.full(int(parts[at[0]]), c), np.arange(int(parts[at[0]])))
-                self.totals[k, int(c)] = self._look(k, every, None)[1].sum(axis=0)
-            stats[at] = self.totals[k, int(c)]
-        d, total = self.m.discounts[k], stats[:, 0]
-        return count, total, np.where(total > 0, (stats[:, 1:] @ d[1:]) / np.maximum(total, 1), 1.0)
-
-    def _look(self, k: int, context: np.ndarray, word: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        count, stats = np.zeros(len(context), dtype=np.int64), np.zeros((len(context), 4), dtype=np.int64)
-        bucket = _bucket(context, self.m.gram_buckets)
-        order = np.argsort(bucket, kind="stable")
-        which, first = np.unique(bucket[order], return_index=True)
-        for b, at in zip(which.tolist(), np.split(order, first[1:]), strict=False):
+                none = np.zeros(len(every), dtype=np.int64)
+                self.totals[k, int(c)] = self._look(k, every, none, none, none)[1].sum(axis=1)
+            stats[:, at] = self.totals[k, int(c)][:, None]
+        d, total = self.m.discounts[k], stats[0]
+        left = np.where(total > 0, (d[1] * stats[1] + d[2] * stats[2] + d[3] * stats[3]) / np.maximum(total, 1), 1.0)
+        return count, np.repeat(total, sizes), np.repeat(left, sizes)
+
+    def _look(self, k: int, context: np.ndarray, begins: np.ndarray, sizes: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What _found gives, over all buckets; the k-th context's next words are at begins[k], begins[k] + 1, ..."""
+        count, stats = np.zeros(len(word), dtype=np.int64), np.zeros((4, len(context)), dtype=np.int64)
+        order = np.argsort(context)
+        bucket = _bucket(context[order], self.m.gram_buckets)
+        first = _begins(bucket)
+        for b, at in zip(bucket[first].tolist(), np.split(order, first[1:]), strict=False):
             file = self.grams[k][b]
             if file is not None:
-                count[at], stats[at] = _found(file, context[at], None if word is None else word[at], self.m.gram_buckets)
+                asked = _spread(begins[at], sizes[at])
+                count[asked], stats[:, at] = _found(file, context[at], sizes[at], word[asked], self.m.gram_buckets)
         return count, stats
 
     def score(self, tokens: Tokens) -> dict[str, np.ndarray]:
@@ -384,22 +468,20 @@ class Reader:
         low = np.full(len(words), 1 / (size + 1))
         if m.pairs:
             low = np.maximum(before - m.discounts[1][np.minimum(before, 3)], 0) / m.pairs + m.rest / (size + 1)
-        ids = number[index]
+        # Words by their places among the different ones; the place after them is the begin sign's.
+        none = len(words)
+        ids = np.append(number, m.begin)
         p = low[index]
         for k in range(2, m.order + 1):
-            history = _history(ids, tokens.bounds, k, m.begin)
+            history = _history(index, tokens.bounds, k, none)
             # Contexts with unknown words leave all to the lower order.
-            whole = np.flatnonzero((np.array(history) >= 0).all(axis=0))
-            columns, word = [h[whole] for h in history], ids[whole]
-            order = np.lexsort((word, *columns))
-            new = np.concatenate([[True], np.any([c[order[1:]] != c[order[:-1]] for c in (word, *columns)], axis=0)])[: len(order)]
-            of = np.empty(len(order), dtype=np.int64)
-            of[order] = np.cumsum(new) - 1
-            pick = order[new]
+            whole = np.flatnonzero(np.all([ids[h] >= 0 for h in history], axis=0))
+            columns, of = _different([c[whole] for c in (*history, index)], none)
+            *columns, word = (ids[c] for c in columns)
             # A number that no word has stands for unknown next words.
-            count_k, total, left = (v[of] for v in self.followers(k, [c[pick] for c in columns], np.where(word[pick] < 0, m.begin, word[pick])))
-            high = np.maximum(count_k - m.discounts[k][np.minimum(count_k, 3)], 0)
-            p[whole] = np.where(total > 0, high / np.maximum(total, 1) + left * p[whole], p[whole])
+            count_k, total, left = self.followers(k, columns, np.where(word < 0, m.begin, word))
+            high = np.maximum(count_k - m.discounts[k][np.minimum(count_k, 3)], 0) / np.maximum(total, 1)
+            p[whole] = high[of] + left[of] * p[whole]
         # Every row has a token, its end, or if it goes on, words.
         first = tokens.bounds[:-1] + tokens.lead
         sums = lambda v: np.add.reduceat(v, first) if len(v) > tokens.lead else np.zeros(len(first), dtype=v.dtype)
@@ -413,10 +495,38 @@ def _history(ids: np.ndarray, bounds: np.ndarray, order: int, begin: int) -> lis
     return [np.where(place >= j, np.concatenate([np.full(min(j, len(ids)), begin), ids[:-j]]), begin) for j in range(order - 1, 0, -1)]
 
 
-def _grams(reader: Reader, tokens: Tokens, order: int) -> list[np.ndarray]:
-    words, index = np.unique(tokens.hashes, return_inverse=True)
-    ids = reader.numbers(words)[0][index]
-    return [c.astype(reader.m.kind)[tokens.lead :] for c in (*_history(ids, tokens.bounds, order, reader.m.begin), ids)]
+def _different(columns: list[np.ndarray], most: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sorted different rows of numbers from 0 to `most`, and which of them each row is."""
+    packs = _packs(columns, most)
+    if packs is not None:
+        packs, of = np.unique(packs, return_inverse=True)
+        return _unpacked(packs, len(columns), most), of
+    order = np.lexsort(columns[::-1])
+    new = np.concatenate([[True], np.any([c[order[1:]] != c[order[:-1]] for c in columns], axis=0)])[: len(order)]
+    of = np.empty(len(order), dtype=np.int64)
+    of[order] = np.cumsum(new) - 1
+    return [c[order[new]] for c in columns], of
+
+
+def _counted_words(some: list[Tokens]) -> tuple[list[np.ndarray], np.ndarray]:
+    hashes = np.sort(np.concatenate([t.hashes[t.lead :] for t in some]))
+    first = _begins(hashes)
+    return [hashes[first]], np.diff(np.append(first, len(hashes)))
+
+
+def _counted_grams(reader: Reader, some: list[Tokens], order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sorted different n-grams of words' numbers, with their counts. Words are numbered in the order of their hashes."""
+    words, index = np.unique(np.concatenate([t.hashes for t in some]), return_inverse=True)
+    ids, none = np.append(reader.numbers(words)[0], reader.m.begin).astype(reader.m.kind), len(words)
+    ends = np.cumsum([len(t.hashes) for t in some])
+    parts = [[c[t.lead :] for c in (*_history(own, t.bounds, order, none), own)] for t, own in zip(some, np.split(index, ends[:-1]), strict=True)]
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    packs = _packs(columns, none)
+    if packs is None:
+        return _summed([ids[c] for c in columns], np.ones(len(columns[0]), dtype=np.int64))
+    packs.sort()
+    first = _begins(packs)
+    return [ids[c] for c in _unpacked(packs[first], order, none)], np.diff(np.append(first, len(packs)))
 
 
 def train(texts: DataFrame, order: int = 2, split: int = SPLIT, held: int = HELD, wide: bool = False) -> Model:
@@ -442,7 +552,7 @@ def train(texts: DataFrame, order: int = 2, split: int = SPLIT, held: int = HELD
         one = lambda v, kind: pa.array([v], type=kind)
         return pa.table({"bucket": one(b, pa.int32()), "n": one(len(keys), pa.int64()), "total": one(int(counts.sum()), pa.int64()), "often": one(often, pa.list_(pa.int64())), "counts": one(counts[often], pa.list_(pa.int64()))})
 
-    words = texts.mapInArrow(lambda it: _count(it, 1, lambda t: [t.hashes[t.lead :]], lambda c: _bucket(c[0], buckets), 1, held), GRAMS)
+    words = texts.mapInArrow(lambda it: _count(it, 1, _counted_words, lambda c: _bucket(c[0], buckets), 1, held), GRAMS)
     found = words.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(store_words, "bucket int, n long, total long, often array<long>, counts array<long>").collect()  # a row for each bucket
     n = np.zeros(buckets, dtype=np.int64)
     for r in found:
@@ -461,7 +571,7 @@ def train(texts: DataFrame, order: int = 2, split: int = SPLIT, held: int = HELD
 
     def count_grams(it):
         reader = Reader(model)
-        return _count(it, order, lambda t: _grams(reader, t, order), model.bucket_of, n_stats, held)
+        return _count(it, order, lambda some: _counted_grams(reader, some, order), model.bucket_of, n_stats, held)
 
     def store_grams(table: pa.Table, k: int) -> pa.Table:
         b, columns, counts, stats = _merged(table, k)

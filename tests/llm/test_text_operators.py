@@ -425,6 +425,59 @@ def test_ngram_scores_of_a_long_text(spark):
     assert got[0]["score"] / got[0]["n_tokens"] > -0.01  # each word follows from the two before
 
 
+def test_ngram_looks_up_each_context_once(spark, texts, docs, monkeypatch):
+    model = ngram.train(docs, 3)
+    some = next(ngram.tokens_of(pa.array(texts), 3))
+    asked, found = [], ngram._found
+    monkeypatch.setattr(ngram, "_found", lambda file, context, *more: asked.extend(context.tolist()) or found(file, context, *more))
+    ngram.Reader(model).score(some)
+    contexts = set()
+    for t in texts:
+        w = [b"<s>", b"<s>", *tokens(t)]  # the end is no context
+        contexts |= {(b,) for b in w[1:]} | set(zip(w, w[1:], strict=False))
+    assert len(asked) == len(set(asked)) == len(contexts)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_ngrams_of_too_many_bits(spark, texts, docs, monkeypatch, order):
+    """Sorted by columns, n-grams and scores are those of packed ones."""
+    reader = ngram.Reader(ngram.train(docs, order, split=9))
+    some = list(ngram.tokens_of(pa.array(texts), order))
+    packed = [ngram._counted_grams(reader, some, order), *map(reader.score, some)]
+    monkeypatch.setattr(ngram, "_packs", lambda columns, most: None)
+    columns, counts = ngram._counted_grams(reader, some, order)
+    assert np.array(columns).tolist() == np.array(packed[0][0]).tolist() and counts.tolist() == packed[0][1].tolist()
+    for t, got in zip(some, packed[1:], strict=True):
+        assert reader.score(t)["score"].tolist() == got["score"].tolist()
+
+
+@pytest.mark.parametrize("cells", [1, 8])
+def test_ngram_buckets(monkeypatch, cells):
+    """Counts and totals of a bucket's contexts, of which some have many next words and some the same low half."""
+    monkeypatch.setattr(ngram, "CELLS", cells)
+    monkeypatch.setattr(ngram, "CELL", 1 << 20)
+    rng = np.random.default_rng(7)
+    rows = {}
+    for c in range(300):
+        context = int(rng.integers(0, 1 << 64, dtype=np.uint64)) & ~0xFFFFFF00 if c % 3 else int(rng.integers(0, 1 << 64, dtype=np.uint64))
+        for w in rng.integers(0, 500, [1, 1, 3, 20, 200][c % 5]).tolist():
+            rows[context, w] = int(rng.integers(1, 5))
+    # One context for all that the bucket can't tell apart.
+    every = np.unique(np.array([c for c, _ in rows], dtype=np.uint64))
+    _, alone = np.unique(ngram._cells(every, 1, cells).astype(np.uint64) << np.uint64(32) | every & np.uint64(0xFFFFFFFF), return_index=True)
+    alone = set(every[alone].tolist())
+    rows = {g: n for g, n in rows.items() if g[0] in alone}
+    grams = sorted(rows)
+    array = lambda v, kind: np.array(v, dtype=kind)
+    file = ngram._stored(array([c for c, _ in grams], np.uint64), array([w for _, w in grams], np.uint32), array([rows[g] for g in grams], np.int64), 1)
+    contexts = sorted({c for c, _ in grams}) + [12345]
+    count, stats = ngram._found(file, array(contexts, np.uint64), np.full(len(contexts), 500), np.tile(np.arange(500), len(contexts)), 1)
+    assert count.tolist() == [rows.get((c, w), 0) for c in contexts for w in range(500)]
+    for c, got in zip(contexts, stats.T.tolist(), strict=True):
+        own = [rows.get((c, w), 0) for w in range(500)]
+        assert got == [sum(own), own.count(1), own.count(2), sum(n > 2 for n in own)]
+
+
 def test_ngram_query_uses_longer_contexts():
     assert ngram.ORDER >= 3
 
