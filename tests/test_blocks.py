@@ -58,3 +58,16 @@ def test_estimates_read_pair_counts_once(spark):
     samples = correlation.leave_one_out(counts, 2).withColumn("wtheta", F.col("DD"))
     plan = correlation.covariance(samples)._jdf.queryExecution().toString()
     assert "InArrow" not in plan
+
+
+def test_projected_pairs_of_near_and_far_probes(spark):
+    """Redshifts so small that a probe's bins are wider than the sky, none, zero and large ones."""
+    z = [1e-6, 0.0, 0.004, *np.random.default_rng(4).uniform(0.03, 1.2, 197)]
+    a, b = sphere(200, 5), sphere(300, 6)
+    probes = table(spark, a, redshift=z).unionByName(table(spark, a[:1], redshift=[0.0]).withColumn("redshift", F.lit(None).cast("double")))
+    edges = [5.0, 20.0, 50.0, 300.0]
+    got = {r["bin"]: r["n_pairs"] for r in points.projected_pairs(probes, table(spark, b), Cosmology(), "redshift", edges).collect()}
+    distance = np.array([r[0] for r in probes.where("redshift IS NOT NULL").orderBy("k").select(Cosmology().angular_diameter_distance("redshift")).collect()])
+    r = np.arccos(np.clip(a @ b.T, -1, 1)) * distance[:, None]
+    want = {k: int(((r >= edges[k]) & (r < edges[k + 1])).sum()) for k in range(3)}
+    assert got == {k: n for k, n in want.items() if n}
