@@ -71,3 +71,26 @@ def test_projected_pairs_of_near_and_far_probes(spark):
     r = np.arccos(np.clip(a @ b.T, -1, 1)) * distance[:, None]
     want = {k: int(((r >= edges[k]) & (r < edges[k + 1])).sum()) for k in range(3)}
     assert got == {k: n for k, n in want.items() if n}
+
+
+def test_counts_within_own_radii(spark):
+    radius = np.random.default_rng(7).uniform(-1, 30, 200)
+    a, b = np.concatenate([sphere(120, 8), sphere(80, 9, (0, 0, 1))]), np.concatenate([sphere(400, 10), sphere(200, 11, (0, 0, 1))])
+    found = points.count_within(table(spark, a, radius=radius), table(spark, b), ["k"], F.col("radius"), 20.0)
+    near = a @ b.T > np.cos(np.radians(np.minimum(radius, 20.0)))[:, None]
+    near[radius <= 0] = False
+    assert [r["n_pairs"] for r in found.orderBy("k").collect()] == near.sum(axis=1).tolist()
+    assert "_cx" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_weighed_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(points, "FEW", few)
+    a, b, w = sphere(50, 12), sphere(400, 13), np.random.default_rng(14).normal(size=400)
+    own = np.arange(50) - 20.0
+    found = points.weigh_pairs(table(spark, a, own=own), table(spark, b, weight=w), ["k"], 40.0, 10.0, "own").orderBy("k").collect()
+    dot = a @ b.T
+    near = (dot > math.cos(math.radians(40))) & (dot <= math.cos(math.radians(10)))
+    assert [r["n_pairs"] for r in found] == near.sum(axis=1).tolist()
+    assert [r["weight"] or 0.0 for r in found] == pytest.approx((near @ w).tolist(), abs=1e-9)
+    assert [r["product"] or 0.0 for r in found] == pytest.approx((own * (near @ w)).tolist(), abs=1e-9)
