@@ -94,3 +94,24 @@ def test_weighed_pairs(spark, monkeypatch, few):
     assert [r["n_pairs"] for r in found] == near.sum(axis=1).tolist()
     assert [r["weight"] or 0.0 for r in found] == pytest.approx((near @ w).tolist(), abs=1e-9)
     assert [r["product"] or 0.0 for r in found] == pytest.approx((own * (near @ w)).tolist(), abs=1e-9)
+
+
+@pytest.mark.parametrize(("wanted", "most"), [(1 << 14, 1 << 18), (20, 30)])
+def test_nearest_with_ties(spark, monkeypatch, wanted, most):
+    """Targets at equal places: the smaller ids are nearest. Blocks of a few points, too."""
+    monkeypatch.setattr(blocks.blocked, "__defaults__", (wanted, most))
+    a = np.concatenate([sphere(150, 15), sphere(60, 16, (0, 0, 1))])
+    b = np.concatenate([sphere(100, 17), sphere(60, 18, (0, 0, 1)), a[:20], a[:20], a[:5]])
+    probes, targets = table(spark, a), table(spark, b).withColumnRenamed("k", "t")
+    angle = np.round(np.degrees(np.arctan2(np.linalg.norm(np.cross(a[:, None], b[None]), axis=2), a @ b.T)), 9)
+    rank = np.lexsort((np.broadcast_to(np.arange(len(b)), angle.shape), angle), axis=1)
+    got = {(r["k"], r["rank"]): r["t"] for r in points.k_nearest(probes, targets, ["k"], "t", 3).collect()}
+    assert got == {(i, n + 1): int(rank[i, n]) for i in range(len(a)) for n in range(3)}
+    best = {r["k"]: r["t"] for r in points.closest_match(probes, targets, ["k"], "t", 4.0).collect()}
+    assert best == {i: int(rank[i, 0]) if angle[i, rank[i, 0]] <= 4.0 else None for i in range(len(a))}
+
+
+def test_nearest_makes_no_row_of_a_pair_that_is_not_near(spark):
+    a, b = table(spark, sphere(400, 19)), table(spark, sphere(3000, 20)).withColumnRenamed("k", "t")
+    made = points._nearest(a, points._to_find(b, "t"), ["k"], "t", 1, 60.0)
+    assert made.count() <= 400 * blocks.of_points(b, ["t"]).count()
