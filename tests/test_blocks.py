@@ -3,11 +3,16 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from celestrum.functions import theory
 from celestrum.functions.cosmo import Cosmology
 from celestrum.operators import blocks, correlation, points, trees
+from celestrum.plans import more, registry  # noqa: F401  more adds its queries
+from tests.oracle import assert_same
 
 
 def sphere(n, seed, near=None):
@@ -115,3 +120,18 @@ def test_nearest_makes_no_row_of_a_pair_that_is_not_near(spark):
     a, b = table(spark, sphere(400, 19)), table(spark, sphere(3000, 20)).withColumnRenamed("k", "t")
     made = points._nearest(a, points._to_find(b, "t"), ["k"], "t", 1, 60.0)
     assert made.count() <= 400 * blocks.of_points(b, ["t"]).count()
+
+
+def test_corners_at_poles_of_other_spheres(spark, tmp_path):
+    """The query's cells of these keys have a corner at the pole, whose longitude only rounding decides: as in SQL."""
+    pq.write_table(pa.table({"o_orderkey": [363864, 467818, 5], "o_totalprice": [1.0, 2.0, 3.0]}), tmp_path / "orders.parquet")
+    name = "b28_bounds_of_other_spheres"
+    assert_same(registry.QUERIES[name](spark, str(tmp_path)), registry.ORACLE_SQL[name], str(tmp_path))
+
+
+def test_integrals_are_compiled(spark):
+    """No lambda over an array, which is interpreted step by step; the sum is that of Simpson's rule."""
+    z = spark.range(5).select((F.col("id") / 4.0).alias("z"))
+    found = z.select(theory.integral(lambda t: t * t * t, "z").alias("v"), theory.Expansion().growth("z").alias("g"))
+    assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["v"] for r in found.collect()] == pytest.approx([(k / 4) ** 4 / 4 for k in range(5)])
