@@ -6,6 +6,8 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,21 @@ def integral(f: Callable[[Column], Column], high, steps: int = STEPS) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(steps)), F.lit(0.0), lambda a, k: a + weight(k) * f(high * k / float(steps))) * high / (3.0 * steps)
 
 
+def _simpson(f: Callable[[np.ndarray], np.ndarray], top: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """As integral, of a function of arrays."""
+    out = np.zeros(len(top))
+    with np.errstate(all="ignore"):
+        for k in range(steps + 1):
+            out = out + (1.0 if k in (0, steps) else 4.0 if k % 2 else 2.0) * f(top * k / float(steps))
+        return out * top / (3.0 * steps)
+
+
+def _summed(f: Callable[[np.ndarray], np.ndarray], high) -> Column:
+    """A column of it: a lambda over an array of steps would be interpreted for each row and step."""
+    high = column(high)
+    return F.when(high.isNotNull(), F.pandas_udf(lambda v: pd.Series(_simpson(f, v.to_numpy(dtype=np.float64))), "double")(high.cast("double")))
+
+
 @dataclass(frozen=True)
 class Expansion:
     """A flat universe of matter and a constant dark energy; distances in units of 1 / h Mpc."""
@@ -33,7 +50,8 @@ class Expansion:
         return F.sqrt(self.omega_m * (1.0 + z) * (1.0 + z) * (1.0 + z) + (1.0 - self.omega_m))
 
     def comoving_distance(self, z) -> Column:
-        return 2997.92458 * integral(lambda t: 1.0 / self.e(t), z)
+        m = self.omega_m
+        return 2997.92458 * _summed(lambda t: 1.0 / np.sqrt(m * (1.0 + t) * (1.0 + t) * (1.0 + t) + (1.0 - m)), z)
 
     def omega_m_at(self, z) -> Column:
         z = column(z)
@@ -41,8 +59,11 @@ class Expansion:
 
     def growth(self, z) -> Column:
         """Growth factor, 1 today: by the integral over the scale factor."""
-        unscaled = lambda a: F.sqrt(self.omega_m / (a * a * a) + (1.0 - self.omega_m)) * integral(lambda t: F.pow(t / (self.omega_m + (1.0 - self.omega_m) * t * t * t), 1.5), a)
-        return unscaled(1.0 / (1.0 + column(z))) / unscaled(F.lit(1.0))
+        m = self.omega_m
+        f = lambda t: np.power(t / (m + (1.0 - m) * t * t * t), 1.5)
+        unscaled = lambda a: F.sqrt(m / (a * a * a) + (1.0 - m)) * _summed(f, a)
+        today = math.sqrt(m + (1.0 - m)) * float(_simpson(f, np.ones(1))[0])
+        return unscaled(1.0 / (1.0 + column(z))) / today
 
 
 @dataclass(frozen=True)

@@ -129,9 +129,12 @@ def test_corners_at_poles_of_other_spheres(spark, tmp_path):
     assert_same(registry.QUERIES[name](spark, str(tmp_path)), registry.ORACLE_SQL[name], str(tmp_path))
 
 
-def test_integrals_are_compiled(spark):
-    """No lambda over an array, which is interpreted step by step; the sum is that of Simpson's rule."""
-    z = spark.range(5).select((F.col("id") / 4.0).alias("z"))
-    found = z.select(theory.integral(lambda t: t * t * t, "z").alias("v"), theory.Expansion().growth("z").alias("g"))
-    assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
-    assert [r["v"] for r in found.collect()] == pytest.approx([(k / 4) ** 4 / 4 for k in range(5)])
+def test_integrals_of_rows_are_not_interpreted(spark):
+    """No lambda over an array of a row's steps; growth and distance are those of the rule in Columns."""
+    z = spark.createDataFrame([(k / 4.0,) for k in range(5)] + [(None,)], "z double")
+    u = theory.Expansion()
+    found = z.select(u.comoving_distance("z").alias("d"), u.growth("z").alias("g"), (2997.92458 * theory.integral(lambda t: 1.0 / u.e(t), "z")).alias("want"))
+    assert "aggregate(" not in found.select("d", "g")._jdf.queryExecution().optimizedPlan().toString()
+    rows = found.collect()
+    assert [r["d"] for r in rows[:5]] == pytest.approx([r["want"] for r in rows[:5]], rel=1e-13) and rows[0]["g"] == pytest.approx(1.0, rel=1e-13)
+    assert rows[5]["d"] is None and rows[5]["g"] is None
